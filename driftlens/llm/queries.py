@@ -1,13 +1,22 @@
-"""The queries of the text operators and their SQL; ``__spark_entry__`` adds them."""
+"""The queries of the text operators and their SQL; ``__spark_entry__`` adds them.
+
+No SQL: op1, op7, op9 and op10 learn models, op6 compares sketches first; the tests hold
+them against brute force and held-out accuracy.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import substring, suffixes
+from . import bagminhash, decontam, langid, lines, mixing, quality, rules, substring, suffixes, toxicity
 from .shared import table
 
 
+def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -16,10 +25,51 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.measure_mix(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
-    "op2_substring_dedup": op2_substring_dedup,
-    "op3_suffix_array_dedup": op3_suffix_array_dedup,
-}
+    f.__name__: f
+    for f in (
+        op1_compression_quality, op2_substring_dedup, op3_suffix_array_dedup, op4_source_mixing, op5_line_dedup, op6_bagminhash_dedup,
+        op7_weak_quality, op8_decontamination, op9_language_id, op10_toxicity, pipeline,
+    )
+}
 
 ORACLES = {
     "op2_substring_dedup": r"""
@@ -38,14 +88,54 @@ FROM w LEFT JOIN kept USING (doc_id)""",
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k
         FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 AS BIGINT) - 49)) AS i FROM b)),
-late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS m FROM win) WHERE doc_id > m),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM late),
-spans AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE p - 1 IS DISTINCT FROM q) AS s
-          FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM gone) GROUP BY 1),
-each AS (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 AS BIGINT))) AS p FROM b),
-kept AS (SELECT e.doc_id, string_agg(substr(e.h, 2 * e.p + 1, 2), '' ORDER BY e.p) AS t
-         FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY 1)
+firsts AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+late AS (SELECT doc_id, i FROM win JOIN firsts USING (k) WHERE doc_id > m),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z
+         FROM (SELECT *, sum(CASE WHEN i - p <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+               FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM late)) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, coalesce(lag(z) OVER o, 0) AS a, a AS z FROM runs WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+         UNION ALL SELECT doc_id, coalesce(max(z), 0), NULL FROM b LEFT JOIN runs USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * gaps.a + 1 AS BIGINT), CAST(coalesce(2 * (gaps.z - gaps.a), length(h)) AS BIGINT)), '' ORDER BY gaps.a) AS t
+         FROM gaps JOIN b USING (doc_id) GROUP BY 1),
+spans AS (SELECT doc_id, sum(z - a) AS n, count(*) AS s FROM runs GROUP BY 1)
 SELECT b.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(s, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
-FROM b LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+       CAST(coalesce(s, 0) AS BIGINT) AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM b JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)""",
+    "op4_source_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+weighed AS (SELECT *, CAST([1, 2, 3][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM per),
+summed AS (SELECT *, sum(source_size) OVER () AS total,
+             coalesce(sum(source_size * 3) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+             sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+           FROM weighed WINDOW f AS (ORDER BY source_size / weight, source NULLS LAST)),
+level AS (SELECT *, CAST(total - filled AS DOUBLE) / open_weight AS lvl FROM summed),
+filled AS (SELECT *, source_size * 3 <= lvl * weight AS is_full FROM level),
+final AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(source_size * 3 AS DOUBLE) ELSE
+            (SELECT arg_min(lvl, source_size / weight) FROM filled WHERE NOT is_full) * weight END AS target FROM filled),
+rated AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+            CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) / 281474976710656.0 AS u
+          FROM d JOIN final ON d.source IS NOT DISTINCT FROM final.source)
+SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM rated""",
+    "op5_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT doc_id, p, line, key IN (SELECT key FROM often) AS dropped FROM k)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY 1""",
+    "op8_decontamination": r"""
+WITH raw AS (SELECT 0 AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 1, CAST(item_id AS VARCHAR), text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM raw),
+pat AS (SELECT id AS item, n, array_to_string(ws[i:i + n - 1], ' ') AS k
+        FROM (SELECT id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM w WHERE kind = 1 AND len(ws) > 0)),
+win AS (SELECT id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS k
+        FROM (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM pat) WHERE kind = 0)),
+hits AS (SELECT DISTINCT win.id, i, win.n, item FROM win JOIN pat ON win.k = pat.k AND win.n = pat.n),
+covered AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT id, item FROM hits) GROUP BY 1)
+SELECT CAST(w.id AS BIGINT) AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN covered ON covered.id = w.id LEFT JOIN items ON items.id = w.id WHERE kind = 0""",
 }
