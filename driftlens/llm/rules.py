@@ -69,7 +69,7 @@ def votes() -> dict[str, Column]:
         "word_length": _vote(mean.between(3, 10), (mean < 2) | (mean > 15)),
         "symbols": _vote(symbol < 0.02, symbol > 0.1),
         "repeats": _vote(repeat < 0.1, repeat > MAX_REPEAT / 100),
-        "lines": _vote((dup < 0.1) & (F.col("n_lines") > 1), dup > 0.3),
+        "lines": _vote((dup < 0.1) & (F.col("n_lines") > 1), (dup > 0.3) & (F.col("n_dup_lines") > 2)),
         "capitals": _vote(upper < 0.1, upper > 0.4),
     }
 
@@ -79,7 +79,7 @@ def posteriors(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS
     if not patterns:
         return {}
     k, total = len(patterns[0][0]), sum(n for _, n in patterns)
-    p = {v: 0.1 if 0 in v else 0.9 for v, _ in patterns}
+    p = {v: 0.02 if 0 in v else 0.98 for v, _ in patterns}  # one bad vote is suspect at first
     for _ in range(rounds):
         prior = min(0.99, max(0.01, sum(p[v] * n for v, n in patterns) / total))
         right = []  # (good called good, bad called bad) of each rule
