@@ -8,8 +8,8 @@ windows, exactly, and without ever moving a window on its own:
 1. Each document is cut into runs of windows with the same minimiser (``textkit.Runs``).
    Equal windows have equal minimisers, so they meet under the same *anchor*.  One row a
    run is shuffled.  Runs whose segment equals that of a smaller document in the same
-   piece of a partition are late already; they go to a shuffle key of their own, so an
-   anchor that a third of all documents share gets one row a piece.
+   piece of a partition are late already; they go to a key of their own, so an anchor that
+   a third of all documents share gets one row a piece.
 2. Under an anchor, a run whose whole segment also stands in a smaller document is late
    as a whole.  Among the first copies of each segment, only those under anchors with
    two segments or more can hold late windows: these are *open*.
@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,10 @@ HOT = 512
 #: Bytes of open segments that are resolved at once.
 SHARD_BYTES = 1 << 20
 
-_RUN = "route bigint, anchor bigint, seg bigint, doc_id bigint, start int, n int, known boolean"
+#: seg holds 44 bits of the segment's hash and 20 of the run's number of windows; start is
+#: negative (by one more) for runs that are known to be late.
+_RUN = "anchor bigint, seg bigint, doc_id bigint, start int"
+_LONGEST = (1 << 20) - 1
 _OPEN = "key bigint, doc_id bigint, start int, body binary"
 _LATE = "doc_id bigint, start int, n int"
 
@@ -72,11 +76,12 @@ def _runs(unit: str, window: int, gram: int) -> Callable:
             for part, data, off in pieces(batch):
                 ids = column(part, "doc_id")
                 u = Units(unit, data, off)
-                r = Runs(u.values, u.first[:-1], u.first[1:], window, gram)
+                r = Runs(u.values, u.first[:-1], u.first[1:], window, gram, _LONGEST)
                 has = np.asarray(ids.is_valid())[r.doc]
                 doc = np.asarray(ids.fill_null(0))[r.doc][has]
-                anchor, seg = r.anchor[has].view(np.int64), r.seg[has].view(np.int64)
-                start, n = (r.first - u.first[r.doc])[has], (r.last - r.first + 1)[has]
+                n = (r.last - r.first + 1)[has]
+                anchor, start = r.anchor[has].view(np.int64), (r.first - u.first[r.doc])[has]
+                seg = ((r.seg[has] >> np.uint64(20) << np.uint64(20)) | n.astype(np.uint64)).view(np.int64)
                 order = np.lexsort((doc, seg, anchor))
                 a, s, d = anchor[order], seg[order], doc[order]
                 new = np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])][: len(a)]
@@ -85,19 +90,36 @@ def _runs(unit: str, window: int, gram: int) -> Callable:
                     known[order] = d > d[new][np.cumsum(new) - 1]
                 own = mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (np.where(known, own, anchor), anchor, seg, doc, start.astype(np.int32), n.astype(np.int32), known)],
-                    names=["route", "anchor", "seg", "doc_id", "start", "n", "known"],
+                    [pa.array(x) for x in (np.where(known, own, anchor), seg, doc, np.where(known, -1 - start, start).astype(np.int32))], names=["anchor", "seg", "doc_id", "start"]
                 )
 
     return emit
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: they are shuffled once, and weigh half."""
+    c = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        text = column(batch, "text").cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([c.compress(t) if t else None for t in text.to_pylist()], pa.binary())], names=["doc_id", "packed"])
+
+
+def texts_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with its packed texts opened, as ``text``."""
+    d = zstandard.ZstdDecompressor()
+    text = pa.array([d.decompress(t) if t else None for t in column(batch, "packed").to_pylist()], pa.binary())
+    at = batch.schema.get_field_index("packed")
+    return pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(batch.columns)], names=["text" if i == at else n for i, n in enumerate(batch.schema.names)])
+
+
 def _fetch(unit: str, window: int) -> Callable:
     """Bodies of the open segments; those of hot anchors window by window."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, off in pieces(batch):
+            if column(batch, "marks").null_count == len(batch):
+                continue
+            for part, data, off in pieces(texts_of(batch)):
                 marks = column(part, "marks")
                 if marks.null_count == len(marks):
                     continue
@@ -166,24 +188,26 @@ def _shards(resolve: Callable, window: int) -> Callable:
 
 
 def late_spans(docs: DataFrame, unit: str, window: int, gram: int, resolve: Callable) -> DataFrame:
-    """docs (doc_id, text) with an array ``spans`` of (start, n): the late windows are
-    those starting at units start .. start+n-1.  Null where a document has none."""
-    runs = docs.mapInArrow(_runs(unit, window, gram), _RUN).repartition("route")
-    same, anchor = Window.partitionBy("route", "seg"), Window.partitionBy("route")
+    """(doc_id, packed, spans) of docs (doc_id, text): spans is an array of (start, n), the
+    late windows being those that start at units start .. start+n-1; null where there are
+    none.  Texts travel compressed (``texts_of`` opens them)."""
+    runs = docs.mapInArrow(_runs(unit, window, gram), _RUN).repartition("anchor")
+    same, anchor = Window.partitionBy("anchor", "seg"), Window.partitionBy("anchor")
     seen = runs.select("*", F.min("doc_id").over(same).alias("first_doc")).select(
         "*",
         (F.min("doc_id").over(anchor) < F.max("doc_id").over(anchor)).alias("shared"),
         (F.min("seg").over(anchor) < F.max("seg").over(anchor)).alias("several"),
         (F.count(F.lit(1)).over(anchor) > HOT).alias("hot"),
     )
-    late = F.col("known") | (F.col("doc_id") > F.col("first_doc"))
+    known = F.col("start") < 0
+    late = known | (F.col("doc_id") > F.col("first_doc"))
+    seen = seen.where(late | (F.col("shared") & F.col("several"))).select(
+        "doc_id", F.when(known, -1 - F.col("start")).otherwise(F.col("start")).alias("start"), F.col("seg").bitwiseAND(_LONGEST).cast("int").alias("n"), F.when(~late, F.col("anchor")).alias("anchor"), "hot"
+    )
     marks = (
-        seen.where(late | (F.col("shared") & F.col("several")))
-        .select("doc_id", F.struct("start", "n", F.when(~late, F.col("anchor")).alias("anchor"), "hot").alias("mark"))
-        .groupBy("doc_id")
-        .agg(F.collect_list("mark").alias("marks"))
+        seen.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("marks"))
     )
-    held = docs.join(marks, "doc_id", "left")
+    held = docs.mapInArrow(_pack, "doc_id bigint, packed binary").join(marks, "doc_id", "left")
     found = (
         held.mapInArrow(_fetch(unit, window), _OPEN)
         .repartition("key")
@@ -193,15 +217,15 @@ def late_spans(docs: DataFrame, unit: str, window: int, gram: int, resolve: Call
         .agg(F.collect_list(F.struct("start", "n")).alias("found"))
     )
     whole = F.transform(F.filter("marks", lambda m: m["anchor"].isNull()), lambda m: F.struct(m["start"], m["n"]))
-    return held.select("doc_id", "text", whole.alias("whole")).join(found, "doc_id", "left").select(
-        "doc_id", "text", F.coalesce(F.concat("whole", "found"), "whole", "found").alias("spans")
+    return held.select("doc_id", "packed", whole.alias("whole")).join(found, "doc_id", "left").select(
+        "doc_id", "packed", F.coalesce(F.concat("whole", "found"), "whole", "found").alias("spans")
     )
 
 
 def removed(unit: str, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Units, np.ndarray]]:
     """Pieces of ``late_spans`` with, for each unit, whether a late window covers it."""
     for batch in batches:
-        for part, data, off in pieces(batch):
+        for part, data, off in pieces(texts_of(batch)):
             u = Units(unit, data, off)
             spans = column(part, "spans")
             lens = np.diff(np.asarray(spans.offsets))

@@ -70,7 +70,7 @@ def resolve(doc: np.ndarray, bodies: pa.Array, window: int) -> tuple[np.ndarray,
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, text, spans): spans of (start, n) say which windows of words are late."""
+    """(doc_id, packed, spans): see ``repeats.late_spans``; units are words."""
     return late_spans(texts(df, id_col, text_col), "word", window, GRAM, resolve)
 
 

@@ -88,10 +88,11 @@ class Runs:
 
     The minimiser of a window is the least hash of the ``gram``-unit stretches in it, so
     equal windows have equal minimisers wherever they stand.  A run is a maximal row of
-    windows of one document with the same minimiser; its segment is all they cover.
+    windows of one document with the same minimiser (``longest`` at most); its segment is all
+    they cover.
     """
 
-    def __init__(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, gram: int):
+    def __init__(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, gram: int, longest: int = 1 << 40):
         self.roll = Rolling(values)
         least = sliding_min(self.roll.every(gram), window - gram + 1)
         n = len(least)
@@ -102,6 +103,11 @@ class Runs:
         inside = np.cumsum(inside[:n]).astype(bool)
         first = inside.copy()
         first[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
+        at = np.flatnonzero(first)
+        long = np.flatnonzero(np.diff(np.r_[at, n]) > longest)  # cut into stretches of that many
+        for i in long:
+            more = np.arange(at[i] + longest, at[i + 1] if i + 1 < len(at) else n, longest)
+            first[more[inside[more]]] = True
         last = inside.copy()
         last[:-1] &= first[1:] | ~inside[1:]
         self.first, self.last = np.flatnonzero(first), np.flatnonzero(last)  # of the windows of each run
