@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .textkit import BYTE_VALUE, Rolling, Runs, column, covered, mix, pieces, ragged, words
 
 #: Rows under one anchor from which its windows are dealt one by one.
-HOT = 512
+HOT = 1 << 14
 #: Bytes of open segments that are resolved at once.
 SHARD_BYTES = 1 << 20
 
@@ -43,7 +44,7 @@ SHARD_BYTES = 1 << 20
 _RUN = "anchor bigint, seg bigint, doc_id bigint, start int"
 _LONGEST = (1 << 20) - 1
 _OPEN = "key bigint, doc_id bigint, start int, body binary"
-_LATE = "doc_id bigint, start int, n int"
+_LATE = "doc_id bigint, at bigint"
 
 
 class Units:
@@ -117,25 +118,14 @@ def _fetch(unit: str, window: int) -> Callable:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if column(batch, "marks").null_count == len(batch):
-                continue
+            batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(column(batch, "open")), 0), 0))
             for part, data, off in pieces(texts_of(batch)):
-                marks = column(part, "marks")
-                if marks.null_count == len(marks):
-                    continue
-                u, ids = None, column(part, "doc_id")
-                for i, row in enumerate(marks):
+                u, ids = Units(unit, data, off), column(part, "doc_id")
+                for i, row in enumerate(column(part, "open")):
                     flat = row.values
-                    if flat is None:
-                        continue
-                    anchor = flat.field("anchor")
-                    ok = np.flatnonzero(np.asarray(anchor.is_valid()))
-                    if not len(ok):
-                        continue
-                    u = u or Units(unit, data, off)
-                    at = np.asarray(flat.field("start"))[ok].astype(np.int64) + u.first[i]
-                    n, hot = np.asarray(flat.field("n"))[ok].astype(np.int64), np.asarray(flat.field("hot"))[ok]
-                    key = np.asarray(anchor.fill_null(0))[ok]
+                    at = np.asarray(flat.field("at"))
+                    at, n = (at >> 20) + u.first[i], at & _LONGEST
+                    key, hot = np.asarray(flat.field("anchor")), np.asarray(flat.field("hot"))
                     if hot.any():
                         p, owner = ragged(at[hot], n[hot])
                         roll = Rolling(u.values[u.first[i] : u.first[i + 1]])
@@ -161,9 +151,10 @@ def _shards(resolve: Callable, window: int) -> Callable:
         new = np.r_[True, (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1)][: len(seg)]
         first = np.flatnonzero(new)
         n = np.diff(np.r_[first, len(seg)])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc[seg[first]]), pa.array((start[seg[first]] + at[first]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "start", "n"]
-        )
+        at = (start[seg[first]] + at[first]) << 20
+        cuts = -(-n // _LONGEST)  # no stretch counts more than fits
+        part = ragged(np.zeros(len(n), np.int64), cuts)
+        return pa.RecordBatch.from_arrays([pa.array(doc[seg[first]][part[1]]), pa.array((at[part[1]] + (part[0] * _LONGEST << 20)) | np.minimum(_LONGEST, n[part[1]] - part[0] * _LONGEST))], names=["doc_id", "at"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -188,9 +179,9 @@ def _shards(resolve: Callable, window: int) -> Callable:
 
 
 def late_spans(docs: DataFrame, unit: str, window: int, gram: int, resolve: Callable) -> DataFrame:
-    """(doc_id, packed, spans) of docs (doc_id, text): spans is an array of (start, n), the
-    late windows being those that start at units start .. start+n-1; null where there are
-    none.  Texts travel compressed (``texts_of`` opens them)."""
+    """(doc_id, packed, spans) of docs (doc_id, text): spans is an array of numbers
+    ``start << 20 | n``, the late windows being those that start at units start ..
+    start+n-1; null where there are none.  Texts travel compressed (``texts_of`` opens them)."""
     runs = docs.mapInArrow(_runs(unit, window, gram), _RUN).repartition("anchor")
     same, anchor = Window.partitionBy("anchor", "seg"), Window.partitionBy("anchor")
     seen = runs.select("*", F.min("doc_id").over(same).alias("first_doc")).select(
@@ -201,11 +192,12 @@ def late_spans(docs: DataFrame, unit: str, window: int, gram: int, resolve: Call
     )
     known = F.col("start") < 0
     late = known | (F.col("doc_id") > F.col("first_doc"))
-    seen = seen.where(late | (F.col("shared") & F.col("several"))).select(
-        "doc_id", F.when(known, -1 - F.col("start")).otherwise(F.col("start")).alias("start"), F.col("seg").bitwiseAND(_LONGEST).cast("int").alias("n"), F.when(~late, F.col("anchor")).alias("anchor"), "hot"
-    )
+    begin = F.when(known, -1 - F.col("start")).otherwise(F.col("start")).cast("bigint")
+    at = F.shiftleft(begin, 20).bitwiseOR(F.col("seg").bitwiseAND(_LONGEST))  # start and n in one
     marks = (
-        seen.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("marks"))
+        seen.where(late | (F.col("shared") & F.col("several")))
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.when(late, at)).alias("whole"), F.collect_list(F.when(~late, F.struct(at.alias("at"), "anchor", "hot"))).alias("open"))
     )
     held = docs.mapInArrow(_pack, "doc_id bigint, packed binary").join(marks, "doc_id", "left")
     found = (
@@ -214,12 +206,9 @@ def late_spans(docs: DataFrame, unit: str, window: int, gram: int, resolve: Call
         .sortWithinPartitions("key")
         .mapInArrow(_shards(resolve, window), _LATE)
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("start", "n")).alias("found"))
-    )
-    whole = F.transform(F.filter("marks", lambda m: m["anchor"].isNull()), lambda m: F.struct(m["start"], m["n"]))
-    return held.select("doc_id", "packed", whole.alias("whole")).join(found, "doc_id", "left").select(
-        "doc_id", "packed", F.coalesce(F.concat("whole", "found"), "whole", "found").alias("spans")
+        .agg(F.collect_list("at").alias("found"))
     )
+    return held.select("doc_id", "packed", "whole").join(found, "doc_id", "left").select("doc_id", "packed", F.coalesce(F.concat("whole", "found"), "whole", "found").alias("spans"))
 
 
 def removed(unit: str, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Units, np.ndarray]]:
@@ -232,6 +221,6 @@ def removed(unit: str, window: int, batches: Iterator[pa.RecordBatch]) -> Iterat
             lens[~np.asarray(spans.is_valid())] = 0
             flat = spans.flatten()
             owner = np.repeat(np.arange(len(lens)), lens)
-            start = np.asarray(flat.field("start")).astype(np.int64) + u.first[owner]
-            n = np.asarray(flat.field("n")).astype(np.int64)
-            yield part, u, covered(start, start + n + window - 1, int(u.first[-1]))
+            at = np.asarray(flat)
+            start = (at >> 20) + u.first[owner]
+            yield part, u, covered(start, start + (at & _LONGEST) + window - 1, int(u.first[-1]))
