@@ -40,10 +40,10 @@ from .shared import cut, texts
 from .textkit import BYTE_VALUE, Rolling, column, mix, pieces, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 43, 6
 SLOTS = BANDS * ROWS
 #: Slots that two texts of the similarity sought agree in, but for one case in 10**8.
-SCREEN = 74
+SCREEN = 170
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -159,7 +159,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, class_id, n_links): the class's least document, and how many different
     documents' texts were verified as links of this one's text, or are equal to it."""
     rows = texts(df, id_col, text_col).where("doc_id is not null")
-    member = rows.select("doc_id", F.xxhash64("text").alias("h1"), F.sha2(F.col("text"), 256).alias("h2"))
+    real = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))  # texts without a word stand alone
+    member = rows.select("doc_id", F.when(real, F.xxhash64("text")).otherwise(F.col("doc_id")).alias("h1"), F.when(real, F.sha2("text", 256)).otherwise("").alias("h2"))
     member = member.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).select("doc_id", "h1", "h2")
     group = member.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     member = cut(member.join(group, ["h1", "h2"]).select("doc_id", "first", "copies"), "members")

@@ -118,6 +118,8 @@ def _fetch(unit: str, window: int) -> Callable:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            marks = column(batch, "marks")
+            batch = pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "packed"), pc.struct_field(marks, "open")], names=["doc_id", "packed", "open"])
             batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(column(batch, "open")), 0), 0))
             for part, data, off in pieces(texts_of(batch)):
                 u, ids = Units(unit, data, off), column(part, "doc_id")
@@ -197,7 +199,8 @@ def late_spans(docs: DataFrame, unit: str, window: int, gram: int, resolve: Call
     marks = (
         seen.where(late | (F.col("shared") & F.col("several")))
         .groupBy("doc_id")
-        .agg(F.collect_list(F.when(late, at)).alias("whole"), F.collect_list(F.when(~late, F.struct(at.alias("at"), "anchor", "hot"))).alias("open"))
+        # one column, so that both uses below prune alike and share one exchange
+        .agg(F.struct(F.collect_list(F.when(late, at)).alias("whole"), F.collect_list(F.when(~late, F.struct(at.alias("at"), "anchor", "hot"))).alias("open")).alias("marks"))
     )
     held = docs.mapInArrow(_pack, "doc_id bigint, packed binary").join(marks, "doc_id", "left")
     found = (
@@ -208,7 +211,7 @@ def late_spans(docs: DataFrame, unit: str, window: int, gram: int, resolve: Call
         .groupBy("doc_id")
         .agg(F.collect_list("at").alias("found"))
     )
-    return held.select("doc_id", "packed", "whole").join(found, "doc_id", "left").select("doc_id", "packed", F.coalesce(F.concat("whole", "found"), "whole", "found").alias("spans"))
+    return held.join(found, "doc_id", "left").select("doc_id", "packed", F.coalesce(F.concat("marks.whole", "found"), "marks.whole", "found").alias("spans"))
 
 
 def removed(unit: str, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Units, np.ndarray]]:
