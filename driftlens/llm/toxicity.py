@@ -25,7 +25,7 @@ from .shared import fold, texts
 from .symbols import symbols
 from .textkit import Rolling, column, pieces
 
-ORDERS, BITS, PER_CLASS, DAMPING, ROUNDS = (3, 4, 5), 18, 3000, 1e-2, 80
+ORDERS, BITS, PER_CLASS, DAMPING, ROUNDS = (3, 4, 5), 18, 2000, 1e-2, 60
 
 
 def slots(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
@@ -53,18 +53,17 @@ def train(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
     flat, lens = np.concatenate(rows), np.array([len(r) for r in rows])
     filled = np.flatnonzero(lens)
     off = (np.cumsum(lens) - lens)[filled]
-    label = np.repeat(y, lens)
-    p, q = (np.bincount(flat[label == k], minlength=size) + 1.0 for k in (1, 0))
+    p, q = (np.bincount(np.concatenate([r for r, v in zip(rows, y) if v == k]), minlength=size) + 1.0 for k in (1, 0))
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    x = ratio[flat]
+    x = ratio.astype(np.float32)[flat]
     # both classes weigh the same in training
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w, b, seen_w, seen_b = np.zeros(size), 0.0, np.zeros(size), 0.0
     for _ in range(ROUNDS):  # gradient steps, scaled by each slot's past gradients
         m = np.full(len(y), b)
-        m[filled] += np.add.reduceat(x * w[flat], off)
+        m[filled] += np.add.reduceat(x * w.astype(np.float32)[flat], off)
         e = (sigmoid(m) - y) * weight
-        g = np.bincount(flat, x * np.repeat(e, lens), minlength=size) + DAMPING * w
+        g = np.bincount(flat, x * np.repeat(e.astype(np.float32), lens), minlength=size) + DAMPING * w
         seen_w += g * g
         seen_b += e.sum() ** 2
         w -= 0.1 * g / np.sqrt(seen_w + 1e-12)
@@ -87,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic",
     got = labelled_sample(docs, labels, label, keep, per_class, **cols).mapInArrow(emit, "doc_id bigint, y int, slots binary").toArrow()
     order = np.argsort(np.asarray(got.column("doc_id")), kind="stable")
     y = np.asarray(got.column("y"))[order].astype(float)
-    rows = [np.frombuffer(got.column("slots")[int(i)].as_py(), np.int32).astype(np.int64) for i in order]
+    rows = [np.frombuffer(got.column("slots")[int(i)].as_py(), np.int32) for i in order]
     if not rows or not sum(map(len, rows)) or y.min() == y.max():
         return {"share": n[1] / (n[0] + n[1])}
     w, b = train(rows, y)
