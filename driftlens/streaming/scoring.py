@@ -11,4 +11,4 @@ def score_stream(events: DataFrame, scaler: DataFrame, window: str = "1 hour", w
     each window of event time.  ``events`` is a stream (series_id, ts, x); ``scaler`` a
     table (series_id, mean, std)."""
     z = F.abs((F.col("x") - F.col("mean")) / F.when(F.col("std") < 1e-8, 1.0).otherwise(F.col("std")))
-    return events.withWatermark("ts", watermark).join(scaler, "series_id").groupBy("series_id", F.window("ts", window)).agg(F.count(F.lit(1)).alias("n"), F.avg(z).alias("score"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).join(scaler, "series_id").groupBy("series_id", F.window("ts", window)).agg(F.count(F.lit(1)).alias("n"), F.avg(z).alias("score"))
