@@ -183,8 +183,8 @@ def test_language(spark):
     got = langid.identify(df).collect()
     held = [r.lang_pred == lang[r.doc_id] for r in got if r.held_out]
     assert sum(held) / len(held) > 0.97 and sum(r.rejected for r in got) < 0.02 * len(got)
-    odd = langid.identify(spark.createDataFrame([(1, None, "en"), (2, "123 !", "en"), (3, "some words here", "en"), (4, "", None)], "doc_id bigint, text string, lang string"))
-    assert {r.doc_id: r.lang_pred for r in odd.collect()} == {1: "und", 2: "und", 3: "en", 4: "und"}
+    odd = langid.identify(spark.createDataFrame([(1, None, "en"), (2, "123 !", "en"), (3, "some words here", "en"), (4, "", None), *[(i, "some words here", "en") for i in range(5, 15)]], "doc_id bigint, text string, lang string"))
+    assert {r.doc_id: r.lang_pred for r in odd.collect() if r.doc_id < 5} == {1: "und", 2: "und", 3: "en", 4: "und"}
 
 
 def test_empty_tables(spark):
