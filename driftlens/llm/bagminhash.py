@@ -12,14 +12,16 @@ earliest point.  Two multisets agree in a slot with the probability of their wei
 Jaccard similarity.  Points come in order of time, so a process stops once its next point
 is later than all slots of its text: few points are made beyond one a shingle.
 
-Links.  Equal texts collapse first.  Each signature is cut into ``BANDS`` bands; texts
-with equal bands are candidates.  A bucket's pairs are not listed: first every text meets
-the smallest one only (a row a text); later rounds take the next smallest ones, but only
-for texts that are in another class still, until no bucket holds two classes with texts
-that have not met.  Candidates
-whose signatures agree in too few slots to reach the similarity (``SCREEN``) are not
-verified; all others are, on the multisets themselves.  Classes are the connected
-components of verified links, and named by their least document.
+Links.  Equal texts collapse first.  A slot is kept as one byte; the bytes of each band are
+its key, and texts with equal keys share a bucket.  Buckets are worked off in rounds: the
+next texts of each bucket lead, and meet those behind them that are in another class still.
+Leaders are copied to each ``CHUNK`` of their bucket, so a round moves a row for each text
+and one for each leader and chunk; pairs exist only inside a task, and a pair leaves it
+only from the first band that both share, and if their signatures agree in ``SCREEN`` slots
+or more.  Pairs that agree in ``LIKELY`` slots are verified at once, on the multisets
+themselves, and join classes; the others wait until all buckets are done, and are verified
+if their texts are in two classes then.  Classes are the connected components of verified
+links, and named by their least document.
 
 All tables between rounds are written to the shared folder.  Null texts and texts without
 a word resemble nothing (each its own class); rows without an id are left out; rows that
@@ -36,14 +38,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .repeats import packed_texts, texts_of
 from .shared import cut, texts
-from .textkit import BYTE_VALUE, Rolling, column, mix, pieces, words
+from .textkit import BYTE_VALUE, Rolling, column, mix, pieces, ragged, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 43, 6
+BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-#: Slots that two texts of the similarity sought agree in, but for one case in 10**8.
-SCREEN = 170
+#: Slots that two texts of the similarity sought agree in, but for about one case in 10**5.
+SCREEN = 106
+LIKELY = int(SLOTS * SIMILARITY)
+#: Texts of a bucket that are met in one task; leaders grow by the factor each round.
+CHUNK, FASTER, MOST = 1 << 10, 16, 1 << 12
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -90,69 +96,104 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
             break
         where = (mix(s ^ _U(0xA5A5A5A5)) % _U(slots)).astype(np.int64)
         inside = low + _uniform(s ^ _U(0x5A5A5A5A00)) * width < top
-        d, w, t, v = doc[inside], where[inside], time[inside], s[inside]
-        flat = d * slots + w
-        order = np.lexsort((t, flat))
-        flat, t, v = flat[order], t[order], v[order]
-        head = np.r_[True, flat[1:] != flat[:-1]][: len(flat)]
-        flat, t, v = flat[head], t[head], v[head]
-        better = t < best.ravel()[flat]
-        best.ravel()[flat[better]], name.ravel()[flat[better]] = t[better], v[better]
-        touched = np.unique(flat[better] // slots)
+        d, t, v = doc[inside], time[inside], s[inside]
+        flat = d * slots + where[inside]
+        np.minimum.at(best.ravel(), flat, t)
+        won = best.ravel()[flat] == t
+        name.ravel()[flat[won]] = v[won]
+        touched = np.flatnonzero(np.bincount(d[won], minlength=n))
         latest[touched] = best[touched].max(1)
     return name
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, off in pieces(batch):
+        for part, data, off in pieces(batch, size=1 << 22):
             text, h, weight = shingles(data, off)
             sig = signatures(text, h, weight, len(part))
             has = np.bincount(text, minlength=len(part)) > 0
-            band = np.zeros((len(part), BANDS), _U)
-            for r in range(ROWS):
-                band = mix(band * _GOLD + sig[:, r * BANDS : (r + 1) * BANDS])
-            band += mix(np.arange(BANDS, dtype=_U) + _U(1))
             short = (sig & _U(0xFF)).astype(np.uint8)
+            band = np.broadcast_to(np.arange(BANDS), (len(part), BANDS)).astype(np.int64)
+            for r in range(ROWS):  # the key is exact: the band's number and its bytes
+                band = band << 8 | short[:, r * BANDS : (r + 1) * BANDS]
             yield pa.RecordBatch.from_arrays(
-                [column(part, "doc_id"), pa.array([x.view(np.int64).tolist() if k else [] for x, k in zip(band, has)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())],
+                [column(part, "doc_id"), pa.array([x.tolist() if k else [] for x, k in zip(band, has)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())],
                 names=["doc_id", "bands", "sig"],
             )
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates whose signatures leave the similarity possible."""
-    for b in batches:
-        if len(b):
-            x, y = (np.frombuffer(b"".join(column(b, c).to_pylist()), np.uint8).reshape(len(b), SLOTS) for c in ("sig_a", "sig_b"))
-            yield pa.RecordBatch.from_arrays([column(b, "a"), column(b, "b")], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= SCREEN))
+def _met(t: pa.Table) -> pa.RecordBatch:
+    """Pairs of whole groups (band, chunk), their leaders first."""
+    band, chunk, lead, doc, label, place = (np.asarray(t.column(c)) for c in ("band", "chunk", "lead", "doc_id", "class", "place"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(t), SLOTS)
+    edge = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (chunk[1:] != chunk[:-1])])
+    a, b, agree = [], [], []
+    for lo, hi in zip(edge, np.r_[edge[1:], len(band)]):
+        first = lo + int(np.count_nonzero(lead[lo:hi]))
+        k = int(band[lo] >> 8 * ROWS)
+        for i in range(lo, first):
+            at = first + np.flatnonzero((label[first:hi] != label[i]) & (place[first:hi] > place[i]))
+            if len(at):
+                same = sig[at] == sig[i]
+                n = same.sum(1)
+                near = n >= SCREEN
+                at, same, n = at[near], same[near], n[near]
+                new = ~same.reshape(len(at), ROWS, BANDS).all(1)[:, :k].any(1)
+                a.append(np.full(int(new.sum()), doc[i]))
+                b.append(doc[at[new]])
+                agree.append(n[new])
+    none = [np.zeros(0, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + x).astype(np.int64)) for x in (a, b, agree)], names=["a", "b", "agree"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Feed whole groups to ``_met``; rows come sorted by group, leaders first."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        t = pa.Table.from_batches([batch])
+        band, chunk = np.asarray(t.column("band")), np.asarray(t.column("chunk"))
+        if held and (held[-1].column("band")[-1].as_py() != band[0] or held[-1].column("chunk")[-1].as_py() != chunk[0]):
+            yield _met(pa.concat_tables(held).combine_chunks())
+            held = []
+        edge = np.flatnonzero((band[1:] != band[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+        if len(edge):
+            yield _met(pa.concat_tables([*held, t.slice(0, int(edge[-1]))]).combine_chunks())
+            held, t = [], t.slice(int(edge[-1]))
+        held.append(t)
+    if held:
+        yield _met(pa.concat_tables(held).combine_chunks())
+
+
+def _bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The multiset of each text as sorted numbers: a shingle's hash with 0, 1, 2 ... for
+    each time that it occurs."""
+    for batch in batches:
+        for part, data, off in pieces(texts_of(batch)):
+            text, h, count = shingles(data, off)
+            turn, each = ragged(np.zeros(len(count), np.int64), count)
+            bag, owner = mix(h[each] + turn.astype(_U) * _GOLD), text[each]
+            order = np.lexsort((bag, owner))
+            bag, first = bag[order], np.searchsorted(owner[order], np.arange(len(part) + 1))
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([bag[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary())], names=["doc_id", "bag"])
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Jaccard similarity of the multisets of text_a and text_b."""
-    for b in batches:
-        step = max(1, int(len(b) * (1 << 20) / max(1, b.nbytes)))
-        for i in range(0, len(b), step):
-            part = b.slice(i, step)
-            rows = []
-            for c in ("text_a", "text_b"):
-                (_, data, off), *_ = pieces(part, c, 1 << 40)
-                rows.append(shingles(data, off))
-            doc, h = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
-            count = np.concatenate([r[2] for r in rows])
-            order = np.lexsort((h, doc))
-            doc, h, count = doc[order], h[order], count[order]
-            same = np.flatnonzero((doc[1:] == doc[:-1]) & (h[1:] == h[:-1]))
-            least = np.bincount(doc[same], np.minimum(count[same], count[same + 1]), minlength=len(part))
-            both = np.bincount(doc, count, minlength=len(part))
-            j = least / np.maximum(both - least, 1)
-            yield pa.RecordBatch.from_arrays([column(part, "a"), column(part, "b"), pa.array(j, pa.float64())], names=["a", "b", "similarity"])
-
-
-def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b), from rows (doc_id, text)."""
-    a, b = (rows.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a bigint, b bigint, similarity double")
+    """Jaccard similarity of the multisets bag_a and bag_b."""
+    for batch in batches:
+        j = []
+        for x, y in zip(column(batch, "bag_a").to_pylist(), column(batch, "bag_b").to_pylist()):
+            both = np.frombuffer(x + y, _U)
+            order = np.sort(both)
+            same = int(np.count_nonzero(order[1:] == order[:-1]))
+            j.append(same / max(1, len(both) - same))
+        yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(j, pa.float64())], names=["a", "b", "similarity"])
+
+
+def verify(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs (a, b), from bags (doc_id, bag)."""
+    return pairs.select("a", "b").join(bags.toDF("a", "bag_a"), "a").join(bags.toDF("b", "bag_b"), "b").mapInArrow(_overlap, "a bigint, b bigint, similarity double")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -160,41 +201,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     documents' texts were verified as links of this one's text, or are equal to it."""
     rows = texts(df, id_col, text_col).where("doc_id is not null")
     real = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))  # texts without a word stand alone
-    member = rows.select("doc_id", F.when(real, F.xxhash64("text")).otherwise(F.col("doc_id")).alias("h1"), F.when(real, F.sha2("text", 256)).otherwise("").alias("h2"))
-    member = member.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).select("doc_id", "h1", "h2")
-    group = member.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    member = cut(member.join(group, ["h1", "h2"]).select("doc_id", "first", "copies"), "members")
+    same = F.when(real, F.unhex(F.md5(F.col("text").cast("binary")))).otherwise(F.col("doc_id").cast("string").cast("binary"))
+    member = rows.select("doc_id", same.alias("same")).distinct()
+    group = member.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    member = cut(member.join(group, "same").select("doc_id", "first", "copies"), "members")
 
-    signed = cut(rows.mapInArrow(_sign, "doc_id bigint, bands array<bigint>, sig binary").where(F.size("bands") > 0), "signed")
     lone = member.where("doc_id = first").select("doc_id")
-    signed = signed.join(lone, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    exploded = signed.select("doc_id", F.explode("bands").alias("band"))
-    many = exploded.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("band")
-    place = F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))
-    buckets = cut(exploded.join(many, "band").select("band", "doc_id", place.alias("place")), "buckets")
-    sigs = signed.select("doc_id", "sig")
-
-    links = classes = tested = None
+    signed = rows.mapInArrow(_sign, "doc_id bigint, bands array<bigint>, sig binary").where(F.size("bands") > 0)
+    signed = cut(signed.join(lone, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "signed")
+    order = Window.partitionBy("band").orderBy("doc_id")
+    placed = signed.select("doc_id", F.explode("bands").alias("band")).select("band", "doc_id", F.row_number().over(order).alias("place"), F.lead("doc_id").over(order).alias("next"))
+    shared = cut(placed.where("place > 1 or next is not null").drop("next"), "shared")
+    buckets = cut(shared.join(signed.select("doc_id", "sig"), "doc_id"), "buckets")
+    packed = rows.mapInArrow(packed_texts, "doc_id bigint, packed binary").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    bags = cut(packed.mapInArrow(_bag, "doc_id bigint, bag binary"), "bags")
+
+    links = classes = doubtful = None
     at, span = 1, 1  # texts at places at .. at + span - 1 of each bucket lead in this round
     while True:
-        lead = buckets.where(F.col("place").between(at, at + span - 1)).select("band", F.col("doc_id").alias("a"), F.col("place").alias("ahead"))
-        pairs = buckets.where(F.col("place") > at).join(lead, "band").where("place > ahead").select("a", F.col("doc_id").alias("b"))
-        if classes is not None:
-            of = classes.select(F.col("id").alias("b"), F.col("class").alias("class_b"))
-            pairs = pairs.join(of, "b", "left").join(of.toDF("a", "class_a"), "a", "left")
-            pairs = pairs.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs.distinct(), "pairs")
-        if pairs.head(1):
-            tested = pairs if tested is None else cut(tested.union(pairs), "tested")
-            near = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a bigint, b bigint")
-            found = cut(verify(near, rows).where(F.col("similarity") >= similarity).select("a", "b").distinct(), "links")
-            links = found if links is None else cut(links.union(found), "links")
-            classes = components(links)
-        elif at == 1:
-            break  # no bucket holds two texts
-        at, span = at + span, min(64, at)
-        if not _open(buckets, classes, at).head(1):
+        labelled = _labelled(buckets.where(F.col("place") >= at), classes)
+        several = labelled.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("place").alias("size")).where("lo < hi").select("band", "size")
+        behind = cut(labelled.join(several, "band"), "open")
+        if not behind.head(1):
             break
+        chunk = F.floor(F.col("place") / CHUNK)
+        lead = behind.where(F.col("place") < at + span).withColumn("chunk", F.explode(F.sequence(chunk, F.floor(F.col("size") / CHUNK)))).withColumn("lead", F.lit(True))
+        dealt = lead.unionByName(behind.withColumn("chunk", chunk).withColumn("lead", F.lit(False))).drop("size")
+        pairs = dealt.repartition("band", "chunk").sortWithinPartitions("band", "chunk", F.desc("lead")).mapInArrow(_meet, "a bigint, b bigint, agree bigint")
+        pairs = cut(pairs, "pairs")
+        links, classes = _joined(pairs.where(F.col("agree") >= LIKELY), bags, similarity, links, classes)
+        wait = pairs.where(F.col("agree") < LIKELY).select("a", "b")
+        doubtful = wait if doubtful is None else doubtful.union(wait)
+        at, span = at + span, min(MOST, span * FASTER)
+    if doubtful is not None:
+        if classes is not None:
+            doubtful = _labelled(_labelled(doubtful, classes, "a", "class_a"), classes, "b", "class_b").where("class_a <> class_b").select("a", "b")
+        links, classes = _joined(doubtful, bags, similarity, links, classes)
 
     ends = member.select("doc_id", "first", "copies")
     if links is None:
@@ -207,11 +249,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", F.coalesce("class", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
 
 
-def _open(buckets: DataFrame, classes: DataFrame, at: int) -> DataFrame:
-    """Buckets with texts of two classes or more from place ``at`` on."""
-    later = buckets.where(F.col("place") >= at).join(classes.select(F.col("id").alias("doc_id"), "class"), "doc_id", "left")
-    label = F.coalesce("class", "doc_id")
-    return later.groupBy("band").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo < hi")
+def _labelled(df: DataFrame, classes: DataFrame | None, key: str = "doc_id", name: str = "class") -> DataFrame:
+    """df with the class of its key; texts without a link are classes of their own."""
+    if classes is None:
+        return df.withColumn(name, F.col(key))
+    return df.join(classes.toDF(key, "_class"), key, "left").withColumn(name, F.coalesce("_class", key)).drop("_class")
+
+
+def _joined(pairs: DataFrame, bags: DataFrame, similarity: float, links: DataFrame | None, classes: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links and classes with those pairs that prove to be links."""
+    found = cut(verify(pairs, bags).where(F.col("similarity") >= similarity).select("a", "b"), "links")
+    if not found.head(1):
+        return links, classes
+    links = found if links is None else links.union(found)
+    return links, components(links)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

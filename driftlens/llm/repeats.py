@@ -97,7 +97,7 @@ def _runs(unit: str, window: int, gram: int) -> Callable:
     return emit
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one: they are shuffled once, and weigh half."""
     c = zstandard.ZstdCompressor(level=1)
     for batch in batches:
@@ -202,7 +202,7 @@ def late_spans(docs: DataFrame, unit: str, window: int, gram: int, resolve: Call
         # one column, so that both uses below prune alike and share one exchange
         .agg(F.struct(F.collect_list(F.when(late, at)).alias("whole"), F.collect_list(F.when(~late, F.struct(at.alias("at"), "anchor", "hot"))).alias("open")).alias("marks"))
     )
-    held = docs.mapInArrow(_pack, "doc_id bigint, packed binary").join(marks, "doc_id", "left")
+    held = docs.mapInArrow(packed_texts, "doc_id bigint, packed binary").join(marks, "doc_id", "left")
     found = (
         held.mapInArrow(_fetch(unit, window), _OPEN)
         .repartition("key")
