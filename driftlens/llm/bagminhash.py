@@ -16,11 +16,14 @@ Links.  Equal texts collapse first.  A slot is kept as one byte; the bytes of ea
 its key, and texts with equal keys share a bucket.  Buckets are worked off in rounds: the
 next texts of each bucket lead, and meet those behind them that are in another class still.
 Leaders are copied to each ``CHUNK`` of their bucket, so a round moves a row for each text
-and one for each leader and chunk; pairs exist only inside a task, and a pair leaves it
-only from the first band that both share, and if their signatures agree in ``SCREEN`` slots
-or more.  Pairs that agree in ``LIKELY`` slots are verified at once, on the multisets
-themselves, and join classes; the others wait until all buckets are done, and are verified
-if their texts are in two classes then.  Classes are the connected components of verified
+and one for each leader and chunk; pairs exist only inside a task, and a pair counts only
+in the first band that both share, and if their signatures agree in ``SCREEN`` slots or
+more.  Pairs that agree in ``LIKELY`` slots leave the task, are verified at once, on the
+multisets themselves, and join classes.  Of the others just the two texts are marked, so
+many texts that all but resemble each other yield a row each and not one for each pair.
+When all buckets are done, the marked texts of a bucket that are in several classes still
+meet again, with their multisets, ``BLOCK`` by ``BLOCK``: the task that a pair meets in
+verifies it, and only links leave.  Classes are the connected components of verified
 links, and named by their least document.
 
 All tables between rounds are written to the shared folder.  Null texts and texts without
@@ -30,7 +33,7 @@ repeat an id count once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,8 @@ SCREEN = 106
 LIKELY = int(SLOTS * SIMILARITY)
 #: Texts of a bucket that are met in one task; leaders grow by the factor each round.
 CHUNK, FASTER, MOST = 1 << 10, 16, 1 << 12
+#: Texts of either side that meet in one task with their multisets.
+BLOCK = 1 << 9
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -122,32 +127,68 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _met(t: pa.Table) -> pa.RecordBatch:
-    """Pairs of whole groups (band, chunk), their leaders first."""
-    band, chunk, lead, doc, label, place = (np.asarray(t.column(c)) for c in ("band", "chunk", "lead", "doc_id", "class", "place"))
+def _shared(t: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(group's band, leader, those it meets, slots they agree in) as row numbers of whole
+    groups (band, chunk) with their leaders first.  A text meets those behind it of other
+    classes, if no earlier band has them both and ``SCREEN`` slots agree."""
+    band, chunk, lead, label, place = (np.asarray(t.column(c)) for c in ("band", "chunk", "lead", "class", "place"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(t), SLOTS)
     edge = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (chunk[1:] != chunk[:-1])])
-    a, b, agree = [], [], []
     for lo, hi in zip(edge, np.r_[edge[1:], len(band)]):
         first = lo + int(np.count_nonzero(lead[lo:hi]))
         k = int(band[lo] >> 8 * ROWS)
         for i in range(lo, first):
             at = first + np.flatnonzero((label[first:hi] != label[i]) & (place[first:hi] > place[i]))
-            if len(at):
-                same = sig[at] == sig[i]
-                n = same.sum(1)
-                near = n >= SCREEN
-                at, same, n = at[near], same[near], n[near]
-                new = ~same.reshape(len(at), ROWS, BANDS).all(1)[:, :k].any(1)
-                a.append(np.full(int(new.sum()), doc[i]))
-                b.append(doc[at[new]])
-                agree.append(n[new])
+            same = sig[at] == sig[i]
+            n = same.sum(1)
+            near = n >= SCREEN
+            at, same, n = at[near], same[near], n[near]
+            new = ~same.reshape(len(at), ROWS, BANDS).all(1)[:, :k].any(1)
+            if new.any():
+                yield int(band[lo]), i, at[new], n[new]
+
+
+def _met(t: pa.Table) -> pa.RecordBatch:
+    """Likely pairs (a, b), and a row (a, band) for each text of a doubtful pair."""
+    doc = np.asarray(t.column("doc_id"))
+    none = [np.zeros(0, np.int64)]
+    a, b, marked = [], [], {}
+    for band, i, at, n in _shared(t):
+        likely = n >= LIKELY
+        a.append(np.full(int(likely.sum()), doc[i]))
+        b.append(doc[at[likely]])
+        if not likely.all():
+            marked.setdefault(band, []).extend([doc[i : i + 1], doc[at[~likely]]])
+    marked = {band: np.unique(np.concatenate(x)) for band, x in marked.items()}
+    a, b, c = np.concatenate(none + a), np.concatenate(none + b), np.concatenate(none + list(marked.values()))
+    bands = np.repeat(np.array(list(marked), np.int64), [len(x) for x in marked.values()])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.r_[a, c], pa.int64()), pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(c), pa.int64())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(bands)])],
+        names=["a", "b", "band"],
+    )
+
+
+def _proved(t: pa.Table, similarity: float) -> pa.RecordBatch:
+    """Links (a, b) among doubtful pairs, from the bags of whole groups."""
+    doc, bags = np.asarray(t.column("doc_id")), [np.frombuffer(x.as_buffer(), _U) for x in t.column("bag")]
+    size = np.array([len(x) for x in bags])
+    a, b = [], []
+    for _, i, at, n in _shared(t):
+        least, most = np.minimum(size[at], size[i]), np.maximum(size[at], size[i])
+        at = at[(n < LIKELY) & (least >= similarity * most - 1e-6)]
+        if len(at):
+            every = np.concatenate([bags[j] for j in at])
+            hit = bags[i][np.minimum(np.searchsorted(bags[i], every), size[i] - 1)] == every
+            same = np.add.reduceat(hit, np.cumsum(size[at]) - size[at], dtype=np.int64)
+            at = at[same / (size[at] + size[i] - same) >= similarity]
+            a.append(np.full(len(at), doc[i]))
+            b.append(doc[at])
     none = [np.zeros(0, np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + x).astype(np.int64)) for x in (a, b, agree)], names=["a", "b", "agree"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + x), pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Feed whole groups to ``_met``; rows come sorted by group, leaders first."""
+def _by_group(batches: Iterator[pa.RecordBatch], met: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Feed whole groups to ``met``; rows come sorted by group, leaders first."""
     held: list[pa.Table] = []
     for batch in batches:
         if not len(batch):
@@ -155,15 +196,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches([batch])
         band, chunk = np.asarray(t.column("band")), np.asarray(t.column("chunk"))
         if held and (held[-1].column("band")[-1].as_py() != band[0] or held[-1].column("chunk")[-1].as_py() != chunk[0]):
-            yield _met(pa.concat_tables(held).combine_chunks())
+            yield met(pa.concat_tables(held).combine_chunks())
             held = []
         edge = np.flatnonzero((band[1:] != band[:-1]) | (chunk[1:] != chunk[:-1])) + 1
         if len(edge):
-            yield _met(pa.concat_tables([*held, t.slice(0, int(edge[-1]))]).combine_chunks())
+            yield met(pa.concat_tables([*held, t.slice(0, int(edge[-1]))]).combine_chunks())
             held, t = [], t.slice(int(edge[-1]))
         held.append(t)
     if held:
-        yield _met(pa.concat_tables(held).combine_chunks())
+        yield met(pa.concat_tables(held).combine_chunks())
 
 
 def _bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,27 +257,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     packed = rows.mapInArrow(packed_texts, "doc_id bigint, packed binary").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     bags = cut(packed.mapInArrow(_bag, "doc_id bigint, bag binary"), "bags")
 
-    links = classes = doubtful = None
+    links = classes = marks = None
     at, span = 1, 1  # texts at places at .. at + span - 1 of each bucket lead in this round
     while True:
-        labelled = _labelled(buckets.where(F.col("place") >= at), classes)
-        several = labelled.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("place").alias("size")).where("lo < hi").select("band", "size")
-        behind = cut(labelled.join(several, "band"), "open")
+        behind = cut(_several(_labelled(buckets.where(F.col("place") >= at), classes)), "open")
         if not behind.head(1):
             break
         chunk = F.floor(F.col("place") / CHUNK)
         lead = behind.where(F.col("place") < at + span).withColumn("chunk", F.explode(F.sequence(chunk, F.floor(F.col("size") / CHUNK)))).withColumn("lead", F.lit(True))
         dealt = lead.unionByName(behind.withColumn("chunk", chunk).withColumn("lead", F.lit(False))).drop("size")
-        pairs = dealt.repartition("band", "chunk").sortWithinPartitions("band", "chunk", F.desc("lead")).mapInArrow(_meet, "a bigint, b bigint, agree bigint")
-        pairs = cut(pairs, "pairs")
-        links, classes = _joined(pairs.where(F.col("agree") >= LIKELY), bags, similarity, links, classes)
-        wait = pairs.where(F.col("agree") < LIKELY).select("a", "b")
-        doubtful = wait if doubtful is None else doubtful.union(wait)
+        met = _grouped(dealt, _met, "a bigint, b bigint, band bigint")
+        met = cut(met, "met")
+        links, classes = _joined(met.where("b is not null").select("a", "b"), bags, similarity, links, classes)
+        doubtful = met.where("b is null").select("band", F.col("a").alias("doc_id"))
+        marks = doubtful if marks is None else marks.union(doubtful)
         at, span = at + span, min(MOST, span * FASTER)
-    if doubtful is not None:
-        if classes is not None:
-            doubtful = _labelled(_labelled(doubtful, classes, "a", "class_a"), classes, "b", "class_b").where("class_a <> class_b").select("a", "b")
-        links, classes = _joined(doubtful, bags, similarity, links, classes)
+    if marks is not None:
+        found = cut(_settled(marks.distinct(), signed, bags, similarity, classes), "links")
+        if found.head(1):
+            links = found if links is None else links.union(found)
+            classes = components(links)
 
     ends = member.select("doc_id", "first", "copies")
     if links is None:
@@ -249,6 +289,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", F.coalesce("class", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
 
 
+def _several(df: DataFrame) -> DataFrame:
+    """Rows (band, place, class) of the buckets that hold several classes, with the last
+    place as ``size``."""
+    several = df.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("place").alias("size")).where("lo < hi").select("band", "size")
+    return df.join(several, "band")
+
+
+def _grouped(df: DataFrame, met: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``met`` over the groups (band, chunk)."""
+    return df.repartition("band", "chunk").sortWithinPartitions("band", "chunk", F.desc("lead")).mapInArrow(lambda batches: _by_group(batches, met), schema)
+
+
+def _settled(marks: DataFrame, signed: DataFrame, bags: DataFrame, similarity: float, classes: DataFrame | None) -> DataFrame:
+    """Links (a, b) between marked texts (band, doc_id) of one bucket and two classes."""
+    order = Window.partitionBy("band").orderBy("doc_id")
+    open_ = _several(_labelled(marks, classes).withColumn("place", F.row_number().over(order) - 1))
+    block = F.floor(F.col("place") / BLOCK)
+    full = open_.join(signed.select("doc_id", "sig"), "doc_id").join(bags, "doc_id").withColumn("block", block)
+    lead = full.withColumn("other", F.explode(F.sequence("block", F.floor(F.col("size") / BLOCK)))).withColumn("chunk", F.struct("block", "other")).withColumn("lead", F.lit(True))
+    rest = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), "block"))).withColumn("chunk", F.struct(F.col("other").alias("block"), F.col("block").alias("other"))).withColumn("lead", F.lit(False))
+    dealt = lead.unionByName(rest).withColumn("chunk", F.col("chunk.block") * (1 << 31) + F.col("chunk.other")).drop("block", "other", "size")
+    return _grouped(dealt, lambda t: _proved(t, similarity), "a bigint, b bigint")
+
+
 def _labelled(df: DataFrame, classes: DataFrame | None, key: str = "doc_id", name: str = "class") -> DataFrame:
     """df with the class of its key; texts without a link are classes of their own."""
     if classes is None:

@@ -96,16 +96,35 @@ def jaccard(a: Counter, b: Counter) -> float:
     return sum((a & b).values()) / max(1, sum((a | b).values()))
 
 
-def test_near_duplicates(spark, docs):
-    ws = {i: WORD.findall(t or "") for i, t in enumerate(edge_texts())}
+def near_classes(texts: list) -> dict[int, int]:
+    ws = {i: WORD.findall(t or "") for i, t in enumerate(texts)}
     sh = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter() for i, w in ws.items()}
     of = {i: i for i in sh}
     for i in sh:
         for j in range(i):
-            if (jaccard(sh[i], sh[j]) >= 0.8 or edge_texts()[i] == edge_texts()[j] is not None) and of[i] != of[j]:
+            if (jaccard(sh[i], sh[j]) >= 0.8 or texts[i] == texts[j] is not None) and of[i] != of[j]:
                 low, high = sorted((of[i], of[j]))
                 of = {k: low if v == high else v for k, v in of.items()}
-    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs).collect()} == of
+    return of
+
+
+def test_near_duplicates(spark, docs):
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs).collect()} == near_classes(edge_texts())
+
+
+def test_doubtful_pairs(spark, monkeypatch):
+    """Variants of one text whose similarity is a little below or above the limit."""
+    monkeypatch.setattr(bagminhash, "BLOCK", 3)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(24):
+        w = list(base)
+        for i in rng.sample(range(200), 2 + k % 2):
+            w[i] = f"v{k}x{i}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(df).collect()} == near_classes(texts)
 
 
 def test_signatures_estimate_weighted_jaccard():
