@@ -8,8 +8,10 @@ the hash's leading bits.  The language with the least cross-entropy a symbol is
 a text is rejected if its cross-entropy lies far above that of training texts in the
 same language (``REJECT`` deviations, more for short texts).
 
-``MAX_GRAMS`` bounds the model (most frequent 4-grams first), not the texts it is counted
-on.  Null texts and texts without a letter are ``und`` with score 0, and rejected; so is
+No 4-gram is left out.  Discounts, lower orders and their counts are aggregates over the
+written table of all 4-grams; a model of more than ``PART_CELLS`` grams times languages is
+dealt into parts by a 4-gram's two middle symbols (with them go its contexts and lower
+orders), and a task holds one part at a time over a bounded run of texts.  Null texts and texts without a letter are ``und`` with score 0, and rejected; so is
 everything if nothing can be learnt.  Rows with a null language are never learnt from.
 """
 
@@ -22,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, fold
+from .shared import bounded_batches, cut, fold
 from .symbols import BLANK, symbols
 from .textkit import column, mix, pieces
 
-ORDER, MAX_GRAMS, REJECT, SHARPNESS = 4, 1 << 20, 8.0, 20.0
+ORDER, REJECT, SHARPNESS = 4, 8.0, 20.0
+#: Probabilities a part of the model holds (grams times languages), and the symbols of the
+#: texts held at once while the parts go by.
+PART_CELLS, HELD_SYMBOLS = 1 << 21, 1 << 23
+WHOLE = (0, 1 << 32)  # the range of ``middle``
 _U = np.uint64
 
 
@@ -76,25 +82,25 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where(keys[at] == wanted, values[at], 0)
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict:
-    """The model of all languages from their 4-grams (sorted) and counts."""
-    langs = sorted(counts)
-    levels = []  # of each order: union of keys, and each language's counts
-    now = {x: counts[x] for x in langs}
-    for n in range(ORDER, 0, -1):
-        levels.append((n, now))
-        now = {x: np.unique(k & _mask(n - 1), return_counts=True) for x, (k, _) in now.items()} if n > 1 else now
-    alphabet = len(np.unique(np.concatenate([k for k, _ in levels[-1][1].values()]))) + 1
+def middle(keys: np.ndarray) -> np.ndarray:
+    """The third and second symbol of each 4-gram as one number: its place among the parts."""
+    return ((keys >> _U(16) & _U(0xFFFF)) << _U(16)) | (keys >> _U(32) & _U(0xFFFF))
+
+
+def build(langs: list[str], discounts: dict, counts: dict, bigrams: dict, unigrams: dict) -> dict:
+    """A part of the model: of each language the part's 4-grams (sorted) and counts, all
+    bigrams of its third symbols, all unigrams, and the discount of each order."""
+    triples = {x: np.unique(k & _mask(3), return_counts=True) for x, (k, _) in counts.items()}
+    alphabet = len(np.unique(np.concatenate([k for k, _ in unigrams.values()]))) + 1
     model = {"langs": langs, "floor": -np.log(alphabet), "orders": []}
     lower_keys, lower = None, None
-    for n, level in reversed(levels):
+    for n, level in ((1, unigrams), (2, bigrams), (3, triples), (4, counts)):
         keys = np.unique(np.concatenate([k for k, _ in level.values()]))
         contexts = np.unique(keys >> _U(16))
         prob, back = np.empty((len(langs), len(keys))), np.empty((len(langs), len(contexts)))
         for i, x in enumerate(langs):
             k, c = level[x]
-            n1, n2 = (c == 1).sum(), (c == 2).sum()
-            d = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+            d = discounts[n, x]
             ctx, at = np.unique(k >> _U(16), return_inverse=True)
             total, kinds = np.bincount(at, c, minlength=len(ctx)), np.bincount(at, minlength=len(ctx))
             all_ = _lookup(ctx, total.astype(float), contexts)
@@ -124,19 +130,22 @@ def log_probabilities(model: dict, keys: np.ndarray, level: int = 0) -> np.ndarr
     return out
 
 
-def measure(model: dict, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cross-entropies (nats a symbol; a row for each text, a column for each language)
-    and the number of letters of each text."""
-    s, start = symbols(data, off, ORDER - 1)
-    letters = np.add.reduceat(s != BLANK, start[:-1]) if len(start) > 1 else np.zeros(0, int)
-    total = np.zeros((len(off) - 1, len(model["langs"])))
-    if len(s) >= ORDER:
-        lp = log_probabilities(model, grams(s))  # the gram at i ends at i + ORDER - 1
-        sums = np.zeros((len(lp), lp.shape[1] + 1))
-        np.cumsum(lp, axis=1, dtype=np.float64, out=sums[:, 1:])
-        total = (sums[:, start[1:] - ORDER + 1] - sums[:, start[:-1]]).T
-    scored = np.maximum(1, np.diff(start) - ORDER + 1)
-    return -total / scored[:, None], letters
+def sums(part: dict, s: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The log probabilities a part gives to the symbols of each text, added up; a row for
+    each text, a column for each language."""
+    if len(s) < ORDER:
+        return np.zeros((len(start) - 1, len(part["langs"])))
+    g = grams(s)  # the gram at i ends at i + ORDER - 1
+    low, high = part["range"]
+    a, z = start[:-1], start[1:] - ORDER + 1
+    if (low, high) != WHOLE:
+        m = middle(g)
+        own = np.flatnonzero((m >= low) & (m < high))
+        g, a, z = g[own], np.searchsorted(own, a), np.searchsorted(own, z)
+    lp = log_probabilities(part, g)
+    added = np.zeros((len(lp), lp.shape[1] + 1))
+    np.cumsum(lp, axis=1, dtype=np.float64, out=added[:, 1:])
+    return (added[:, z] - added[:, a]).T
 
 
 def count_grams(df: DataFrame) -> DataFrame:
@@ -176,20 +185,58 @@ def count_grams(df: DataFrame) -> DataFrame:
     return df.select("lang", "text").mapInArrow(emit, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, max_grams: int = MAX_GRAMS) -> dict | None:
-    """The calibrated model from rows (lang, text); None if there is nothing to learn."""
-    bounded_batches(train.sparkSession)
+def _by_lang(df: DataFrame, langs: list[str]) -> dict:
+    """Of each language the sorted grams of (lang, gram, n) and their counts."""
+    got = df.select("lang", "gram", "n").toArrow()
+    lang = got.column("lang").combine_chunks().dictionary_encode()
+    code, names = np.asarray(lang.indices), lang.dictionary.to_pylist()
+    gram, n = np.asarray(got.column("gram")).view(_U), np.asarray(got.column("n"))
+    out = {}
+    for x in langs:
+        here = np.flatnonzero(code == names.index(x)) if x in names else np.empty(0, np.int64)
+        here = here[np.argsort(gram[here])]
+        out[x] = gram[here], n[here]
+    return out
+
+
+def _lower(df: DataFrame, n: int) -> DataFrame:
+    """The n-grams of (lang, gram, n) of the order above, with the number of its kinds."""
+    return df.groupBy("lang", F.col("gram").bitwiseAND(F.lit(int(_mask(n)))).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit(train: DataFrame) -> dict | None:
+    """The calibrated model from rows (lang, text), its parts broadcast one by one; None if
+    there is nothing to learn."""
+    spark = train.sparkSession
+    bounded_batches(spark)
     train = train.select(train["lang"].alias("lang"), train["text"].alias("text")).where("lang is not null and text is not null")
-    got = count_grams(train).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
-    if not len(got):
+    all_ = cut(count_grams(train), "grams")
+    triples = _lower(all_, 3)
+    pairs = cut(_lower(triples, 2), "bigrams")
+    singles = _lower(pairs, 1)
+    levels = [df.select(F.lit(n).alias("level"), "lang", "n") for n, df in ((4, all_), (3, triples), (2, pairs), (1, singles))]
+    stats = levels[0].unionAll(levels[1]).unionAll(levels[2]).unionAll(levels[3]).groupBy("level", "lang")
+    stats = stats.agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()  # four rows a language
+    if not stats:
         return None
-    lang, gram, n = np.asarray(got.column("lang").to_pylist(), object), np.asarray(got.column("gram")).view(_U), np.asarray(got.column("n"))
-    counts = {}
-    for x in sorted(set(lang)):
-        k, c = gram[lang == x], n[lang == x]
-        order = np.argsort(k)
-        counts[x] = (k[order], c[order])
-    model = build(counts)
+    discounts = {(r["level"], r["lang"]): min(0.9, max(0.1, r["n1"] / (r["n1"] + 2 * r["n2"]))) if r["n1"] else 0.5 for r in stats}
+    langs = sorted({r["lang"] for r in stats})
+    unigrams = _by_lang(singles, langs)  # at most 2**16 a language
+    third, second = (F.shiftrightunsigned("gram", k).bitwiseAND(F.lit(0xFFFF)) for k in (16, 32))
+    place = F.shiftleft(third, 16).bitwiseOR(second)
+    kinds = all_.select("gram").distinct()
+    n_parts = -(-kinds.count() * len(langs) // PART_CELLS)
+    edges = [WHOLE[0], WHOLE[1]]
+    if n_parts > 1:
+        share = [k / n_parts for k in range(1, n_parts)]
+        edges = sorted({*edges, *kinds.agg(F.percentile_approx(place, share, max(10_000, 100 * n_parts))).first()[0]})
+    parts = []
+    for low, high in zip(edges[:-1], edges[1:]):
+        own = all_ if n_parts == 1 else all_.where((place >= low) & (place < high))
+        below = pairs.where(F.shiftrightunsigned("gram", 16).between(low >> 16, (high - 1) >> 16))
+        part = build(langs, discounts, _by_lang(own, langs), _by_lang(below, langs), unigrams)
+        parts.append(spark.sparkContext.broadcast(part | {"range": (low, high)}))
+    model = {"langs": langs, "parts": parts}
     seen = (
         measured(train, model).where("n_letters >= 50").groupBy("lang_pred").agg(F.avg("cross_entropy").alias("m"), F.stddev_pop("cross_entropy").alias("s")).collect()
     )  # a row for each language
@@ -203,22 +250,40 @@ _ADDED = "lang_pred string, score double, cross_entropy double, n_letters bigint
 def measured(df: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
     """The rows of df with lang_pred, score, cross_entropy and n_letters."""
     bounded_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # MAX_GRAMS bounds its size
+    langs, shared = (model["langs"], model["parts"]) if model else ([], [])
+
+    def scored(held: list) -> Iterator[pa.RecordBatch]:
+        total = [0.0] * len(held)
+        for b in shared:
+            part = b.value
+            for i, (_, s, start) in enumerate(held):
+                total[i] = total[i] + sums(part, s, start)
+            if len(shared) > 1:
+                del part
+                vars(b).pop("_value", None)  # one part at a time; it is read again from its file
+        for (rows, s, start), t in zip(held, total):
+            if model is None:
+                pred, sure = ["und"] * len(rows), np.zeros(len(rows))
+                least, letters = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+            else:
+                letters = np.add.reduceat(s != BLANK, start[:-1]) if len(start) > 1 else np.zeros(0, int)
+                h = -t / np.maximum(1, np.diff(start) - ORDER + 1)[:, None]  # nats a symbol
+                best, least = h.argmin(1), h.min(1)
+                sure = np.where(letters > 0, 1 / np.exp(-SHARPNESS * (h - least[:, None])).sum(1), 0.0)
+                pred = [langs[b] if k else "und" for b, k in zip(best, letters)]
+            arrays = [*rows.columns, pa.array(pred, pa.string()), pa.array(sure, pa.float64()), pa.array(least, pa.float64()), pa.array(letters.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*rows.schema.names, "lang_pred", "score", "cross_entropy", "n_letters"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        held, size = [], 0
         for batch in batches:
             for part, data, off in pieces(batch, text_col):
-                if m is None:
-                    pred, sure = ["und"] * len(part), np.zeros(len(part))
-                    least, letters = np.zeros(len(part)), np.zeros(len(part), np.int64)
-                else:
-                    h, letters = measure(m, data, off)
-                    best, least = h.argmin(1), h.min(1)
-                    sure = np.where(letters > 0, 1 / np.exp(-SHARPNESS * (h - least[:, None])).sum(1), 0.0)
-                    pred = [m["langs"][b] if k else "und" for b, k in zip(best, letters)]
-                arrays = [*part.columns, pa.array(pred, pa.string()), pa.array(sure, pa.float64()), pa.array(least, pa.float64()), pa.array(letters.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, "lang_pred", "score", "cross_entropy", "n_letters"])
+                held.append((part, *(symbols(data, off, ORDER - 1) if model else (None, None))))
+                size += len(data)
+                if len(shared) < 2 or size > HELD_SYMBOLS:
+                    yield from scored(held)
+                    held, size = [], 0
+        yield from scored(held)
 
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(emit, f"{schema}, {_ADDED}")

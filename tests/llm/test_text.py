@@ -229,3 +229,28 @@ def test_pipeline(spark):
         docs = out
     assert set(corpus_pipeline.run(spark, d).columns) == {*docs.columns, "copy"}
     assert "pipeline" in Q.QUERIES
+
+
+def test_language_keeps_all_grams(spark):
+    """A small language beside one with more than 2^20 more frequent 4-grams."""
+    rng = np.random.default_rng(1)
+    many = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 150_000))) for _ in range(8)]
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    few = [letters[i] + "".join(rng.choice(letters, 60)) for i in range(20)]
+    rows = [(i, "many", t) for i, t in enumerate(many * 2)] + [(100 + i, "small", t) for i, t in enumerate(few)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(4)
+    model = langid.fit(df)
+    got = langid.measured(df.where("doc_id >= 100"), model).select("lang_pred", langid.rejected(model).alias("r")).collect()
+    assert len(got) == 20 and all(r.lang_pred == "small" and not r.r for r in got)
+
+
+def test_language_parts(spark, monkeypatch):
+    """A model in parts gives what the model in one part gives."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    whole = {r.doc_id: r for r in langid.measured(df, langid.fit(df)).collect()}
+    monkeypatch.setattr(langid, "PART_CELLS", 5000)
+    model = langid.fit(df)
+    assert len(model["parts"]) > 3
+    for r in langid.measured(df, model).collect():
+        w = whole[r.doc_id]
+        assert (r.lang_pred, r.n_letters) == (w.lang_pred, w.n_letters) and r.cross_entropy == pytest.approx(w.cross_entropy, abs=1e-9)
