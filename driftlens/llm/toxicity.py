@@ -6,7 +6,8 @@ scales it, and a linear classifier is trained over the scaled features; a text's
 the logistic of the weighted sum.
 
 Fitted on a bounded sample of about ``PER_CLASS`` texts a class (``fitting``), which the
-executors turn into slots; the driver gets slot numbers, not texts.  Texts without a
+executors turn into a written table of slots in ``GROUPS`` groups.  Class counts and each
+gradient are added up there: the driver gets a vector a group, not rows.  Texts without a
 letter have no features: their score is that of the constant alone.  With one kind of
 labels only (or none) every score is that kind's share (or 0.5).
 """
@@ -21,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fitting import labelled_sample, sigmoid
-from .shared import fold, texts
+from .shared import cut, fold, texts
 from .symbols import symbols
 from .textkit import Rolling, column, pieces
 
-ORDERS, BITS, PER_CLASS, DAMPING, ROUNDS = (3, 4, 5), 18, 2000, 1e-2, 60
+ORDERS, BITS, PER_CLASS, DAMPING, ROUNDS, GROUPS = (3, 4, 5), 18, 3000, 1e-2, 80, 6
 
 
 def slots(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
@@ -47,27 +48,58 @@ def slots(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
             yield found
 
 
-def train(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weight of each slot (ratio times linear weight) and the constant."""
+def added(rows: DataFrame, vector) -> list[np.ndarray]:
+    """``vector(flat, lens, y)`` of each group of rows (part, y, slots) in bounded batches,
+    added up by group on the executors; one array a group, in the groups' order."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, y = np.asarray(column(batch, "part")), np.asarray(column(batch, "y"))
+            each = [np.frombuffer(r, np.int32) for r in column(batch, "slots").to_pylist()]
+            for p in np.unique(part):
+                here = np.flatnonzero(part == p)
+                lens = np.array([len(each[i]) for i in here])
+                sums[p] = sums.get(p, 0) + vector(np.concatenate([each[i] for i in here]), lens, y[here])
+        for p, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["part", "v"])
+
+    got = rows.mapInArrow(emit, "part int, v binary").collect()  # GROUPS vectors, or as many as tasks share a group
+    return [np.frombuffer(r["v"], float) for r in sorted(got, key=lambda r: (r["part"], bytes(r["v"])))]
+
+
+def train(rows: DataFrame, kinds: dict[int, int]) -> tuple[np.ndarray, float]:
+    """Weight of each slot (ratio times linear weight) and the constant, from rows
+    (part, y, slots) of which ``kinds`` has the number of each class."""
     size = 1 << BITS
-    flat, lens = np.concatenate(rows), np.array([len(r) for r in rows])
-    filled = np.flatnonzero(lens)
-    off = (np.cumsum(lens) - lens)[filled]
-    p, q = (np.bincount(np.concatenate([r for r, v in zip(rows, y) if v == k]), minlength=size) + 1.0 for k in (1, 0))
+    spark = rows.sparkSession.sparkContext
+
+    def seen(flat: np.ndarray, lens: np.ndarray, y: np.ndarray) -> np.ndarray:
+        own = np.repeat(y, lens)
+        return np.concatenate([np.bincount(flat[own == k], minlength=size) for k in (1, 0)]).astype(float)
+
+    p, q = (c + 1.0 for c in np.split(sum(added(rows, seen)), 2))
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    x = ratio.astype(np.float32)[flat]
-    # both classes weigh the same in training
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w, b, seen_w, seen_b = np.zeros(size), 0.0, np.zeros(size), 0.0
     for _ in range(ROUNDS):  # gradient steps, scaled by each slot's past gradients
-        m = np.full(len(y), b)
-        m[filled] += np.add.reduceat(x * w.astype(np.float32)[flat], off)
-        e = (sigmoid(m) - y) * weight
-        g = np.bincount(flat, x * np.repeat(e.astype(np.float32), lens), minlength=size) + DAMPING * w
+        now = spark.broadcast((ratio * w).astype(np.float32))
+
+        def gradient(flat: np.ndarray, lens: np.ndarray, y: np.ndarray, now=now, b=b) -> np.ndarray:
+            filled = np.flatnonzero(lens)
+            m = np.full(len(y), b)
+            if len(filled):
+                m[filled] += np.add.reduceat(now.value[flat], (np.cumsum(lens) - lens)[filled], dtype=float)
+            # both classes weigh the same in training
+            e = (sigmoid(m) - y) * np.where(y == 1, 0.5 / kinds[1], 0.5 / kinds[0])
+            return np.r_[np.bincount(flat, np.repeat(e, lens), minlength=size), e.sum()]
+
+        total = sum(added(rows, gradient))
+        now.destroy()
+        g, e = ratio * total[:-1] + DAMPING * w, total[-1]
         seen_w += g * g
-        seen_b += e.sum() ** 2
+        seen_b += e**2
         w -= 0.1 * g / np.sqrt(seen_w + 1e-12)
-        b -= 0.1 * e.sum() / np.sqrt(seen_b + 1e-12)
+        b -= 0.1 * e / np.sqrt(seen_b + 1e-12)
     return w * ratio, b
 
 
@@ -83,13 +115,13 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic",
                 rows = [r.astype(np.int32).tobytes() for r in slots(data, off)]
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "y"), pa.array(rows, pa.binary())], names=["doc_id", "y", "slots"])
 
-    got = labelled_sample(docs, labels, label, keep, per_class, **cols).mapInArrow(emit, "doc_id bigint, y int, slots binary").toArrow()
-    order = np.argsort(np.asarray(got.column("doc_id")), kind="stable")
-    y = np.asarray(got.column("y"))[order].astype(float)
-    rows = [np.frombuffer(got.column("slots")[int(i)].as_py(), np.int32) for i in order]
-    if not rows or not sum(map(len, rows)) or y.min() == y.max():
+    found = labelled_sample(docs, labels, label, keep, per_class, **cols).mapInArrow(emit, "doc_id bigint, y int, slots binary")
+    part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(GROUPS)).cast("int")
+    rows = cut(found.withColumn("part", part).repartition(GROUPS, "part").sortWithinPartitions("part", "doc_id"), "slots").select("part", "y", "slots")
+    sizes = {r["y"]: r for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("slots")).alias("size")).collect()}  # two rows
+    if len(sizes) < 2 or not sum(r["size"] for r in sizes.values()):
         return {"share": n[1] / (n[0] + n[1])}
-    w, b = train(rows, y)
+    w, b = train(rows, {y: r["n"] for y, r in sizes.items()})
     return {"weights": w.astype(np.float32), "constant": b}
 
 

@@ -254,3 +254,21 @@ def test_language_parts(spark, monkeypatch):
     for r in langid.measured(df, model).collect():
         w = whole[r.doc_id]
         assert (r.lang_pred, r.n_letters) == (w.lang_pred, w.n_letters) and r.cross_entropy == pytest.approx(w.cross_entropy, abs=1e-9)
+
+
+def test_toxic_texts_are_found(spark):
+    """Held-out recall, and no rows of the sample on the driver: vectors alone come back."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(["vile scum", "rotten pig"] if i % 8 == 0 and k % 5 == 0 else ["calm", "river", "stone", "garden", "letter"]) for k in range(40))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    got = [(r.predicted, int(r.doc_id % 8 == 0)) for r in toxicity.classify(docs, labels).collect() if r.held_out]
+    assert toxicity.PER_CLASS >= 3000 and toxicity.ROUNDS >= 80
+    assert sum(a and b for a, b in got) >= 0.9 * sum(b for _, b in got) > 0
+
+
+def test_toxic_gradients_add_up(spark):
+    rows = [(i % 3, i % 2, np.arange(i, i + 4, dtype=np.int32).tobytes()) for i in range(12)]
+    df = spark.createDataFrame(rows, "part int, y int, slots binary").repartition(5)
+    got = sum(toxicity.added(df, lambda flat, lens, y: np.r_[np.bincount(flat, minlength=16), y.sum()].astype(float)))
+    assert got.tolist() == [*np.bincount(np.concatenate([np.arange(i, i + 4) for i in range(12)]), minlength=16), 6]
