@@ -2,20 +2,21 @@
 
 Common ground of the word-wise (``substring``) and the byte-wise (``suffixes``) operator.
 A *window* is ``window`` consecutive units (words or bytes) of one document; it is *late*
-if the same window also starts in a document with a smaller id.  Found are all late
-windows, exactly, and without ever moving a window on its own:
-
-1. Each document is cut into runs of windows with the same minimiser (``textkit.Runs``).
-   Equal windows have equal minimisers, so they meet under the same *anchor*.  One row a
-   run is shuffled.  Runs whose segment equals that of a smaller document in the same
-   piece of a partition are late already; they go to a key of their own, so an anchor that
-   a third of all documents share gets one row a piece.
-2. Under an anchor, a run whose whole segment also stands in a smaller document is late
-   as a whole.  Among the first copies of each segment, only those under anchors with
-   two segments or more can hold late windows: these are *open*.
-3. Open segments are fetched from the texts and dealt by anchor; a ``resolve`` function
-   (blocks or suffix arrays) finds the late windows in bounded shards of them.  Under
-   anchors with more than ``HOT`` rows every window is dealt by its own hash.
+if the same window also starts in a document with a smaller id.  All late windows, and no
+others, are found by the operator's own ``resolve`` (blocks, suffix arrays); what stands
+here only brings together texts that may share windows:
+
+1. Texts are sorted by a sketch (the least of all hashes of ``gram`` units), so most copies
+   of a text become neighbours, and ``resolve`` finds the late windows inside each piece of
+   some megabytes.  A group of copies, however large, leaves one text a piece.
+2. The windows left are cut into runs with the same minimiser (``textkit.Runs``).  Equal
+   windows have equal minimisers; a run is shuffled as its minimiser (its *anchor*) and its
+   document.  Anchors of one document only need nothing more.
+3. Runs under anchors of several documents are fetched from the texts and dealt by anchor;
+   ``resolve`` finds the late windows in bounded shards of whole anchors.  Under anchors
+   with more than ``HOT`` rows every window is dealt by its own hash; a group that is longer
+   than a shard is resolved in the order of its documents, and what is first in one part of
+   it is carried on to the next.
 
 Documents without an id take part in nothing and keep all their units.
 """
@@ -36,15 +37,16 @@ from .textkit import BYTE_VALUE, Rolling, Runs, column, covered, mix, pieces, ra
 
 #: Rows under one anchor from which its windows are dealt one by one.
 HOT = 1 << 14
-#: Bytes of open segments that are resolved at once.
-SHARD_BYTES = 1 << 20
+#: Bytes of segments that are resolved at once.
+SHARD_BYTES, LONG_KEY = 1 << 21, 8
 
-#: seg holds 44 bits of the segment's hash and 20 of the run's number of windows; start is
-#: negative (by one more) for runs that are known to be late.
-_RUN = "anchor bigint, seg bigint, doc_id bigint, start int"
+#: Spans are numbers ``start << 20 | n``: the late windows start at units start .. start+n-1.
 _LONGEST = (1 << 20) - 1
-_OPEN = "key bigint, doc_id bigint, start int, body binary"
-_LATE = "doc_id bigint, at bigint"
+_HELD = "doc_id bigint, twin int, packed binary, spans array<bigint>"
+_RUN = "anchor bigint, doc_id bigint"
+_OPEN = "key bigint, doc_id bigint, twin int, start int, body binary"
+_LATE = "doc_id bigint, twin int, at bigint"
+_ANCHOR_BITS = np.uint64(48)
 
 
 class Units:
@@ -60,41 +62,19 @@ class Units:
         each = BYTE_VALUE[self.data]
         return each if self.unit == "byte" else Rolling(each).spans(self.lo, self.hi)
 
-    def body(self, a: int, b: int) -> bytes:
-        """Units a..b-1 as bytes; words with one space between."""
-        if self.unit == "byte":
-            return self.data[a:b].tobytes()
-        lo = self.lo[a:b]
-        at, owner = ragged(lo, self.hi[a:b] - lo + 1)
-        out = self.data[np.minimum(at, len(self.data) - 1)]
-        out[np.r_[owner[1:] != owner[:-1], True]] = 0x20
-        return out[:-1].tobytes()
-
-
-def _runs(unit: str, window: int, gram: int) -> Callable:
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, off in pieces(batch):
-                ids = column(part, "doc_id")
-                u = Units(unit, data, off)
-                r = Runs(u.values, u.first[:-1], u.first[1:], window, gram, _LONGEST)
-                has = np.asarray(ids.is_valid())[r.doc]
-                doc = np.asarray(ids.fill_null(0))[r.doc][has]
-                n = (r.last - r.first + 1)[has]
-                anchor, start = r.anchor[has].view(np.int64), (r.first - u.first[r.doc])[has]
-                seg = ((r.seg[has] >> np.uint64(20) << np.uint64(20)) | n.astype(np.uint64)).view(np.int64)
-                order = np.lexsort((doc, seg, anchor))
-                a, s, d = anchor[order], seg[order], doc[order]
-                new = np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])][: len(a)]
-                known = np.zeros(len(a), bool)
-                if len(a):
-                    known[order] = d > d[new][np.cumsum(new) - 1]
-                own = mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (np.where(known, own, anchor), seg, doc, np.where(known, -1 - start, start).astype(np.int32))], names=["anchor", "seg", "doc_id", "start"]
-                )
-
-    return emit
+    def bodies(self, a: np.ndarray, b: np.ndarray) -> pa.Array:
+        """Units a..b-1 of each pair (b > a) as bytes; words with one space between."""
+        at, owner = ragged(a, b - a)
+        if self.unit == "word":
+            n = self.hi[at] - self.lo[at] + 1
+            n[np.cumsum(b - a) - 1] -= 1  # no space behind the last word
+            size = np.add.reduceat(n, np.cumsum(b - a) - (b - a)) if len(a) else n
+            byte, word = ragged(self.lo[at], n)
+            out = np.where(byte < self.hi[at][word], self.data[np.minimum(byte, len(self.data) - 1)], np.uint8(0x20))
+        else:
+            out, size = self.data[at], b - a
+        off = np.r_[0, np.cumsum(size)].astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(out, np.uint8))])
 
 
 def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,105 +93,213 @@ def texts_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(batch.columns)], names=["text" if i == at else n for i, n in enumerate(batch.schema.names)])
 
 
-def _fetch(unit: str, window: int) -> Callable:
-    """Bodies of the open segments; those of hot anchors window by window."""
+def _spans(at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending places as spans: (span, owner); a span stays with one owner."""
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)][: len(at)]
+    first = np.flatnonzero(new)
+    n = np.diff(np.r_[first, len(at)])
+    part, stretch = ragged(np.zeros(len(n), np.int64), -(-n // _LONGEST))  # none counts more than fits
+    return (at[first][stretch] + part * _LONGEST << 20) | np.minimum(_LONGEST, n[stretch] - part * _LONGEST), owner[first][stretch]
+
+
+def _late(spans: pa.Array, first: np.ndarray, n: int) -> np.ndarray:
+    """For each of n units of a piece, whether a late window starts there."""
+    lens = np.diff(np.asarray(spans.offsets))
+    lens[~np.asarray(spans.is_valid())] = 0
+    at, owner = np.asarray(spans.flatten()), np.repeat(np.arange(len(lens)), lens)
+    start = (at >> 20) + first[owner]
+    return covered(start, start + (at & _LONGEST), n)
+
+
+def _shared(anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows have an anchor that another document has too."""
+    order = np.lexsort((doc, anchor))
+    a, d = anchor[order], doc[order]
+    edge = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
+    n = np.diff(np.r_[edge, len(a)])
+    out = np.zeros(len(a), bool)
+    out[order] = np.repeat(d[edge] < d[edge + n - 1], n)
+    return out
+
+
+def _sketched(unit: str, gram: int) -> Callable:
+    """(doc_id, packed, sketch): the least hash of ``gram`` units of each text."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in pieces(batch):
+                u = Units(unit, data, off)
+                h = Rolling(u.values).every(gram)
+                a, b = u.first[:-1], np.maximum(u.first[:-1], u.first[1:] - gram + 1)
+                has = np.flatnonzero(b > a)
+                sketch = np.zeros(len(part), np.uint64)
+                if len(has):  # grams between two texts fall into the odd stretches
+                    edges = np.c_[a[has], np.minimum(b[has], len(h) - 1)].ravel()
+                    sketch[has] = np.minimum(np.minimum.reduceat(h, edges)[::2], h[b[has] - 1])
+                packed = next(packed_texts(iter([part])))
+                yield pa.RecordBatch.from_arrays([*packed.columns, pa.array(sketch.view(np.int64))], names=["doc_id", "packed", "sketch"])
+
+    return emit
+
+
+def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The documents' ids, and which rows have one."""
+    ids = column(part, "doc_id")
+    return np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid())
+
+
+def _near(unit: str, window: int, gram: int, resolve: Callable) -> Callable:
+    """Late windows inside pieces: only stretches of runs whose anchors two documents of
+    the piece share can have any."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = column(batch, "packed")
+            opened, row = texts_of(batch), 0
+            for part, data, off in pieces(opened, size=SHARD_BYTES):
+                u, (ids, has) = Units(unit, data, off), _ids(part)
+                r = Runs(u.values, u.first[:-1], u.first[1:], window, gram, _LONGEST)
+                own = np.flatnonzero(has[r.doc])
+                own = own[_shared(r.anchor[own], ids[r.doc[own]])]
+                first, last, doc = r.first[own], r.last[own], r.doc[own]
+                spans, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if len(own):
+                    new = np.r_[True, (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1)]
+                    a, b, d = first[new], last[np.r_[new[1:], True]], doc[new]
+                    seg, at, _ = resolve(ids[d], u.bodies(a, b + window), window)
+                    spans, owner = _spans(at + a[seg] - u.first[d[seg]], d[seg])
+                twin = Rolling(BYTE_VALUE[data]).spans(off[:-1], off[1:]) >> np.uint64(33)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(part) + 1)), pa.int32()), pa.array(spans))
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(twin.astype(np.int32)), packed.slice(row, len(part)), lists], names=["doc_id", "twin", "packed", "spans"])
+                row += len(part)
+
+    return emit
+
+
+def _left(part: pa.RecordBatch, u: Units, window: int, gram: int) -> tuple[Runs, np.ndarray]:
+    """The runs of a piece, and which windows are not known to be late (with an end)."""
+    r = Runs(u.values, u.first[:-1], u.first[1:], window, gram, _LONGEST)
+    n = int(u.first[-1])
+    return r, np.r_[~_late(column(part, "spans"), u.first, n), False]
+
+
+def _runs(unit: str, window: int, gram: int) -> Callable:
+    """A row (anchor, document) for each run with a window left."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = column(batch, "marks")
-            batch = pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "packed"), pc.struct_field(marks, "open")], names=["doc_id", "packed", "open"])
-            batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(column(batch, "open")), 0), 0))
             for part, data, off in pieces(texts_of(batch)):
-                u, ids = Units(unit, data, off), column(part, "doc_id")
-                for i, row in enumerate(column(part, "open")):
-                    flat = row.values
-                    at = np.asarray(flat.field("at"))
-                    at, n = (at >> 20) + u.first[i], at & _LONGEST
-                    key, hot = np.asarray(flat.field("anchor")), np.asarray(flat.field("hot"))
-                    if hot.any():
-                        p, owner = ragged(at[hot], n[hot])
-                        roll = Rolling(u.values[u.first[i] : u.first[i + 1]])
-                        own = roll.spans(p - u.first[i], p - u.first[i] + window) ^ key[hot][owner].view(np.uint64)
-                        at, n, key = np.r_[at[~hot], p], np.r_[n[~hot], np.ones(len(p), np.int64)], np.r_[key[~hot], mix(own).view(np.int64)]
-                    bodies = [u.body(a, a + m + window - 1) for a, m in zip(at.tolist(), n.tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(np.full(len(key), ids[i].as_py(), np.int64)), pa.array((at - u.first[i]).astype(np.int32)), pa.array(bodies, pa.binary())],
-                        names=["key", "doc_id", "start", "body"],
-                    )
+                u, (ids, has) = Units(unit, data, off), _ids(part)
+                r, left = _left(part, u, window, gram)
+                count = np.r_[0, np.cumsum(left)]
+                own = has[r.doc] & (count[r.last + 1] > count[r.first])
+                anchor, doc = r.anchor[own] >> np.uint64(64) - _ANCHOR_BITS, r.doc[own]
+                order = np.lexsort((anchor, doc))
+                anchor, doc = anchor[order], doc[order]
+                new = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])][: len(doc)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[doc[new]])], names=["anchor", "doc_id"])
+
+    return emit
+
+
+def _fetch(unit: str, window: int, gram: int) -> Callable:
+    """Bodies of the windows left under the anchors asked for; those of hot anchors (their
+    complements are asked for) window by window."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(column(batch, "asked")), 0), 0))
+            for part, data, off in pieces(texts_of(batch)):
+                u, (ids, _), asked = Units(unit, data, off), _ids(part), column(part, "asked")
+                r, left = _left(part, u, window, gram)
+                flat = np.asarray(asked.flatten())
+                owner = np.repeat(np.arange(len(part)), np.diff(np.asarray(asked.offsets)))
+                name = lambda a, d: mix(a ^ mix(d.astype(np.uint64)))
+                wanted = name(np.where(flat < 0, ~flat, flat).view(np.uint64), owner)
+                order = np.argsort(wanted)
+                anchor = r.anchor >> np.uint64(64) - _ANCHOR_BITS
+                mine = name(anchor, r.doc)
+                at = order[np.minimum(np.searchsorted(wanted[order], mine), len(order) - 1)]
+                run = np.flatnonzero(wanted[at] == mine)
+                hot = flat[at[run]] < 0
+                # the windows left of these runs, in stretches; those of hot anchors alone
+                p, k = ragged(r.first[run], r.last[run] - r.first[run] + 1)
+                p, k = p[left[p]], k[left[p]]
+                new = np.r_[True, (p[1:] != p[:-1] + 1) | (k[1:] != k[:-1])][: len(p)] | hot[k]
+                a, n = p[new], np.diff(np.r_[np.flatnonzero(new), len(p)])
+                k = k[new]
+                key, doc = anchor[run[k]], r.doc[run[k]]
+                key = np.where(hot[k], r.roll.spans(a, a + window), mix(key))
+                twin = np.asarray(column(part, "twin"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(twin[doc]), pa.array((a - u.first[doc]).astype(np.int32)), u.bodies(a, a + n + window - 1).cast(pa.binary())],
+                    names=["key", "doc_id", "twin", "start", "body"],
+                )
 
     return emit
 
 
 def _shards(resolve: Callable, window: int) -> Callable:
-    """Feed whole groups of keys, about SHARD_BYTES at once, to ``resolve(docs, bodies)``,
-    which returns (segment, window in it) of late windows, ascending."""
+    """Feed whole keys, about SHARD_BYTES at once, to ``resolve(docs, bodies, window)``,
+    which returns (segment, window in it) of late windows, ascending, and the number of
+    windows of each segment.  Of a key that goes on for ``LONG_KEY`` shards, only segments
+    with a window that is not late are carried on."""
 
-    def run(held: list[pa.Table]) -> pa.RecordBatch:
+    def run(held: list[pa.Table]) -> tuple[pa.RecordBatch, pa.Table]:
         t = pa.concat_tables(held).combine_chunks()
-        doc, start = np.asarray(t.column("doc_id")), np.asarray(t.column("start")).astype(np.int64)
-        seg, at = resolve(doc, t.column("body").chunk(0), window)
-        new = np.r_[True, (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1)][: len(seg)]
-        first = np.flatnonzero(new)
-        n = np.diff(np.r_[first, len(seg)])
-        at = (start[seg[first]] + at[first]) << 20
-        cuts = -(-n // _LONGEST)  # no stretch counts more than fits
-        part = ragged(np.zeros(len(n), np.int64), cuts)
-        return pa.RecordBatch.from_arrays([pa.array(doc[seg[first]][part[1]]), pa.array((at[part[1]] + (part[0] * _LONGEST << 20)) | np.minimum(_LONGEST, n[part[1]] - part[0] * _LONGEST))], names=["doc_id", "at"])
+        doc, start, twin, key = (np.asarray(t.column(c)) for c in ("doc_id", "start", "twin", "key"))
+        body = t.column("body")
+        seg, at, windows = resolve(doc, pa.concat_arrays([c.cast(pa.large_binary()) for c in body.chunks]), window)
+        spans, owner = _spans(at, seg)
+        out = pa.RecordBatch.from_arrays([pa.array(doc[owner]), pa.array(twin[owner]), pa.array(spans + (start[owner].astype(np.int64) << 20))], names=["doc_id", "twin", "at"])
+        return out, t.filter(pa.array((np.bincount(seg, minlength=len(t)) < windows) & (key == key[-1])))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, most = [], 0, LONG_KEY * SHARD_BYTES
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if size + batch.nbytes >= SHARD_BYTES and len(batch):
-                key = np.asarray(t.column("key"))
-                edge = np.flatnonzero(key[1:] != key[:-1]) + 1
-                before = held and held[-1].column("key")[-1].as_py() != key[0]
-                at = int(edge[-1]) if len(edge) else (0 if before else -1)
-                if at >= 0:
-                    done = held + ([t.slice(0, at)] if at else [])
-                    if done:
-                        yield run(done)
-                    held, size, t = [], 0, t.slice(at)
-            held.append(t)
-            size += t.nbytes
+            for lo in range(0, len(batch), 4096):
+                t = pa.Table.from_batches([batch.slice(lo, 4096)])
+                if size >= SHARD_BYTES:
+                    key = np.asarray(t.column("key"))
+                    edge = np.flatnonzero(np.r_[held[-1].column("key")[-1].as_py(), key[:-1]] != key)
+                    if len(edge):
+                        yield run([*held, t.slice(0, int(edge[0]))])[0]
+                        held, size, most, t = [], 0, LONG_KEY * SHARD_BYTES, t.slice(int(edge[0]))
+                    elif size >= most:
+                        late, rest = run(held)
+                        yield late
+                        held, size = [rest], rest.nbytes
+                        most = max(most, 2 * size)  # if little was late, wait longer the next time
+                held.append(t)
+                size += t.nbytes
         if any(len(t) for t in held):
-            yield run(held)
+            yield run(held)[0]
 
     return emit
 
 
 def late_spans(docs: DataFrame, unit: str, window: int, gram: int, resolve: Callable) -> DataFrame:
-    """(doc_id, packed, spans) of docs (doc_id, text): spans is an array of numbers
-    ``start << 20 | n``, the late windows being those that start at units start ..
-    start+n-1; null where there are none.  Texts travel compressed (``texts_of`` opens them)."""
-    runs = docs.mapInArrow(_runs(unit, window, gram), _RUN).repartition("anchor")
-    same, anchor = Window.partitionBy("anchor", "seg"), Window.partitionBy("anchor")
-    seen = runs.select("*", F.min("doc_id").over(same).alias("first_doc")).select(
-        "*",
-        (F.min("doc_id").over(anchor) < F.max("doc_id").over(anchor)).alias("shared"),
-        (F.min("seg").over(anchor) < F.max("seg").over(anchor)).alias("several"),
-        (F.count(F.lit(1)).over(anchor) > HOT).alias("hot"),
-    )
-    known = F.col("start") < 0
-    late = known | (F.col("doc_id") > F.col("first_doc"))
-    begin = F.when(known, -1 - F.col("start")).otherwise(F.col("start")).cast("bigint")
-    at = F.shiftleft(begin, 20).bitwiseOR(F.col("seg").bitwiseAND(_LONGEST))  # start and n in one
-    marks = (
-        seen.where(late | (F.col("shared") & F.col("several")))
-        .groupBy("doc_id")
-        # one column, so that both uses below prune alike and share one exchange
-        .agg(F.struct(F.collect_list(F.when(late, at)).alias("whole"), F.collect_list(F.when(~late, F.struct(at.alias("at"), "anchor", "hot"))).alias("open")).alias("marks"))
-    )
-    held = docs.mapInArrow(packed_texts, "doc_id bigint, packed binary").join(marks, "doc_id", "left")
+    """(doc_id, twin, packed, spans, found) of docs (doc_id, text): spans and found are the
+    late windows; ``removed`` reads them.  Texts travel compressed (``texts_of`` opens
+    them).  ``twin`` tells apart texts that stand under one id."""
+    sketched = docs.mapInArrow(_sketched(unit, gram), "doc_id bigint, packed binary, sketch bigint")
+    near = sketched.repartitionByRange("sketch", "doc_id").sortWithinPartitions("sketch", "doc_id").drop("sketch")
+    held = near.mapInArrow(_near(unit, window, gram, resolve), _HELD).repartition("doc_id")
+    anchor = Window.partitionBy("anchor")
+    asked = F.when(F.count(F.lit(1)).over(anchor) > HOT, F.bitwise_not("anchor")).otherwise(F.col("anchor"))
+    seen = held.mapInArrow(_runs(unit, window, gram), _RUN).repartition("anchor")
+    seen = seen.select("doc_id", asked.alias("asked"), (F.min("doc_id").over(anchor) < F.max("doc_id").over(anchor)).alias("shared"))
+    marks = seen.where("shared").groupBy("doc_id").agg(F.collect_list("asked").alias("asked"))
     found = (
-        held.mapInArrow(_fetch(unit, window), _OPEN)
+        held.join(marks, "doc_id", "left")  # an inner join would filter below the exchange that all uses of held share
+        .mapInArrow(_fetch(unit, window, gram), _OPEN)
         .repartition("key")
-        .sortWithinPartitions("key")
+        .sortWithinPartitions("key", "doc_id")
         .mapInArrow(_shards(resolve, window), _LATE)
         .groupBy("doc_id")
-        .agg(F.collect_list("at").alias("found"))
+        .agg(F.collect_list(F.struct("twin", "at")).alias("found"))
     )
-    return held.join(found, "doc_id", "left").select("doc_id", "packed", F.coalesce(F.concat("marks.whole", "found"), "marks.whole", "found").alias("spans"))
+    return held.join(found, "doc_id", "left")
 
 
 def removed(unit: str, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Units, np.ndarray]]:
@@ -219,11 +307,15 @@ def removed(unit: str, window: int, batches: Iterator[pa.RecordBatch]) -> Iterat
     for batch in batches:
         for part, data, off in pieces(texts_of(batch)):
             u = Units(unit, data, off)
-            spans = column(part, "spans")
-            lens = np.diff(np.asarray(spans.offsets))
-            lens[~np.asarray(spans.is_valid())] = 0
-            flat = spans.flatten()
-            owner = np.repeat(np.arange(len(lens)), lens)
-            at = np.asarray(flat)
+            starts = _late(column(part, "spans"), u.first, int(u.first[-1]))
+            found = column(part, "found")
+            lens = np.diff(np.asarray(found.offsets))
+            lens[~np.asarray(found.is_valid())] = 0
+            owner, flat = np.repeat(np.arange(len(lens)), lens), found.flatten()
+            own = np.asarray(flat.field("twin")) == np.asarray(column(part, "twin"))[owner]
+            at, owner = np.asarray(flat.field("at"))[own], owner[own]
             start = (at >> 20) + u.first[owner]
-            yield part, u, covered(start, start + (at & _LONGEST) + window - 1, int(u.first[-1]))
+            starts |= covered(start, start + (at & _LONGEST), int(u.first[-1]))
+            p = np.flatnonzero(starts)
+            edge = np.r_[True, p[1:] != p[:-1] + 1][: len(p)]
+            yield part, u, covered(p[edge], p[np.r_[edge[1:], True][: len(p)]] + window, int(u.first[-1]))

@@ -1,14 +1,15 @@
 """Operator 2, substring dedup by fixed-block anchors (words).
 
-Open segments (see ``repeats``) are indexed by their non-overlapping blocks of
-``window // 2`` words, each block hash once with the least document that has it; every
-rolling window of as many words is probed.  A window of ``window`` words always holds a
-whole block, so only windows around hits are extended to ``window`` words; equal ones are
-late behind their first document, and adjacent late windows join to maximal repeats.
+Texts that may share windows are brought together by ``repeats``.  Among them, the
+non-overlapping blocks of ``window // 2`` words are indexed, each block hash once with the
+least document that has it; every rolling window of as many words is probed.  A window of
+``window`` words always holds a whole block, so only windows around hits are extended to
+``window`` words; equal ones are late behind their first document, and adjacent late
+windows join to maximal repeats.  Nothing is removed that the blocks have not found.
 
 Null text: no words.  Texts shorter than a window, rows without an id and the first copy
 of everything stay whole.  Rows that repeat an id count as one document.  Empty input
-gives an empty result; other input columns are ignored.
+gives an empty result; other input columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from .textkit import BYTE_VALUE, Rolling, column, ragged, words
 WINDOW, GRAM = 50, 5
 
 
-def resolve(doc: np.ndarray, bodies: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Late windows among the bodies (words with one space between)."""
-    off = np.frombuffer(bodies.buffers()[1], np.int32, len(bodies) + 1, bodies.offset * 4).astype(np.int64)
+def resolve(doc: np.ndarray, bodies: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Late windows among the bodies (words with one space between): (body, window in it),
+    and how many windows each body has."""
+    off = np.frombuffer(bodies.buffers()[1], np.int64, len(bodies) + 1, bodies.offset * 8)
     data = np.frombuffer(bodies.buffers()[2], np.uint8)[off[0] : off[-1]]
     off = off - off[0]
     lo, hi, first = words(data, off)
@@ -66,11 +68,11 @@ def resolve(doc: np.ndarray, bodies: pa.Array, window: int) -> tuple[np.ndarray,
     late = np.zeros(len(around), bool)
     if len(order):
         late[order] = d[order] > d[order][new][np.cumsum(new) - 1]
-    return seg[around[late]], place[around[late]]
+    return seg[around[late]], place[around[late]], np.maximum(0, n - window + 1)
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, packed, spans): see ``repeats.late_spans``; units are words."""
+    """The texts with their late windows: see ``repeats.late_spans``; units are words."""
     return late_spans(texts(df, id_col, text_col), "word", window, GRAM, resolve)
 
 

@@ -1,19 +1,21 @@
 """Operator 3, suffix-array dedup (bytes).
 
-Open segments (see ``repeats``) are put together to shards of about a megabyte.  Each
-shard's suffix array is made by induced sorting: suffixes are classified as smaller or
-larger than the next one, the leftmost-smaller substrings are sorted by one induction and
-named, the sequence of names is sorted in turn, and a second induction fills in all other
-suffixes.  Inductions run a bucket of equal first bytes at a time on whole arrays.  The
-common prefixes come in text order (permuted), compared only where the preceding bytes
-differ and one less than the neighbour's elsewhere.
+Texts that may share windows are brought together by ``repeats`` in shards of about a
+megabyte.  Each shard's suffix array is made by induced sorting: suffixes are classified as
+smaller or larger than the next one, the leftmost-smaller substrings are sorted by one
+induction and named, the sequence of names is sorted by recursion, and a second induction
+fills in all other suffixes.  Inductions over bytes run a bucket of equal first bytes at a
+time on whole arrays.  The names are as many as a shard has different substrings, so in
+the recursion (``ranks``) buckets of one symbol would not pay: substrings are sorted by
+their packed symbols, and each other suffix by the symbols before the next leftmost-smaller
+substring and by that one's rank.  The common prefixes come in text order (permuted),
+compared only where the preceding bytes differ and one less than the neighbour's elsewhere.
+Nothing is removed that a suffix array has not found.
 
 Segments end in separators that differ from each other, so matches never cross texts.
-The sequence of names has as many different symbols as there are substrings, so it is
-sorted by doubling (names of pairs, of fours ...) rather than by buckets of one symbol.
-
 Null text: no bytes.  Texts shorter than a window, rows without an id and the first copy
-of everything stay whole; empty input gives an empty result.
+of everything stay whole.  Rows that repeat an id count as one document; empty input gives
+an empty result; other input columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from .textkit import Rolling, column, mix
 
 WINDOW, GRAM = 50, 16
 _SEPARATOR = 1  # symbols: 0 the end of all, 1 separators, byte + 2
+LONGEST_RISE = 64  # a longer stretch of rising or falling names is ranked by doubling
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -102,44 +105,142 @@ def induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return np.concatenate([x for c in range(top) for x in (large[c], small[c])])
 
 
+def _seed_names(s: np.ndarray, smaller: np.ndarray, is_seed: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """A number for each leftmost-smaller substring (up to the next seed, included), in the
+    order that one induction sorts them in; equal substrings get equal numbers."""
+    order = induce(s, smaller, seeds)
+    order = order[is_seed[order]]
+    values = mix(s.astype(np.uint64) + np.uint64(1))
+    apart = s == _SEPARATOR
+    values[apart] = mix(np.flatnonzero(apart).astype(np.uint64) + np.uint64(1 << 40))
+    place = np.zeros(len(s), np.int32)
+    place[seeds] = np.arange(len(seeds))
+    end = np.r_[seeds[1:], len(s) - 1] + 1
+    hashes = Rolling(values).spans(seeds.astype(np.int64), end.astype(np.int64))
+    k = place[order]
+    name = np.empty(len(seeds), np.int64)
+    name[k] = np.cumsum(np.r_[0, hashes[k][1:] != hashes[k][:-1]])
+    return name
+
+
+def _rank(k: np.ndarray) -> np.ndarray:
+    """The rank of each number among the distinct ones."""
+    order = np.argsort(k)
+    k = k[order]
+    new = np.zeros(len(k), bool)
+    np.not_equal(k[1:], k[:-1], out=new[1:])
+    out = np.empty(len(k), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _dense(*keys: np.ndarray) -> np.ndarray:
+    """The rank of each row among the distinct rows; the first key counts most."""
+    out = _rank(keys[0])
+    for k in keys[1:]:
+        k = k.astype(np.int64) - int(k.min())
+        if (int(out.max()) + 1) * (int(k.max()) + 1) >= 1 << 62:
+            k = _rank(k)
+        out = _rank(out * (int(k.max()) + 1) + k)
+    return out
+
+
+def ranks(x: np.ndarray) -> np.ndarray:
+    """The rank of each suffix of a sequence of small numbers >= 0; the end is least.
+
+    Recursive: runs of one number become one number; then the leftmost-smaller substrings
+    are sorted, the sequence of their names is ranked in turn, and each other suffix is
+    placed by what lies before the next such substring and by that one's rank."""
+    n = len(x)
+    count = np.bincount(x)
+    if not n or count.max() == 1:
+        return np.cumsum(count)[x] - 1
+    head = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    if len(head) < n:
+        run = np.repeat(np.arange(len(head)), np.diff(np.r_[head, n]))
+        left = np.r_[head[1:], n][run] - np.arange(n)  # of the run
+        behind = np.r_[x[head[1:]], -1][run]
+        key = _dense(x, behind > x, np.where(behind > x, -left, left))
+        return _dense(key, np.r_[ranks(key[head])[1:], -1][run])
+    rising = np.r_[x[:-1] < x[1:], False]
+    seeds = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
+    place = np.arange(n)
+    nth = np.searchsorted(seeds, place, side="right")  # the next seed behind each place
+    last = np.r_[seeds, n - 1][nth]
+    if (last - place).max(initial=0) >= LONGEST_RISE:
+        return _doubled(x)
+    name = _named(2 * x + rising + 1, last)
+    return _dense(name, np.r_[ranks(name[seeds]), -1][nth]) if len(seeds) else name
+
+
+def _named(e: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The rank of e[i] .. e[last[i]] among the distinct ones.  No one leads another, so what
+    ends in a column of packed symbols needs no further one."""
+    n = len(e)
+    bits = int(e.max()).bit_length()
+    each = 63 // bits
+
+    def packed(at: np.ndarray, lo: int) -> np.ndarray:
+        col = np.zeros(len(at), np.int64)
+        for k in range(lo, lo + each):
+            col = (col << bits) | np.where(at + k <= last[at], e[np.minimum(at + k, n - 1)], 0)
+        return col
+
+    place = np.arange(n)
+    first = packed(place, 0)
+    order = np.argsort(first)
+    first = first[order]
+    new = np.r_[True, first[1:] != first[:-1]]
+    name = np.empty(n, np.int64)
+    name[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # with room for finer names
+    lo, on = each, np.flatnonzero(last - place >= each)
+    while len(on):
+        col = packed(on, lo)
+        by = np.lexsort((col, name[on]))
+        g, x = name[on][by], col[by]
+        group = np.r_[True, g[1:] != g[:-1]]
+        finer = group | np.r_[True, x[1:] != x[:-1]]
+        name[on[by]] = g + np.flatnonzero(finer)[np.cumsum(finer) - 1] - np.flatnonzero(group)[np.cumsum(group) - 1]
+        lo += each
+        on = on[last[on] - on >= lo]
+    there = np.zeros(n, np.int64)
+    there[name] = 1
+    return np.cumsum(there)[name] - 1
+
+
+def _doubled(x: np.ndarray) -> np.ndarray:
+    """``ranks`` by doubling, for sequences that rise and fall in very long stretches."""
+    rank, step = _rank(x), 1
+    while rank.max() < len(x) - 1:
+        rank = _dense(rank, np.r_[rank[step:], np.full(min(step, len(x)), -1)])
+        step *= 2
+    return rank
+
+
+def _sorted_seeds(name: np.ndarray) -> np.ndarray:
+    """The seeds (by number) in the order of the suffixes of the sequence of their names.
+    A name that occurs once decides every comparison that reaches it, so only stretches of
+    names that occur twice or more, each with the name behind it, are ranked."""
+    twice = np.bincount(name)[name] > 1
+    rank = np.zeros(len(name), np.int64)
+    kept = twice.copy()
+    kept[1:] |= twice[:-1]
+    rank[kept] = ranks(name[kept])
+    return np.argsort(name * (len(name) + 1) + rank)
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """The suffixes of s in order; s ends with its only 0, and each 1 in it counts as
     larger than the 1s before it."""
     n = len(s)
+    if n == 1:
+        return np.zeros(1, np.int32)
     smaller = classify(s)
     is_seed = np.zeros(n, bool)
     is_seed[1:] = smaller[1:] & ~smaller[:-1]
     seeds = np.flatnonzero(is_seed).astype(np.int32)
     if len(seeds) > 1:
-        order = induce(s, smaller, seeds)
-        order = order[is_seed[order]]
-        # equal substrings (up to the next seed, included) get equal names
-        values = mix(s.astype(np.uint64) + np.uint64(1))
-        apart = s <= _SEPARATOR
-        values[apart] = mix(np.flatnonzero(apart).astype(np.uint64) + np.uint64(1 << 40))
-        place = np.zeros(n, np.int32)
-        place[seeds] = np.arange(len(seeds))
-        end = np.r_[seeds[1:], n - 1] + 1
-        hashes = Rolling(values).spans(seeds.astype(np.int64), end.astype(np.int64))
-        k = place[order]
-        name = np.cumsum(np.r_[0, hashes[k][1:] != hashes[k][:-1]])
-        rank = np.empty(len(seeds), np.int64)
-        rank[k] = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])[name]  # room for finer names
-        step = 1
-        while True:
-            count = np.bincount(rank, minlength=len(rank))
-            open_ = np.flatnonzero(count[rank] > 1)
-            if not len(open_):
-                break
-            nxt = np.where(open_ + step < len(rank), rank[np.minimum(open_ + step, len(rank) - 1)], -1)
-            by = np.lexsort((nxt, rank[open_]))
-            r, x = rank[open_][by], nxt[by]
-            group = np.r_[True, r[1:] != r[:-1]]
-            begin = np.flatnonzero(group)[np.cumsum(group) - 1]
-            finer = group | np.r_[True, x[1:] != x[:-1]]
-            rank[open_[by]] = r + np.flatnonzero(finer)[np.cumsum(finer) - 1] - begin
-            step *= 2
-        seeds = seeds[np.argsort(rank)]
+        seeds = seeds[_sorted_seeds(_seed_names(s, smaller, is_seed, seeds))]
     return induce(s, smaller, seeds)
 
 
@@ -177,9 +278,10 @@ def common_prefixes(data: np.ndarray, room: np.ndarray, order: np.ndarray) -> np
     return np.where(easy, np.maximum(0, shared[source] - (p - source)), shared)
 
 
-def resolve(doc: np.ndarray, bodies: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Late windows among the bodies, by one suffix array over all of them."""
-    off = np.frombuffer(bodies.buffers()[1], np.int32, len(bodies) + 1, bodies.offset * 4).astype(np.int64)
+def resolve(doc: np.ndarray, bodies: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Late windows among the bodies, by one suffix array over all of them: (body, window in
+    it), and how many windows each body has."""
+    off = np.frombuffer(bodies.buffers()[1], np.int64, len(bodies) + 1, bodies.offset * 8)
     data = np.frombuffer(bodies.buffers()[2], np.uint8)[off[0] : off[-1]]
     off = off - off[0]
     lens = np.diff(off)
@@ -201,11 +303,11 @@ def resolve(doc: np.ndarray, bodies: pa.Array, window: int) -> tuple[np.ndarray,
     new[:1] = True
     d = doc[seg[order]]
     late = np.sort(order[d > np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]]) if len(order) else order
-    return seg[late], lens[seg[late]] - room[late]
+    return seg[late], lens[seg[late]] - room[late], np.maximum(0, lens - window + 1)
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, packed, spans): see ``repeats.late_spans``; units are bytes."""
+    """The texts with their late windows: see ``repeats.late_spans``; units are bytes."""
     return late_spans(texts(df, id_col, text_col), "byte", window, GRAM, resolve)
 
 
