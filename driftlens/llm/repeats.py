@@ -6,8 +6,8 @@ if the same window also starts in a document with a smaller id.  All late window
 others, are found by the operator's own ``resolve`` (blocks, suffix arrays); what stands
 here only brings together texts that may share windows:
 
-1. Texts are sorted by a sketch (the least of all hashes of ``gram`` units), so most copies
-   of a text become neighbours, and ``resolve`` finds the late windows inside each piece of
+1. Texts are sorted by a sketch (the least hash of 24 bytes in a row), so most copies of a
+   text become neighbours, and ``resolve`` finds the late windows inside each piece of
    some megabytes.  A group of copies, however large, leaves one text a piece.
 2. The windows left are cut into runs with the same minimiser (``textkit.Runs``).  Equal
    windows have equal minimisers; a run is shuffled as its minimiser (its *anchor*) and its
@@ -18,6 +18,9 @@ here only brings together texts that may share windows:
    than a shard is resolved in the order of its documents, and what is first in one part of
    it is carried on to the next.
 
+In both places bodies that are the same byte for byte enter as two, the first document's and
+the next one's, which stands for all later ones: they are late alike.
+
 Documents without an id take part in nothing and keep all their units.
 """
 
@@ -122,24 +125,60 @@ def _shared(anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketched(unit: str, gram: int) -> Callable:
-    """(doc_id, packed, sketch): the least hash of ``gram`` units of each text."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, off in pieces(batch):
-                u = Units(unit, data, off)
-                h = Rolling(u.values).every(gram)
-                a, b = u.first[:-1], np.maximum(u.first[:-1], u.first[1:] - gram + 1)
-                has = np.flatnonzero(b > a)
-                sketch = np.zeros(len(part), np.uint64)
-                if len(has):  # grams between two texts fall into the odd stretches
-                    edges = np.c_[a[has], np.minimum(b[has], len(h) - 1)].ravel()
-                    sketch[has] = np.minimum(np.minimum.reduceat(h, edges)[::2], h[b[has] - 1])
-                packed = next(packed_texts(iter([part])))
-                yield pa.RecordBatch.from_arrays([*packed.columns, pa.array(sketch.view(np.int64))], names=["doc_id", "packed", "sketch"])
-
-    return emit
+def _two_of_each(body: pa.Array, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bodies enter a shard, and for each body the place of the one that stands for
+    it: of bodies that are the same byte for byte, the first document's stands for that
+    document, and the next document's for all others."""
+    off = np.frombuffer(body.buffers()[1], np.int64, len(body) + 1, body.offset * 8)
+    data = np.frombuffer(body.buffers()[2], np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    n = np.diff(off)
+    h = Rolling(BYTE_VALUE[data]).spans(off[:-1], off[1:])
+    order = np.lexsort((doc, h))
+    same = np.zeros(len(order), bool)  # as the one before it in this order
+    a, b = order[:-1], order[1:]
+    alike = np.flatnonzero((h[a] == h[b]) & (n[a] == n[b]))
+    if len(alike):
+        left, owner = ragged(off[a[alike]], n[a[alike]])
+        right = ragged(off[b[alike]], n[b[alike]])[0]
+        same[alike + 1] = np.bincount(owner, data[left] != data[right], minlength=len(alike)) == 0
+    group = np.cumsum(~same) - 1
+    d = doc[order]
+    later = d > d[np.flatnonzero(~same)][group]
+    new = ~same | (later & ~np.r_[False, later[:-1] & (group[1:] == group[:-1])])
+    stands_for = np.empty(len(order), np.int64)
+    stands_for[order] = np.cumsum(new) - 1
+    return order[new], stands_for
+
+
+def _resolved(resolve: Callable, doc: np.ndarray, body: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(spans, body of each, which bodies have a window that is not late) of bodies."""
+    enters, stands_for = _two_of_each(body, doc)
+    seg, at, windows = resolve(doc[enters], body.take(pa.array(enters)), window)
+    spans, owner = _spans(at, seg)
+    first = np.searchsorted(owner, np.arange(len(enters) + 1))
+    each, row = ragged(first[stands_for], np.diff(first)[stands_for])
+    return spans[each], row, (np.bincount(seg, minlength=len(enters)) < windows)[stands_for]
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, packed, sketch): the least hash of 24 bytes in a row of each text."""
+    odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+    for batch in batches:
+        for part, data, off in pieces(batch):
+            sketch = np.zeros(len(part), np.int64)
+            a, b = off[:-1], off[1:] - 23
+            has = np.flatnonzero(b > a)
+            if len(has):
+                wide = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+                n = len(data) - 23
+                h = wide[:n] * odd[0] + wide[8 : 8 + n] * odd[1] + wide[16 : 16 + n] * odd[2]
+                h ^= h >> np.uint64(32)
+                h *= odd[0]
+                edges = np.c_[a[has], np.minimum(b[has], n - 1)].ravel()  # bytes between texts fall into the odd stretches
+                sketch[has] = np.minimum(np.minimum.reduceat(h, edges)[::2], h[b[has] - 1]).view(np.int64)
+            packed = next(packed_texts(iter([part])))
+            yield pa.RecordBatch.from_arrays([*packed.columns, pa.array(sketch)], names=["doc_id", "packed", "sketch"])
 
 
 def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +194,7 @@ def _near(unit: str, window: int, gram: int, resolve: Callable) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = column(batch, "packed")
-            opened, row = texts_of(batch), 0
+            opened, done = texts_of(batch), 0
             for part, data, off in pieces(opened, size=SHARD_BYTES):
                 u, (ids, has) = Units(unit, data, off), _ids(part)
                 r = Runs(u.values, u.first[:-1], u.first[1:], window, gram, _LONGEST)
@@ -166,12 +205,12 @@ def _near(unit: str, window: int, gram: int, resolve: Callable) -> Callable:
                 if len(own):
                     new = np.r_[True, (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1)]
                     a, b, d = first[new], last[np.r_[new[1:], True]], doc[new]
-                    seg, at, _ = resolve(ids[d], u.bodies(a, b + window), window)
-                    spans, owner = _spans(at + a[seg] - u.first[d[seg]], d[seg])
+                    spans, row, _ = _resolved(resolve, ids[d], u.bodies(a, b + window), window)
+                    spans, owner = spans + (a[row] - u.first[d[row]] << 20), d[row]
                 twin = Rolling(BYTE_VALUE[data]).spans(off[:-1], off[1:]) >> np.uint64(33)
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(part) + 1)), pa.int32()), pa.array(spans))
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(twin.astype(np.int32)), packed.slice(row, len(part)), lists], names=["doc_id", "twin", "packed", "spans"])
-                row += len(part)
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(twin.astype(np.int32)), packed.slice(done, len(part)), lists], names=["doc_id", "twin", "packed", "spans"])
+                done += len(part)
 
     return emit
 
@@ -248,11 +287,10 @@ def _shards(resolve: Callable, window: int) -> Callable:
     def run(held: list[pa.Table]) -> tuple[pa.RecordBatch, pa.Table]:
         t = pa.concat_tables(held).combine_chunks()
         doc, start, twin, key = (np.asarray(t.column(c)) for c in ("doc_id", "start", "twin", "key"))
-        body = t.column("body")
-        seg, at, windows = resolve(doc, pa.concat_arrays([c.cast(pa.large_binary()) for c in body.chunks]), window)
-        spans, owner = _spans(at, seg)
-        out = pa.RecordBatch.from_arrays([pa.array(doc[owner]), pa.array(twin[owner]), pa.array(spans + (start[owner].astype(np.int64) << 20))], names=["doc_id", "twin", "at"])
-        return out, t.filter(pa.array((np.bincount(seg, minlength=len(t)) < windows) & (key == key[-1])))
+        body = pa.concat_arrays([c.cast(pa.large_binary()) for c in t.column("body").chunks])
+        spans, row, unsettled = _resolved(resolve, doc, body, window)
+        out = pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(twin[row]), pa.array(spans + (start[row].astype(np.int64) << 20))], names=["doc_id", "twin", "at"])
+        return out, t.filter(pa.array(unsettled & (key == key[-1])))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, most = [], 0, LONG_KEY * SHARD_BYTES
@@ -282,7 +320,7 @@ def late_spans(docs: DataFrame, unit: str, window: int, gram: int, resolve: Call
     """(doc_id, twin, packed, spans, found) of docs (doc_id, text): spans and found are the
     late windows; ``removed`` reads them.  Texts travel compressed (``texts_of`` opens
     them).  ``twin`` tells apart texts that stand under one id."""
-    sketched = docs.mapInArrow(_sketched(unit, gram), "doc_id bigint, packed binary, sketch bigint")
+    sketched = docs.mapInArrow(_sketched, "doc_id bigint, packed binary, sketch bigint")
     near = sketched.repartitionByRange("sketch", "doc_id").sortWithinPartitions("sketch", "doc_id").drop("sketch")
     held = near.mapInArrow(_near(unit, window, gram, resolve), _HELD).repartition("doc_id")
     anchor = Window.partitionBy("anchor")

@@ -31,7 +31,7 @@ from .repeats import late_spans, removed
 from .shared import texts
 from .textkit import Rolling, column, mix
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 24
 _SEPARATOR = 1  # symbols: 0 the end of all, 1 separators, byte + 2
 LONGEST_RISE = 64  # a longer stretch of rising or falling names is ranked by doubling
 
