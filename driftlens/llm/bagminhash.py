@@ -26,9 +26,11 @@ meet again, with their multisets, ``BLOCK`` by ``BLOCK``: the task that a pair m
 verifies it, and only links leave.  Classes are the connected components of verified
 links, and named by their least document.
 
-All tables between rounds are written to the shared folder.  Null texts and texts without
-a word resemble nothing (each its own class); rows without an id are left out; rows that
-repeat an id count once.
+All tables between rounds are written to the shared folder, and deleted when nothing reads
+them any more.  Null texts and texts without a word resemble nothing (each its own class);
+rows without an id are left out; an id counts once, with the text whose digest is least if
+its rows differ.  Other columns, whatever their names, are ignored.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -42,17 +44,20 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .repeats import packed_texts, texts_of
-from .shared import cut, texts
+from .shared import cut, forget, texts
 from .textkit import BYTE_VALUE, Rolling, column, mix, pieces, ragged, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-#: Slots that two texts of the similarity sought agree in, but for about one case in 10**5.
-SCREEN = 106
+#: Slots that two texts of the similarity sought agree in, but for one case in 10**7 (the
+#: bands miss three in 10**6 of such pairs, fewer the more alike the texts are).
+SCREEN = 98
 LIKELY = int(SLOTS * SIMILARITY)
 #: Texts of a bucket that are met in one task; leaders grow by the factor each round.
 CHUNK, FASTER, MOST = 1 << 10, 16, 1 << 12
+#: Parts that the texts of one bucket are numbered in.
+DEALS = 16
 #: Texts of either side that meet in one task with their multisets.
 BLOCK = 1 << 9
 _U = np.uint64
@@ -121,10 +126,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = np.broadcast_to(np.arange(BANDS), (len(part), BANDS)).astype(np.int64)
             for r in range(ROWS):  # the key is exact: the band's number and its bytes
                 band = band << 8 | short[:, r * BANDS : (r + 1) * BANDS]
-            yield pa.RecordBatch.from_arrays(
-                [column(part, "doc_id"), pa.array([x.tolist() if k else [] for x, k in zip(band, has)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())],
-                names=["doc_id", "bands", "sig"],
-            )
+            bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(has * BANDS)], pa.int32()), pa.array(band[has].ravel()))
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), bands, pa.array([x.tobytes() for x in short], pa.binary())], names=["doc_id", "bands", "sig"])
 
 
 def _shared(t: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -238,36 +241,39 @@ def verify(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_links): the class's least document, and how many different
-    documents' texts were verified as links of this one's text, or are equal to it."""
+    """(doc_id, class_id, copies): the class's least document, and how many documents have
+    the very same text (this one included)."""
     rows = texts(df, id_col, text_col).where("doc_id is not null")
     real = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))  # texts without a word stand alone
     same = F.when(real, F.unhex(F.md5(F.col("text").cast("binary")))).otherwise(F.col("doc_id").cast("string").cast("binary"))
-    member = rows.select("doc_id", same.alias("same")).distinct()
+    rows = rows.withColumn("same", same)
+    member = rows.groupBy("doc_id").agg(F.min("same").alias("same"))
     group = member.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    member = cut(member.join(group, "same").select("doc_id", "first", "copies"), "members")
-
-    lone = member.where("doc_id = first").select("doc_id")
-    signed = rows.mapInArrow(_sign, "doc_id bigint, bands array<bigint>, sig binary").where(F.size("bands") > 0)
-    signed = cut(signed.join(lone, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "signed")
-    order = Window.partitionBy("band").orderBy("doc_id")
-    placed = signed.select("doc_id", F.explode("bands").alias("band")).select("band", "doc_id", F.row_number().over(order).alias("place"), F.lead("doc_id").over(order).alias("next"))
-    shared = cut(placed.where("place > 1 or next is not null").drop("next"), "shared")
+    member = cut(member.join(group, "same"), "members")
+
+    # one row for each different text, both times this is read
+    lone = member.where("doc_id = first").select("doc_id", "same")
+    signed = rows.join(lone, ["doc_id", "same"], "left_semi").select("doc_id", "text").mapInArrow(_sign, "doc_id bigint, bands array<bigint>, sig binary").where(F.size("bands") > 0)
+    signed = cut(signed.dropDuplicates(["doc_id"]), "signed")
+    shared = cut(_numbered(signed.select("doc_id", F.explode("bands").alias("band"))).where("size > 1").drop("size"), "shared")
     buckets = cut(shared.join(signed.select("doc_id", "sig"), "doc_id"), "buckets")
-    packed = rows.mapInArrow(packed_texts, "doc_id bigint, packed binary").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    met = shared.select("doc_id").distinct().join(lone, "doc_id")
+    packed = rows.join(met, ["doc_id", "same"], "left_semi").select("doc_id", "text").mapInArrow(packed_texts, "doc_id bigint, packed binary").dropDuplicates(["doc_id"])
     bags = cut(packed.mapInArrow(_bag, "doc_id bigint, bag binary"), "bags")
+    forget(shared)
 
     links = classes = marks = None
     at, span = 1, 1  # texts at places at .. at + span - 1 of each bucket lead in this round
     while True:
         behind = cut(_several(_labelled(buckets.where(F.col("place") >= at), classes)), "open")
         if not behind.head(1):
+            forget(behind, buckets)
             break
         chunk = F.floor(F.col("place") / CHUNK)
         lead = behind.where(F.col("place") < at + span).withColumn("chunk", F.explode(F.sequence(chunk, F.floor(F.col("size") / CHUNK)))).withColumn("lead", F.lit(True))
         dealt = lead.unionByName(behind.withColumn("chunk", chunk).withColumn("lead", F.lit(False))).drop("size")
-        met = _grouped(dealt, _met, "a bigint, b bigint, band bigint")
-        met = cut(met, "met")
+        met = cut(_grouped(dealt, _met, "a bigint, b bigint, band bigint"), "met")
+        forget(behind)
         links, classes = _joined(met.where("b is not null").select("a", "b"), bags, similarity, links, classes)
         doubtful = met.where("b is null").select("band", F.col("a").alias("doc_id"))
         marks = doubtful if marks is None else marks.union(doubtful)
@@ -278,15 +284,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             links = found if links is None else links.union(found)
             classes = components(links)
 
-    ends = member.select("doc_id", "first", "copies")
-    if links is None:
-        return ends.select("doc_id", F.col("first").alias("class_id"), (F.col("copies") - 1).alias("n_links"))
-    sizes = member.where("doc_id = first").select("first", "copies")
-    linked = (
-        links.select("a", F.col("b").alias("other")).union(links.select("b", "a")).join(sizes.toDF("other", "others"), "other").groupBy(F.col("a").alias("first")).agg(F.sum("others").alias("others"))
-    )
-    out = ends.join(classes.toDF("first", "class"), "first", "left").join(linked, "first", "left")
-    return out.select("doc_id", F.coalesce("class", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    forget(bags, signed)
+    if classes is None:
+        return member.select("doc_id", F.col("first").alias("class_id"), "copies")
+    out = member.join(classes.toDF("first", "class"), "first", "left")
+    return out.select("doc_id", F.coalesce("class", "first").alias("class_id"), "copies")
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows (band, doc_id, ...) with the number ``place`` of each in its band, from 1, and
+    the band's ``size``.  A band's rows are numbered in ``DEALS`` parts, so no task has to
+    sort all of a large one."""
+    dealt = df.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(DEALS)))
+    sizes = dealt.groupBy("band", "deal").agg(F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy("band")
+    before = every.orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("band", "deal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(every).alias("size"))
+    own = F.row_number().over(Window.partitionBy("band", "deal").orderBy("doc_id"))
+    return dealt.withColumn("own", own).join(sizes, ["band", "deal"]).withColumn("place", (F.col("base") + F.col("own")).cast("bigint")).drop("deal", "own", "base")
 
 
 def _several(df: DataFrame) -> DataFrame:
@@ -303,8 +318,7 @@ def _grouped(df: DataFrame, met: Callable[[pa.Table], pa.RecordBatch], schema: s
 
 def _settled(marks: DataFrame, signed: DataFrame, bags: DataFrame, similarity: float, classes: DataFrame | None) -> DataFrame:
     """Links (a, b) between marked texts (band, doc_id) of one bucket and two classes."""
-    order = Window.partitionBy("band").orderBy("doc_id")
-    open_ = _several(_labelled(marks, classes).withColumn("place", F.row_number().over(order) - 1))
+    open_ = _several(_numbered(_labelled(marks, classes)).withColumn("place", F.col("place") - 1).drop("size"))
     block = F.floor(F.col("place") / BLOCK)
     full = open_.join(signed.select("doc_id", "sig"), "doc_id").join(bags, "doc_id").withColumn("block", block)
     lead = full.withColumn("other", F.explode(F.sequence("block", F.floor(F.col("size") / BLOCK)))).withColumn("chunk", F.struct("block", "other")).withColumn("lead", F.lit(True))

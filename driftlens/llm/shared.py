@@ -14,12 +14,14 @@ BATCH_ROWS = 1000
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` as the cluster names it.
-    Only where nobody has set one (a local session) a temporary folder is taken."""
+    Only a local session may do without; a temporary folder is taken there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -33,7 +35,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -50,8 +64,8 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def fold(id_col: str, folds: int) -> Column:
-    """crc32 of the id written as text, modulo the number of folds (null: null)."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+    """crc32 of the id written as text, modulo the number of folds (null: -1)."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(-1))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
