@@ -8,10 +8,14 @@ of shifts: the block of bytes that ends at a place says how far the next possibl
 any pattern lies.  Where the shift is 0, the block's hash bucket names the patterns to
 compare with directly.  Many stretches of a piece of texts are searched side by side.
 
-The benchmark is turned to patterns in parts of at most ``PART_BYTES`` of text, and only
-one part's patterns are sent to the executors at a time (as a broadcast of that bounded
-size); documents are then searched once for each part.  Null texts have no words and no
-hits; items without words are no patterns; items without an id hit but are not named.
+The benchmark is read in parts of about ``PART_BYTES`` of text (longer items are parts of
+their own), one after another: the driver holds one part at a time, sends its tables as a
+broadcast, and the documents, with what earlier parts hit, are written to the shared folder
+before the next part.  Null texts have no words and no hits; items without words are no
+patterns; items without an id hit but are not named; an item that stands twice counts
+once.  Rows without an id and repeated rows are rows like others; other columns, whatever
+their names, are ignored (``find``) or kept as they were (``drop_contaminated``).  An empty
+benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, cut, forget
 from .textkit import column, covered, mix, pieces, ragged, words
 
-WINDOW, PART_BYTES, LANE = 10, 8 << 20, 512
+WINDOW, PART_BYTES, LANE = 10, 2 << 20, 512
 
 IS_BREAK = np.zeros(256, bool)
 IS_BREAK[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
@@ -137,14 +141,15 @@ class Matcher:
         return first, np.concatenate(lo), np.concatenate(hi), found
 
 
-def _parts(benchmark: DataFrame) -> Iterator[list]:
-    """The benchmark's (item, text) in parts of about PART_BYTES each."""
+def _parts(benchmark: DataFrame) -> Iterator[tuple[list, bool]]:
+    """The benchmark's (item, text) in parts of about PART_BYTES each, and whether a part
+    is the last one.  One part at a time is on the driver."""
     items = benchmark.select(benchmark["item_id"].cast("string").alias("item"), benchmark["text"].alias("text"))
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
     n = 1 + total // PART_BYTES
     for i in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
-        yield [(r["item"], r["text"]) for r in part.collect()]  # at most about PART_BYTES
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
+        yield [(r["item"], r["text"]) for r in part.collect()], i == n - 1  # about PART_BYTES
 
 
 _FOUND = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>"
@@ -156,12 +161,11 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     """(doc_id, n_words, n_hit, items): items are the sorted ids whose patterns occur."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-    parts = list(_parts(benchmark))
-    for k, items in enumerate(parts):
-        shared, last = docs.sparkSession.sparkContext.broadcast(items), k == len(parts) - 1
+    for items, last in _parts(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(Matcher(items, window))
 
         def emit(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            m = Matcher(shared.value, window)
+            m = shared.value
             for batch in batches:
                 for part, data, off in pieces(batch):
                     first, lo, hi, found = m.scan(data, off)
@@ -182,8 +186,12 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                         spans[d].append({"lo": a, "hi": b})
                     yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "text"), pa.array(spans, _SPANS_ARROW), named], names=["doc_id", "text", "spans", "items"])
 
-        rows = rows.mapInArrow(emit, _FOUND if last else f"doc_id bigint, text string, spans {_SPANS}, items array<string>")
-    return rows
+        found = rows.mapInArrow(emit, _FOUND if last else f"doc_id bigint, text string, spans {_SPANS}, items array<string>")
+        if last:
+            return found
+        rows, before = cut(found, "searched"), rows
+        forget(before)
+        shared.destroy()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -192,16 +200,20 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{[n.lower() for n in names].index('text')}"
-    for items in _parts(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    for items, last in _parts(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(Matcher(items, window))
 
         def emit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = Matcher(shared.value, window)
+            m = shared.value
             for batch in batches:
                 for part, data, off in pieces(batch, text):
                     first, lo, _, _ = m.scan(data, off)
                     doc = np.searchsorted(first, lo, side="right") - 1
                     yield part.filter(pa.array(np.bincount(doc, minlength=len(part))[: len(part)] == 0))
 
-        rows = rows.mapInArrow(emit, rows.schema)
-    return rows.toDF(*names)
+        clean = rows.mapInArrow(emit, rows.schema)
+        if last:
+            return clean.toDF(*names)
+        rows, before = cut(clean, "clean"), rows
+        forget(before)
+        shared.destroy()
