@@ -11,8 +11,13 @@ same language (``REJECT`` deviations, more for short texts).
 No 4-gram is left out.  Discounts, lower orders and their counts are aggregates over the
 written table of all 4-grams; a model of more than ``PART_CELLS`` grams times languages is
 dealt into parts by a 4-gram's two middle symbols (with them go its contexts and lower
-orders), and a task holds one part at a time over a bounded run of texts.  Null texts and texts without a letter are ``und`` with score 0, and rejected; so is
-everything if nothing can be learnt.  Rows with a null language are never learnt from.
+orders), and a task holds one part at a time over a bounded run of texts.
+
+Null texts and texts without a letter are ``und`` with score 0, and rejected; so is
+everything if nothing can be learnt.  Rows with a null language are never learnt from, rows
+with a null id neither (they are in no fold).  Repeated rows count as often as they stand
+there; a language with one text is a class like others; other columns, whatever their
+names, are ignored (``identify``) or kept (``keep_identified``).
 """
 
 from __future__ import annotations
@@ -237,10 +242,10 @@ def fit(train: DataFrame) -> dict | None:
         part = build(langs, discounts, _by_lang(own, langs), _by_lang(below, langs), unigrams)
         parts.append(spark.sparkContext.broadcast(part | {"range": (low, high)}))
     model = {"langs": langs, "parts": parts}
-    seen = (
-        measured(train, model).where("n_letters >= 50").groupBy("lang_pred").agg(F.avg("cross_entropy").alias("m"), F.stddev_pop("cross_entropy").alias("s")).collect()
-    )  # a row for each language
-    model["usual"] = {r["lang_pred"]: (r["m"], r["s"] or 0.0) for r in seen}
+    # a row for each language; each text weighs as much as it has letters
+    n, h = F.col("n_letters"), F.col("cross_entropy")
+    seen = measured(train, model).groupBy("lang_pred").agg(F.sum(n).alias("n"), F.sum(n * h).alias("s"), F.sum(n * h * h).alias("q")).where("n > 0").collect()
+    model["usual"] = {r["lang_pred"]: (r["s"] / r["n"], max(0.0, r["q"] / r["n"] - (r["s"] / r["n"]) ** 2) ** 0.5) for r in seen}
     return model
 
 
@@ -303,7 +308,7 @@ def rejected(model: dict | None):
 def identify(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected), learnt outside the held-out fold."""
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text"))
-    model = fit(rows.where(fold("doc_id", folds) != held_out))
+    model = fit(rows.where(~fold("doc_id", folds).isin(held_out, -1)))
     return measured(rows.select("doc_id", "text"), model).select(
         "doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "lang_pred", "score", rejected(model).alias("rejected")
     )
@@ -312,7 +317,7 @@ def identify(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
 def keep_identified(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     """The rows of docs whose text is not rejected, all columns as they were."""
     rows = docs.select(docs["doc_id"], docs["lang"], docs["text"])
-    model = fit(rows.where(fold("doc_id", folds) != held_out))
+    model = fit(rows.where(~fold("doc_id", folds).isin(held_out, -1)))
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     scored = measured(inner, model, f"c{[n.lower() for n in names].index('text')}")

@@ -13,13 +13,15 @@ BLANK = 0
 @functools.cache
 def _table() -> np.ndarray:
     """Symbol of each code point: 0 for what is no letter, the lower-case letter's code
-    below 2**16, 65535 for all letters beyond."""
+    below 2**16.  Letters beyond share symbols, 32 neighbours one, from 0xD800 on, where no
+    letter stands, so that their scripts differ."""
     out = np.zeros(0x110000, np.uint16)
-    for c in range(0x30000):
+    for c in range(0x34000):  # behind it there is no letter
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
-            out[c] = min(ord(low if len(low) == 1 else ch), 0xFFFF)
+            code = ord(low if len(low) == 1 else ch)
+            out[c] = code if code < 0x10000 else 0xD800 + (code - 0x10000 >> 5)
     return out
 
 
