@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches
 
+#: Bytes of the longest text that a classifier is fitted on.
+LONGEST = 1 << 16
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> DataFrame:
     """(doc_id, y, text): about ``per_class`` rows of each class 0 and 1, chosen by a hash
-    of the id; whole texts.  ``keep`` is a condition on ``doc_id``, say a fold.  An id
-    labelled twice counts once, with its larger label; null ids, labels and texts do not
-    count.  The sample's size, not the corpus's, bounds what is broadcast and returned."""
+    of the id; whole texts of at most ``longest`` bytes, so the sample is bounded in rows
+    and bytes.  ``keep`` is a condition on ``doc_id``, say a fold.  An id labelled twice
+    counts once, with its larger label; an id with several rows gives its least text; null
+    ids, labels and texts do not count.  The sample's size, not the corpus's, bounds what is
+    broadcast and returned."""
     bounded_batches(docs.sparkSession)
     known = (
         labels.select(labels[id_col].cast("bigint").alias("doc_id"), labels[label].cast("int").alias("y"))
@@ -26,8 +31,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, per_cl
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = F.when(F.col("y") == 1, F.lit(per_class / max(1, n.get(1, 0)))).otherwise(F.lit(per_class / max(1, n.get(0, 0))))
     chosen = known.where(unit < share)
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
-    return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).where(F.octet_length("text") <= longest)
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:

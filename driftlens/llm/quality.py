@@ -1,16 +1,19 @@
 """Operator 1, quality by compression.
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled texts.  A
-text is cut into blocks of ``BLOCK`` bytes (all of it); each block is compressed with
+text is cut into blocks of ``BLOCK`` bytes (all of it, the last one longer by a short rest); each block is compressed with
 either dictionary, and the normalised difference of the two sizes says which side it
 resembles.  The differences of the whole text, of its worst block and of its worst
 quarter become a score by a logistic scale fitted on labelled texts that the
 dictionaries have not seen.
 
-Fitted on a bounded sample: about ``PER_CLASS`` texts of each label, half for the
-dictionaries and half for the scale, weighted back to the labels' true shares.  Null and
-empty texts are one empty block.  With labels of one kind only (or none) every score is
-that kind's share (or 0.5).  Rows with null ids get a score too; repeated rows repeat.
+Fitted on a bounded sample: about ``PER_CLASS`` texts of each label (``fitting``: at most
+``LONGEST`` bytes each), half for the dictionaries and half for the scale, weighted back to
+the labels' true shares.  Null and empty texts are one empty block.  With labels of one kind
+only (or none), or with fewer than ``FEW`` texts of a kind in the sample, every score is the
+share of label 1 (or 0.5).  Rows with null ids get a score too and are not held out; repeated
+rows repeat; other columns, whatever their names, are ignored.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ from .fitting import labelled_sample, logistic, sigmoid
 from .shared import fold, texts
 from .textkit import column, pieces
 
-BLOCK, DICTIONARY, LEVEL, PER_CLASS = 256, 32768, 3, 3000
+BLOCK, DICTIONARY, LEVEL, PER_CLASS, FEW = 256, 32768, 3, 3000, 8
 
 
 def _blocks(text: bytes) -> list[bytes]:
-    return [text[i : i + BLOCK] for i in range(0, max(1, len(text)), BLOCK)]
+    """Blocks of BLOCK bytes; a rest of less than half of that goes with the last one."""
+    n = max(1, (len(text) + BLOCK // 2) // BLOCK)
+    return [text[i * BLOCK : (i + 1) * BLOCK if i < n - 1 else len(text)] for i in range(n)]
 
 
 class Compressors:
@@ -44,8 +49,6 @@ class Compressors:
         blocks = _blocks(text)
         good, bad = (np.array([len(c.compress(b)) for b in blocks], float) for c in self.pair)
         each = (bad - good) / (bad + good)
-        if len(blocks) > 1 and len(blocks[-1]) < BLOCK // 2:
-            each = each[:-1]  # a short rest says little by itself; it counts in the total
         worst = np.sort(each)[: max(1, len(each) // 4)]
         return (bad.sum() - good.sum()) / (bad.sum() + good.sum()), worst[0], worst.mean()
 
@@ -68,7 +71,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality"
     order = np.argsort(np.asarray(sample.column("doc_id")), kind="stable")
     y = np.asarray(sample.column("y"))[order]
     raw = [sample.column("text")[int(i)].as_py().encode() for i in order]
-    half = np.arange(len(raw)) % 2 == 0
+    if min((y == 1).sum(), (y == 0).sum()) < FEW:
+        return {"share": n[1] / (n[0] + n[1])}
+    half = np.empty(len(raw), bool)  # of either kind
+    for k in (0, 1):
+        half[y == k] = np.arange((y == k).sum()) % 2 == 0
     parts = [_dictionary([raw[i] for i in np.flatnonzero(half & (y == k))]) for k in (1, 0)]
     c, rest = Compressors(*parts), np.flatnonzero(~half)
     x = np.array([c.features(raw[i]) for i in rest]).reshape(len(rest), 3)

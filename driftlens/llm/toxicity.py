@@ -9,7 +9,9 @@ Fitted on a bounded sample of about ``PER_CLASS`` texts a class (``fitting``), w
 executors turn into a written table of slots in ``GROUPS`` groups.  Class counts and each
 gradient are added up there: the driver gets a vector a group, not rows.  Texts without a
 letter have no features: their score is that of the constant alone.  With one kind of
-labels only (or none) every score is that kind's share (or 0.5).
+labels only (or none) every score is that kind's share (or 0.5).  Rows with null ids get a
+score too and are not held out; repeated rows repeat; other columns, whatever their names,
+are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -151,8 +151,52 @@ def test_rules(docs):
 
 
 def test_em_separates():
-    p = rules.posteriors([((1, 1, 1), 900), ((0, 0, 1), 60), ((0, 0, 0), 40), ((1, -1, 1), 50)])
+    patterns = [((1, 1, 1), 900), ((0, 0, 1), 60), ((0, 0, 0), 40), ((1, -1, 1), 50)]
+    model = rules.fit(patterns)
+    p = {v: rules.posterior(v, model) for v, _ in patterns}
     assert p[(1, 1, 1)] > 0.9 and p[(1, -1, 1)] > 0.9 and p[(0, 0, 0)] < 0.1
+    assert all(g + w >= 1 for g, w in model[1])
+
+
+def plain_em(votes: list[tuple[int, ...]], p: list[float], rounds: int):
+    """EM document by document, from the definitions: log likelihood and posteriors."""
+    k = len(votes[0])
+    for _ in range(rounds):
+        prior = min(0.999, max(0.001, sum(p) / len(p)))
+        g, w = [], []
+        for j in range(k):
+            good, bad = sum(x for x, v in zip(p, votes) if v[j] != -1), sum(1 - x for x, v in zip(p, votes) if v[j] != -1)
+            g.append((sum(x for x, v in zip(p, votes) if v[j] == 1) + 0.9) / (good + 1))
+            w.append(min(0.999, max(1 + rules.ABOVE_CHANCE - g[j], (sum(1 - x for x, v in zip(p, votes) if v[j] == 0) + 0.5) / (bad + 1))))
+        both = []
+        for v in votes:
+            a, b = prior, 1 - prior
+            for j, x in enumerate(v):
+                if x == 1:
+                    a, b = a * g[j], b * (1 - w[j])
+                elif x == 0:
+                    a, b = a * (1 - g[j]), b * w[j]
+            both.append((a, b))
+        p = [a / (a + b) for a, b in both]
+    return sum(np.log(a + b) for a, b in both), p
+
+
+def test_em_against_plain_em():
+    rnd = random.Random(8)
+    votes = [tuple((rnd.random() < (0.9 if good else 0.2)) * 1 if rnd.random() < 0.8 else -1 for _ in range(5)) for good in [1] * 150 + [0] * 50]
+    starts = [[0.05 if bad(v) else 0.95 for v in votes] for bad in (lambda v: 0 in v, lambda v: v.count(0) > 1, lambda v: v.count(0) > v.count(1))]
+    want = max((plain_em(votes, p, 30) for p in starts), key=lambda x: x[0])[1]
+    model = rules.fit(sorted(Counter(votes).items()), 30)
+    assert [rules.posterior(v, model) for v in votes] == pytest.approx(want, abs=1e-9)
+
+
+def test_rules_decide(spark):
+    """Of the documents that pass the base limits the posterior rejects bad ones, and few others."""
+    d = "/root/testdata/sf0.01"
+    lab = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = [(r.kept, lab[r.doc_id]) for r in rules.judge(spark.read.parquet(f"{d}/documents.parquet")).collect() if not r.base_failed and r.doc_id in lab]
+    rejected = [y for kept, y in got if not kept]
+    assert rejected.count(0) >= 0.9 * len(rejected) > 0 and rejected.count(0) >= 0.8 * sum(y == 0 for _, y in got)
 
 
 @pytest.mark.parametrize("part", [8 << 20, 40])
