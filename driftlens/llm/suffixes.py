@@ -39,11 +39,11 @@ LONGEST_RISE = 64  # a longer stretch of rising or falling names is ranked by do
 def classify(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (the last is)."""
     n = len(s)
-    differs = np.flatnonzero(s[1:] != s[:-1])
-    nxt = np.searchsorted(differs, np.arange(n - 1))
-    at = differs[np.minimum(nxt, len(differs) - 1)]
+    change = s[1:] != s[:-1]
+    differs = np.flatnonzero(change)
+    rises = s[differs] < s[differs + 1]
     smaller = np.ones(n, bool)
-    smaller[:-1] = s[at] < s[at + 1]
+    smaller[:-1] = rises[np.minimum(np.cumsum(change, dtype=np.int32) - change, len(differs) - 1)]
     # separators differ by place: each is smaller than the byte or separator behind it
     smaller[s <= _SEPARATOR] = True
     return smaller
@@ -134,17 +134,6 @@ def _rank(k: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dense(*keys: np.ndarray) -> np.ndarray:
-    """The rank of each row among the distinct rows; the first key counts most."""
-    out = _rank(keys[0])
-    for k in keys[1:]:
-        k = k.astype(np.int64) - int(k.min())
-        if (int(out.max()) + 1) * (int(k.max()) + 1) >= 1 << 62:
-            k = _rank(k)
-        out = _rank(out * (int(k.max()) + 1) + k)
-    return out
-
-
 def ranks(x: np.ndarray) -> np.ndarray:
     """The rank of each suffix of a sequence of small numbers >= 0; the end is least.
 
@@ -160,17 +149,18 @@ def ranks(x: np.ndarray) -> np.ndarray:
         run = np.repeat(np.arange(len(head)), np.diff(np.r_[head, n]))
         left = np.r_[head[1:], n][run] - np.arange(n)  # of the run
         behind = np.r_[x[head[1:]], -1][run]
-        key = _dense(x, behind > x, np.where(behind > x, -left, left))
-        return _dense(key, np.r_[ranks(key[head])[1:], -1][run])
+        rising, most = behind > x, int(left.max()) + 1
+        key = _rank((x * 2 + rising) * (2 * most) + np.where(rising, most - left, most + left))
+        return _rank(key * (len(head) + 1) + np.r_[ranks(key[head])[1:] + 1, 0][run])
     rising = np.r_[x[:-1] < x[1:], False]
-    seeds = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
-    place = np.arange(n)
-    nth = np.searchsorted(seeds, place, side="right")  # the next seed behind each place
+    is_seed = np.r_[False, rising[1:] & ~rising[:-1]]
+    seeds, place = np.flatnonzero(is_seed), np.arange(n)
+    nth = np.cumsum(is_seed)  # the next seed behind each place
     last = np.r_[seeds, n - 1][nth]
     if (last - place).max(initial=0) >= LONGEST_RISE:
         return _doubled(x)
     name = _named(2 * x + rising + 1, last)
-    return _dense(name, np.r_[ranks(name[seeds]), -1][nth]) if len(seeds) else name
+    return _rank(name * (len(seeds) + 1) + np.r_[ranks(name[seeds]) + 1, 0][nth]) if len(seeds) else name
 
 
 def _named(e: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -212,7 +202,7 @@ def _doubled(x: np.ndarray) -> np.ndarray:
     """``ranks`` by doubling, for sequences that rise and fall in very long stretches."""
     rank, step = _rank(x), 1
     while rank.max() < len(x) - 1:
-        rank = _dense(rank, np.r_[rank[step:], np.full(min(step, len(x)), -1)])
+        rank = _rank(rank * (len(x) + 1) + np.r_[rank[step:] + 1, np.zeros(min(step, len(x)), np.int64)])
         step *= 2
     return rank
 
@@ -248,14 +238,14 @@ def common_prefixes(data: np.ndarray, room: np.ndarray, order: np.ndarray) -> np
     """For each place of the text, how many bytes its suffix shares with the one before
     it in order, at most ``room`` of either: the bytes left in its segment."""
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    p = np.arange(n)
+    p = np.arange(n, dtype=np.int32)
     q = before
     # reducible: the bytes in front are equal too, and both within their segments
     easy = (p > 0) & (q > 0)
     easy[1:] &= (data[p[1:] - 1] == data[q[1:] - 1]) & (room[p[1:] - 1] > 1) & (room[q[1:] - 1] > 1)
-    shared = np.zeros(n, np.int64)
+    shared = np.zeros(n, np.int32)
     at = np.flatnonzero(~easy & (q >= 0))
     limit = np.minimum(room[at], room[q[at]])
     wide = np.zeros(n + 8, np.uint64)
@@ -290,9 +280,9 @@ def resolve(doc: np.ndarray, bodies: pa.Array, window: int) -> tuple[np.ndarray,
     s = np.full(len(data) + len(lens) + 1, _SEPARATOR, np.int16)
     s[at] = data.astype(np.int16) + 2
     s[-1] = 0
-    room = np.zeros(len(s), np.int64)
+    room = np.zeros(len(s), np.int32)
     room[at] = off[1:][owner] - np.arange(len(data))
-    seg = np.full(len(s), -1, np.int64)
+    seg = np.full(len(s), -1, np.int32)
     seg[at] = owner
     order = suffix_array(s)
     raw = np.zeros(len(s), np.uint8)
