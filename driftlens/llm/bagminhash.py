@@ -50,9 +50,9 @@ from .textkit import BYTE_VALUE, Rolling, column, mix, pieces, ragged, words
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-#: Slots that two texts of the similarity sought agree in, but for one case in 10**7 (the
+#: Slots that two texts of the similarity sought agree in, but for 14 cases in 10**6 (the
 #: bands miss three in 10**6 of such pairs, fewer the more alike the texts are).
-SCREEN = 98
+SCREEN = 106
 LIKELY = int(SLOTS * SIMILARITY)
 #: Texts of a bucket that are met in one task; leaders grow by the factor each round.
 CHUNK, FASTER, MOST = 1 << 10, 16, 1 << 12
