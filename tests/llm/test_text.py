@@ -314,5 +314,10 @@ def test_toxic_texts_are_found(spark):
 def test_toxic_gradients_add_up(spark):
     rows = [(i % 3, i % 2, np.arange(i, i + 4, dtype=np.int32).tobytes()) for i in range(12)]
     df = spark.createDataFrame(rows, "part int, y int, slots binary").repartition(5)
-    got = sum(toxicity.added(df, lambda flat, lens, y: np.r_[np.bincount(flat, minlength=16), y.sum()].astype(float)))
+
+    def vector(batch):
+        flat, _, y = toxicity._rows(batch)
+        return np.r_[np.bincount(flat, minlength=16), y.sum()].astype(float)
+
+    got = sum(toxicity.added(df, vector))
     assert got.tolist() == [*np.bincount(np.concatenate([np.arange(i, i + 4) for i in range(12)]), minlength=16), 6]
