@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import l2_normalize, squared_distance
+from ..functions.arrays import dot, l2_normalize, revin, squared_distance
 from .neighbors import BY, assign, topk_mean
+from .window import to_points, windows
 
 
 def vector_mean(rows: DataFrame, keys: list[str], col: str = "v") -> DataFrame:
     """(keys, center) by place; one shuffle of partial sums."""
-    flat = rows.select(*keys, F.posexplode(col).alias("_p", "_x"))
-    places = flat.groupBy(*keys, "_p").agg(F.avg("_x").alias("_x"))
-    return places.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda s: s["_x"]).alias("center"))
+    return rows.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(col)))).alias("center"))
+
+
+def clean_clusters(members: DataFrame, parents: DataFrame, by: list[str] = BY) -> DataFrame:
+    """Balls (by, m, q, v) after a split of the balls ``parents`` (by, m, q, v): rows
+    (by, m, side, q, v).  A side without rows is no ball; a ball that a split has left
+    whole, or whose sides both hold all of it, is not split and keeps side 0."""
+    n = parents.groupBy(*by, "m").agg(F.count(F.lit(1)).alias("_n"))
+    sides = members.groupBy(*by, "m", "side").agg(F.count_distinct("q").alias("_c"))
+    failed = sides.join(n, [*by, "m"]).groupBy(*by, "m").agg(F.bool_or(F.col("_c") == F.col("_n")).alias("_failed"))
+    out = members.join(failed, [*by, "m"])
+    side = F.when(F.col("_failed"), 0).otherwise(F.col("side")).alias("side")
+    return out.select(*by, "m", side, "q", "v").dropDuplicates([*by, "m", "side", "q"])
 
 
 def even_seeds(rows: DataFrame, k: int | None, by: list[str] = BY) -> DataFrame:
@@ -40,8 +54,9 @@ def coarse_cover(rows: DataFrame, k: int | None = None, rounds: int = 3, by: lis
     return rows.join(assign(rows, centers, by).select(*by, "q", "m"), [*by, "q"])
 
 
-def kmeans_score(train: DataFrame, query: DataFrame, k: int = 10, rounds: int = 3, by: list[str] = BY) -> DataFrame:
-    """Distance to the assigned centre, min(k, n) centres fitted on the training rows."""
+def kmeans_score(train: DataFrame, query: DataFrame, k: int = 10, rounds: int = 10, by: list[str] = BY) -> DataFrame:
+    """Distance to the assigned centre, min(k, n) centres fitted on the training rows
+    by ``rounds`` of Lloyd's steps."""
     centers = vector_mean(coarse_cover(train, k, rounds, by), [*by, "m"]).withColumnRenamed("center", "u")
     return assign(query, centers, by).select(*by, "q", F.sqrt("d2").alias("score"))
 
@@ -64,15 +79,24 @@ def two_means(rows: np.ndarray, steps: int = 12) -> np.ndarray:
     return side
 
 
-def two_means_split(rows: DataFrame, by: list[str] = BY) -> DataFrame:
-    """C04, one assignment as tables: (by, q, side) by the two farthest seeds."""
+def two_means_split(rows: DataFrame, by: list[str] = BY, steps: int = 12) -> DataFrame:
+    """C04 as tables, for balls of any size: (by, q, v, side) by the two farthest seeds, then
+    Lloyd's steps, each an aggregate and a join; a side that loses all rows ends the steps."""
     mean = vector_mean(rows, by)
     d = rows.join(mean, by).withColumn("_d", squared_distance(F.col("v"), F.col("center")))
     first = d.groupBy(*by).agg(F.max_by("v", F.struct("_d", -F.col("q"))).alias("a"))
     d = rows.join(first, by).withColumn("_d", squared_distance(F.col("v"), F.col("a")))
-    second = d.groupBy(*by).agg(F.max_by("v", F.struct("_d", -F.col("q"))).alias("b"), F.first("a").alias("a"))
-    side = squared_distance(F.col("v"), F.col("b")) < squared_distance(F.col("v"), F.col("a"))
-    return rows.join(second, by).select(*by, "q", side.cast("int").alias("side"))
+    centers = d.groupBy(*by).agg(F.max_by("v", F.struct("_d", -F.col("q"))).alias("b"), F.first("a").alias("a"))
+    nearer = (squared_distance(F.col("v"), F.col("b")) < squared_distance(F.col("v"), F.col("a"))).cast("int")
+    sided = lambda: rows.join(centers, by).select(*by, "q", "v", nearer.alias("side"), "a", "b")
+    center = vector_to_array(Summarizer.mean(array_to_vector(F.col("v"))))
+    for _ in range(steps - 1):  # only the centres go from step to step
+        means = sided().groupBy(*by, "side").agg(center.alias("c"), F.first("a").alias("a"), F.first("b").alias("b"))
+        of = lambda side: F.max(F.when(F.col("side") == side, F.col("c")))
+        both = means.groupBy(*by).agg(of(0).alias("a1"), of(1).alias("b1"), F.first("a").alias("a"), F.first("b").alias("b"))
+        ends = F.col("a1").isNull() | F.col("b1").isNull()
+        centers = both.select(*by, F.when(ends, F.col("a")).otherwise(F.col("a1")).alias("a"), F.when(ends, F.col("b")).otherwise(F.col("b1")).alias("b"))
+    return sided().drop("a", "b")
 
 
 def ball_sse(members: DataFrame, by: list[str] = BY) -> DataFrame:
@@ -183,33 +207,55 @@ def cross_correlation(left: DataFrame, right: DataFrame, by: list[str] = BY) ->
     return c.groupBy(*by).agg(F.avg(on).alias("on_diagonal"), F.avg(off).alias("off_diagonal"))
 
 
+def principal_components(train: DataFrame, variance: float | None = None, by: list[str] = BY) -> DataFrame:
+    """(by, c, share, mean, std, comp): components of the standardised training rows, as
+    many as hold ``variance`` (all if not given), their greatest loading positive.  Each
+    batch adds up its products of vectors; a d x d matrix leaves it, whatever its rows."""
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, part in b.groupby(by, sort=False):
+                x = np.stack(part["v"].to_numpy())
+                yield part[by].head(1).assign(s=[np.r_[len(x), x.sum(0), (x.T @ x).ravel()].tolist()])
+
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in train.select(*by).schema.fields)
+    sums = train.select(*by, "v").mapInPandas(added, f"{keys}, s array<double>").groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(len(b)):
+                s = np.asarray(b["s"].iloc[i])
+                d = int(round((-1 + np.sqrt(1 + 4 * (len(s) - 1))) / 2))
+                mean = s[1 : d + 1] / s[0]
+                cov = s[d + 1 :].reshape(d, d) / s[0] - np.outer(mean, mean)
+                std = np.sqrt(np.maximum(np.diag(cov), 0))
+                std[std < 1e-8] = 1.0
+                values, vectors = np.linalg.eigh(cov / np.outer(std, std))
+                order = np.argsort(values)[::-1]
+                share, comp = np.maximum(values[order], 0) / max(values.sum(), 1e-12), vectors[:, order].T
+                sign = np.sign(comp[np.arange(d), np.abs(comp).argmax(1)])
+                comp = comp * np.where(sign == 0, 1, sign)[:, None]
+                k = d if variance is None else min(d, int(np.searchsorted(np.cumsum(share), variance) + 1))
+                head = b[by].iloc[[i] * k].reset_index(drop=True)
+                yield head.assign(c=range(k), share=share[:k], mean=[mean.tolist()] * k, std=[std.tolist()] * k, comp=[x.tolist() for x in comp[:k]])
+
+    return sums.mapInPandas(fit, f"{keys}, c int, share double, mean array<double>, std array<double>, comp array<double>")
+
+
+def _standardised():
+    return F.zip_with(F.zip_with("v", "mean", lambda x, m: x - m), "std", lambda x, s: x / s)
+
+
 def pca_score(train: DataFrame, query: DataFrame, variance: float | None = None, by: list[str] = BY) -> DataFrame:
-    """Sum over components of the distance to them over their shares (1e-12 at
-    least).  Each series' components come from sums of products that Spark adds up."""
-    flat = train.select(*by, F.posexplode("v").alias("i", "x"), "v").select(*by, "i", "x", F.posexplode("v").alias("j", "y"))
-    sums = flat.groupBy(*by, "i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg("x").alias("mi"), F.avg("y").alias("mj"))
-
-    def fit(cells: pd.DataFrame) -> pd.DataFrame:
-        d = int(cells["i"].max()) + 1
-        cov, mean = np.zeros((d, d)), np.zeros(d)
-        cov[cells["i"], cells["j"]] = cells["xy"] - cells["mi"] * cells["mj"]
-        mean[cells["i"]] = cells["mi"]
-        std = np.sqrt(np.maximum(np.diag(cov), 0))
-        std[std < 1e-8] = 1.0
-        values, vectors = np.linalg.eigh(cov / np.outer(std, std))
-        order = np.argsort(values)[::-1]
-        share, comp = np.maximum(values[order], 0) / max(values.sum(), 1e-12), vectors[:, order].T
-        sign = np.sign(comp[np.arange(d), np.abs(comp).argmax(1)])
-        comp = comp * np.where(sign == 0, 1, sign)[:, None]
-        k = d if variance is None else int(np.searchsorted(np.cumsum(share), variance) + 1)
-        head = cells[by].head(1)
-        return pd.concat([head.assign(c=c, share=share[c], mean=[mean.tolist()], std=[std.tolist()], comp=[comp[c].tolist()]) for c in range(min(k, d))])
+    """Sum over components of the distance to them over their shares (1e-12 at least)."""
+    d = F.sqrt(squared_distance(_standardised(), F.col("comp"))) / F.greatest("share", F.lit(1e-12))
+    return query.join(principal_components(train, variance, by), by).groupBy(*by, "q").agg(F.sum(d).alias("score"))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in train.select(*by).schema.fields)
-    comps = sums.groupBy(*by).applyInPandas(fit, f"{schema}, c int, share double, mean array<double>, std array<double>, comp array<double>")
-    z = F.zip_with(F.zip_with("v", "mean", lambda x, m: x - m), "std", lambda x, s: x / s)
-    d = F.sqrt(squared_distance(z, F.col("comp"))) / F.greatest("share", F.lit(1e-12))
-    return query.join(comps, by).groupBy(*by, "q").agg(F.sum(d).alias("score"))
+
+def pca_project(train: DataFrame, rows: DataFrame, variance: float, by: list[str] = BY) -> DataFrame:
+    """(by, q, v): rows as their coordinates along the components of the training rows."""
+    on = rows.join(principal_components(train, variance, by), by).select(*by, "q", "c", dot(_standardised(), F.col("comp")).alias("x"))
+    return on.groupBy(*by, "q").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda s: s["x"]).alias("v"))
 
 
 def _path(n: float) -> float:
@@ -236,11 +282,14 @@ def _depth(tree: list, x: np.ndarray, at: np.ndarray, depth: int, out: np.ndarra
         _depth(tree[3], x, at[~left], depth + 1, out)
 
 
+#: Queries of a series that one task scores with all its trees.
+SCORED = 1 << 16
+
+
 def iforest(train: DataFrame, query: DataFrame, trees: int = 150, share: float = 1.0, psi: int = 256, seed: int = 2026, by: list[str] = BY) -> DataFrame:
     """2 ** (-mean path / c(psi)) - 0.5.  A group is one tree's hashed sample of at
-    most ``psi`` rows; trees are packed and joined to the queries of their series."""
-    import json
-
+    most ``psi`` rows.  Queries of a series are dealt into parts of about ``SCORED`` rows;
+    the forest goes to each part once, not to each row."""
     w = Window.partitionBy(*by)
     ranked = train.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     ranked = ranked.withColumn("_h", F.xxhash64("q", "tree", F.lit(seed))).where((F.pmod("_h", F.lit(1 << 30)) / (1 << 30)) < 4.0 * psi / F.col("_n"))
@@ -252,31 +301,49 @@ def iforest(train: DataFrame, query: DataFrame, trees: int = 150, share: float =
         rng = np.random.default_rng([seed, int(part["tree"].iloc[0])])
         features = rng.permutation(x.shape[1])[: max(1, round(share * x.shape[1]))]
         tree = _tree(x, rng, features, int(np.ceil(np.log2(max(2, min(psi, len(x)))))))
-        return part[by].head(1).assign(tree=json.dumps(tree), psi=len(x))
+        return part[by].head(1).assign(grown=json.dumps(tree), psi=len(x))
 
-    forest = ranked.select(*by, "tree", "_r", "v").groupBy(*by, "tree").applyInPandas(grow, f"{schema}, tree string, psi int")
-    packed = forest.groupBy(*by).agg(F.sort_array(F.collect_list("tree")).alias("trees"), F.max("psi").alias("psi"))  # ``trees`` of at most psi leaves
+    forest = ranked.select(*by, "tree", "_r", "v").groupBy(*by, "tree").applyInPandas(grow, f"{schema}, grown string, psi int")
+    parts = query.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / SCORED).cast("int").alias("_parts"))
+    dealt = query.join(parts, by).select(*by, "q", "v", F.pmod(F.xxhash64("q"), F.col("_parts")).cast("int").alias("_part"))
+    sent = forest.join(parts, by).select(*by, "grown", "psi", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
     names = [*by, "q"]
-    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in query.select(*names).schema.fields)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for _, part in b.groupby(by, sort=False):
-                x = np.stack(part["v"].to_numpy())
-                total = np.zeros(len(x))
-                for t in part["trees"].iloc[0]:
-                    d = np.zeros(len(x))
-                    _depth(json.loads(t), x, np.arange(len(x)), 0, d)
-                    total += d
-                c = max(_path(int(part["psi"].iloc[0])), 1e-12)
-                yield part[names].assign(score=2 ** (-total / len(part["trees"].iloc[0]) / c) - 0.5)
+    def score(rows: pd.DataFrame, grown: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(grown):
+            return rows[names].head(0).assign(score=0.0)
+        x, total = np.stack(rows["v"].to_numpy()), np.zeros(len(rows))
+        for t in sorted(grown["grown"]):
+            d = np.zeros(len(x))
+            _depth(json.loads(t), x, np.arange(len(x)), 0, d)
+            total += d
+        return rows[names].assign(score=2 ** (-total / len(grown) / max(_path(int(grown["psi"].max())), 1e-12)) - 0.5)
 
-    return query.join(packed, by).select(*names, "v", "trees", "psi").mapInPandas(score, f"{out_schema}, score double")
-
-
-def exemplar_detector(train: DataFrame, query: DataFrame, k: int = 3, by: list[str] = BY) -> DataFrame:
-    """(by, q, score): unit vectors, granular balls of the training rows, exemplars,
-    mean of the k least unit distances."""
+    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in query.select(*names).schema.fields)
+    return dealt.groupBy(*by, "_part").cogroup(sent.groupBy(*by, "_part")).applyInPandas(score, f"{out_schema}, score double")
+
+
+def exemplar_detector(train: DataFrame, query: DataFrame, k: int = 3, variance: float | None = None, channels: int = 1, by: list[str] = BY) -> DataFrame:
+    """C15 on patches (by, q, v): (by, q, score).  Each patch is normalised by channel
+    and, if ``variance`` is given, projected on the training patches' components; unit
+    vectors, granular balls of the training ones, exemplars, and the mean of the k least unit
+    distances."""
+    flat = lambda df: df.select(*by, "q", revin(F.col("v"), channels).alias("v"))
+    learnt, asked = flat(train), flat(query)
+    if variance is not None:
+        learnt, asked = pca_project(learnt, learnt, variance, by), pca_project(learnt, asked, variance, by)
     unit = lambda df: df.select(*by, "q", l2_normalize(F.col("v")).alias("v"))
-    memory = exemplar_memory(granular_partition(unit(train), by=by), by).select(*by, "m", "u")
-    return topk_mean(unit(query), memory, k, by)
+    memory = exemplar_memory(granular_partition(unit(learnt), by=by), by).select(*by, "m", "u")
+    return topk_mean(unit(asked), memory, k, by)
+
+
+def exemplar_points(series: DataFrame, meta: DataFrame, length: int, k: int = 3, variance: float | None = None) -> DataFrame:
+    """C15 from points to points: (series_id, t, score) of series (series_id, t, x); patches
+    that end in the prefix are learnt from.  Patches stand where the learned encoder's
+    vectors would; everything behind it is the same."""
+    sample = series.schema["x"].dataType
+    channels = 1 if sample.typeName() != "array" else series.select(F.max(F.size("x"))).first()[0] or 1
+    patches = windows(series.select("series_id", "t", "x"), length).select("series_id", F.col("start").alias("q"), F.col("w").alias("v"))
+    train = patches.join(meta.select("series_id", "train_index"), "series_id").where(F.col("q") + length <= F.col("train_index")).drop("train_index")
+    scored = exemplar_detector(train, patches, k, variance, channels).select("series_id", F.col("q").alias("start"), "score")
+    return to_points(scored, length, series)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import sanitize
+from .records import METRICS, finite
+
 BY = ["series_id"]
 
 
@@ -50,26 +53,31 @@ def thresholds(df: DataFrame, count: int, by: list[str] = BY) -> DataFrame:
 
 def range_f1(df: DataFrame, count: int = 20, alpha: float = 0.2, by: list[str] = BY) -> DataFrame:
     """(by, range_f1): range precision and recall with flat bias and reciprocal
-    cardinality, the best over ``count`` score quantiles."""
+    cardinality, the best over ``count`` score quantiles.
+
+    Segments never meet: a point knows its real and its predicted segment, so what two
+    segments have in common, and how many a segment meets, are sums over points."""
     thr = thresholds(df, count, by).select(*by, "thr").distinct()
-    real = segments(df, by).withColumnsRenamed({"s": "rs", "e": "re", "segment": "i"})
-    marked = df.join(thr, by).withColumn("hit", (F.col("score") >= F.col("thr")).cast("int"))
-    pred = segments(marked, [*by, "thr"], "hit").withColumnsRenamed({"s": "ps", "e": "pe", "segment": "j"})
-    both = real.join(thr, by).join(pred, [*by, "thr"], "left")
-    meets = (F.col("ps") <= F.col("re")) & (F.col("pe") >= F.col("rs"))
-    common = F.when(meets, F.least("pe", "re") - F.greatest("ps", "rs") + 1).otherwise(0)
-    factor = lambda n: F.when(n > 1, 1 / n).otherwise(1.0)
-    r = both.groupBy(*by, "thr", "i").agg(F.count_if(meets).alias("_n"), F.sum(common).alias("_c"), F.first(F.col("re") - F.col("rs") + 1).alias("_len"))
-    r = r.groupBy(*by, "thr").agg(F.avg(F.when(F.col("_n") > 0, alpha).otherwise(0.0) + (1 - alpha) * factor(F.col("_n")) * F.col("_c") / F.col("_len")).alias("recall"))
-    p = pred.join(real, by).groupBy(*by, "thr", "j").agg(F.count_if(meets).alias("_n"), F.sum(common).alias("_c"), F.first(F.col("pe") - F.col("ps") + 1).alias("_len"))
-    p = p.groupBy(*by, "thr").agg(F.avg(factor(F.col("_n")) * F.col("_c") / F.col("_len")).alias("precision"))
+    w = Window.partitionBy(*by).orderBy("t")
+    before = F.coalesce(F.lag("label").over(w), F.lit(0))
+    real = df.withColumn("_r0", (F.col("label") == 1) & (before != 1)).withColumn("i", F.sum(F.col("_r0").cast("int")).over(w))
+    w = Window.partitionBy(*by, "thr").orderBy("t")
+    marked = real.join(thr, by).withColumn("hit", F.col("score") >= F.col("thr"))
+    marked = marked.withColumn("_p0", F.col("hit") & ~F.coalesce(F.lag("hit").over(w), F.lit(False))).withColumn("j", F.sum(F.col("_p0").cast("int")).over(w))
+    both = (F.col("label") == 1) & F.col("hit")
+    parts = F.count_if(both & (F.col("_r0") | F.col("_p0"))).alias("_n")  # where two segments begin to overlap
+    factor = F.when(F.col("_n") > 1, 1 / F.col("_n")).otherwise(1.0) * F.col("_c") / F.col("_len")
+    r = marked.where("label = 1").groupBy(*by, "thr", "i").agg(parts, F.count_if(both).alias("_c"), F.count(F.lit(1)).alias("_len"))
+    r = r.groupBy(*by, "thr").agg(F.avg(F.when(F.col("_n") > 0, alpha).otherwise(0.0) + (1 - alpha) * factor).alias("recall"))
+    p = marked.where("hit").groupBy(*by, "thr", "j").agg(parts, F.count_if(both).alias("_c"), F.count(F.lit(1)).alias("_len"))
+    p = p.groupBy(*by, "thr").agg(F.avg(factor).alias("precision"))
     f = r.join(p, [*by, "thr"])
     total = F.col("recall") + F.col("precision")
     return f.groupBy(*by).agg(F.max(F.when(total > 0, 2 * F.col("recall") * F.col("precision") / total).otherwise(0.0)).alias("range_f1"))
 
 
 def soft_labels(df: DataFrame, length: int, by: list[str] = BY) -> DataFrame:
-    """(by, buffer, t, score, label, soft) for buffers 0..length: 1 in a segment,
+    """The columns of df with ``buffer`` 0..length and ``soft``: 1 in a segment,
     sqrt(1 - d / buffer) at a distance d of at most buffer / 2 from the nearest one."""
     w = Window.partitionBy(*by).orderBy("t")
     hit = F.when(F.col("label") == 1, F.col("t"))
@@ -77,7 +85,7 @@ def soft_labels(df: DataFrame, length: int, by: list[str] = BY) -> DataFrame:
     d = df.withColumn("_d", F.least(F.col("t") - back, ahead - F.col("t")))
     d = d.withColumn("buffer", F.explode(F.sequence(F.lit(0), F.lit(length))))
     soft = F.when(F.col("label") == 1, 1.0).when(F.col("_d") <= F.col("buffer") / 2, F.sqrt(1 - F.col("_d") / F.col("buffer"))).otherwise(0.0)
-    return d.select(*by, "buffer", "t", "score", "label", soft.alias("soft"))
+    return d.withColumn("soft", soft).drop("_d")
 
 
 def vus(df: DataFrame, length: int, count: int = 250, by: list[str] = BY) -> DataFrame:
@@ -88,11 +96,10 @@ def vus(df: DataFrame, length: int, count: int = 250, by: list[str] = BY) -> Dat
     thr = thresholds(df, count, by).select(*by, "thr").distinct()
     step = thr.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("thr"))))
     steps = step.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "thr"))), lambda s: s["thr"]).alias("_t"))
-    soft = soft_labels(df, length, by).join(steps, by)
-    # the first threshold that the score reaches; none if it is below all
-    k = F.size(F.filter("_t", lambda t: t > F.col("score"))) + 1
-    soft = soft.withColumn("k", k)
-    sums = soft.where(F.col("k") <= F.size("_t")).groupBy(*by, "buffer", "k").agg(F.sum("soft").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    # the first threshold that a point's score reaches; none if it is below all
+    placed = df.join(steps, by).withColumns({"k": F.size(F.filter("_t", lambda t: t > F.col("score"))) + 1, "_last": F.size("_t")})
+    soft = soft_labels(placed.select(*by, "t", "label", "k", "_last"), length, by)
+    sums = soft.where(F.col("k") <= F.col("_last")).groupBy(*by, "buffer", "k").agg(F.sum("soft").alias("_s"), F.count(F.lit(1)).alias("_n"))
     grid = step.join(soft.groupBy(*by, "buffer").agg(((F.sum("label") + F.sum("soft")) / 2).alias("p"), F.count(F.lit(1)).alias("n")), by)
     up = Window.partitionBy(*by, "buffer").orderBy("k")
     g = grid.join(sums, [*by, "buffer", "k"], "left").withColumn("tp", F.sum(F.coalesce("_s", F.lit(0.0))).over(up)).withColumn("pred", F.sum(F.coalesce("_n", F.lit(0))).over(up))
@@ -107,14 +114,12 @@ def vus(df: DataFrame, length: int, count: int = 250, by: list[str] = BY) -> Dat
     return area.groupBy(*by).agg(F.avg("roc").alias("vus_roc"), F.avg("pr").alias("vus_pr"))
 
 
-def evaluate(df: DataFrame, length: int = 10, by: list[str] = BY) -> DataFrame:
-    """All six metrics of each series, and whether all are finite."""
-    out = curve_metrics(score_curve(df, by), by).join(range_f1(df, by=by), by, "left").join(vus(df, length, by=by), by, "left")
-    names = ["vus_pr", "vus_roc", "range_f1", "auc_pr", "auc_roc", "best_f1"]
-    finite = F.lit(True)
-    for n in names:
-        finite = finite & F.coalesce(~F.isnan(n), F.lit(False))
-    return out.select(*by, *names, finite.alias("finite"))
+def evaluate(df: DataFrame, length: int = 10, count: int = 250, by: list[str] = BY) -> DataFrame:
+    """All six metrics of each series, and whether all are finite numbers.  Scores that
+    are not finite are replaced first (F06)."""
+    df = df.withColumn("score", sanitize(F.col("score")))
+    out = curve_metrics(score_curve(df, by), by).join(range_f1(df, by=by), by, "left").join(vus(df, length, count, by), by, "left")
+    return out.select(*by, *METRICS, finite(*METRICS).alias("finite"))
 
 
 def series_profile(df: DataFrame, meta: DataFrame, by: list[str] = BY) -> DataFrame:

@@ -1,12 +1,16 @@
 """Distances, nearest neighbours and the scores made of them.
 
-Queries meet the memory of their own series only (an equi-join on ``by``).  For series
-with very many rows the memory is dealt into ``blocks``: each query meets every block in
-its own task, keeps the best there, and the blocks' best are merged.
+Queries meet the memory of their own series only.  Both are dealt into blocks of about
+``BLOCK`` rows: a task holds one block of either at a time, multiplies them as matrices and
+keeps the ``k`` best of each query, so pairs never become rows; the blocks' best are merged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,9 @@ from ..functions.arrays import discrepancy, dot, squared_distance
 from .normalize import softmax
 
 BY = ["series_id"]
+#: Rows of a series that meet in one task, of the queries and of the memory, and how many
+#: pairs of them are held at once.
+BLOCK, PAIRS = 1 << 12, 1 << 20
 
 
 def pairwise(query: DataFrame, memory: DataFrame, by: list[str] = BY, unit: bool = False) -> DataFrame:
@@ -22,31 +29,104 @@ def pairwise(query: DataFrame, memory: DataFrame, by: list[str] = BY, unit: bool
     return query.join(memory, by).select(*by, "q", "m", d2.alias("d2"))
 
 
-def nearest(query: DataFrame, memory: DataFrame, k: int, by: list[str] = BY, unit: bool = False, blocks: int = 1, skip_self: bool = False) -> DataFrame:
-    """The k nearest of each query, (by, q, m, d2, place), ties by m."""
-    if blocks > 1:
-        query = query.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        memory = memory.withColumn("_b", F.pmod(F.xxhash64("m"), F.lit(blocks)).cast("int"))
-        pairs = pairwise(query, memory, [*by, "_b"], unit)
-    else:
-        pairs = pairwise(query, memory, by, unit)
-    if skip_self:
-        pairs = pairs.where(F.col("q") != F.col("m"))
-    if blocks > 1:  # the best of each block, in its own task
-        w = Window.partitionBy(*by, "_b", "q").orderBy("d2", "m")
-        pairs = pairs.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_b", "_k")
+def _dealt(query: DataFrame, memory: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, _g, _side, _id, _v): each block of queries (side 1) beside each block of the
+    memory (side 0) of its series, sorted by groups ``_g``, the memory first."""
+    count = lambda rows, name: rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    n = count(query, "_nq").join(count(memory, "_nm"), by)
+    own = lambda c, blocks: F.pmod(F.xxhash64(c), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    q = query.join(n, by).select(*by, own("q", "_nq").alias("_i"), every("_nm").alias("_j"), F.lit(1).alias("_side"), F.col("q").alias("_id"), F.col("v").alias("_v"))
+    m = memory.join(n, by).select(*by, every("_nq").alias("_i"), own("m", "_nm").alias("_j"), F.lit(0).alias("_side"), F.col("m").alias("_id"), F.col("u").alias("_v"))
+    keys = [*by, "_i", "_j"]
+    return q.unionByName(m).withColumn("_g", F.xxhash64(*keys)).repartition(*keys).sortWithinPartitions(*keys, "_side", "_id").drop("_i", "_j")
+
+
+Group = tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
+    """(rows, how many of them are memory, ids, vectors) of one group after another."""
+    held: list[pa.Table] = []
+
+    def whole() -> Iterator[Group]:
+        t = pa.concat_tables(held).combine_chunks()
+        g, side, ids = (np.asarray(t.column(c)) for c in ("_g", "_side", "_id"))
+        edge = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
+        vectors = t.column("_v").combine_chunks()
+        vectors = vectors if isinstance(vectors, pa.Array) else vectors.chunk(0)
+        off, flat = np.asarray(vectors.offsets), np.asarray(vectors.values)
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            n_memory = int(hi - lo - np.count_nonzero(side[lo:hi]))
+            yield t.slice(lo, hi - lo), n_memory, ids[lo:hi], flat[off[lo] : off[hi]].reshape(hi - lo, -1)
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        t, g = pa.Table.from_batches([batch]), np.asarray(batch.column(batch.schema.get_field_index("_g")))
+        edge = np.flatnonzero(np.r_[held[-1].column("_g")[-1].as_py() if held else g[0], g[:-1]] != g)
+        if len(edge):
+            held.append(t.slice(0, int(edge[-1])))
+            yield from whole()
+            held, t = [], t.slice(int(edge[-1]))
+        held.append(t)
+    if held:
+        yield from whole()
+
+
+def _blocks(n_memory: int, x: np.ndarray, unit: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, squared distances of the next queries to the memory), by products."""
+    m, q = x[:n_memory], x[n_memory:]
+    mm = (m * m).sum(1)
+    for lo in range(0, len(q), max(1, PAIRS // max(1, n_memory))):
+        some = q[lo : lo + max(1, PAIRS // max(1, n_memory))]
+        yield lo, np.maximum(0, 2 - 2 * some @ m.T) if unit else np.maximum(0, (some * some).sum(1)[:, None] + mm - 2 * some @ m.T)
+
+
+def _schema(df: DataFrame, cols: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema.fields)
+
+
+def nearest(query: DataFrame, memory: DataFrame, k: int, by: list[str] = BY, unit: bool = False, skip_self: bool = False) -> DataFrame:
+    """The k nearest of each query, (by, q, m, d2, place), ties by m.  Products find which
+    pairs can be among them; the distances of these are computed directly."""
+    dealt = _dealt(query, memory, by)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, n, ids, x in _groups(batches):
+            if not 0 < n < len(ids):
+                continue
+            scale = 1e-9 * (1 + float((x * x).sum(1).max()))
+            for lo, d in _blocks(n, x, unit):
+                some = np.arange(lo, lo + len(d)) + n
+                if skip_self:
+                    d[ids[some][:, None] == ids[:n]] = np.inf
+                limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < n else np.full((len(d), 1), np.inf)
+                i, j = np.nonzero((d <= limit + scale) & np.isfinite(d))
+                a, b = x[some[i]], x[j]
+                exact = np.maximum(0, 2 - 2 * (a * b).sum(1)) if unit else ((a - b) ** 2).sum(1)
+                order = np.lexsort((j, exact, i))  # j goes with m: rows are sorted by it
+                i, j, exact = i[order], j[order], exact[order]
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]][: len(i)])
+                best = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < k
+                at = pa.array(some[i[best]])
+                cols = [rows.column(c).take(at).combine_chunks() for c in by]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids[some[i[best]]]), pa.array(ids[j[best]]), pa.array(exact[best])], names=[*by, "q", "m", "d2"])
+
+    ids = dealt.schema["_id"].dataType.simpleString()
+    pairs = dealt.mapInArrow(emit, f"{_schema(query, by)}, q {ids}, m {ids}, d2 double")
     w = Window.partitionBy(*by, "q").orderBy("d2", "m")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def topk_mean(query: DataFrame, memory: DataFrame, k: int, by: list[str] = BY, unit: bool = True, blocks: int = 1) -> DataFrame:
+def topk_mean(query: DataFrame, memory: DataFrame, k: int, by: list[str] = BY, unit: bool = True) -> DataFrame:
     """The mean of the min(k, |memory|) smallest squared distances."""
-    return nearest(query, memory, k, by, unit, blocks).groupBy(*by, "q").agg(F.avg("d2").alias("score"))
+    return nearest(query, memory, k, by, unit).groupBy(*by, "q").agg(F.avg("d2").alias("score"))
 
 
-def knn_score(train: DataFrame, query: DataFrame, k: int = 50, by: list[str] = BY, blocks: int = 1) -> DataFrame:
+def knn_score(train: DataFrame, query: DataFrame, k: int = 50, by: list[str] = BY) -> DataFrame:
     """The mean Euclidean distance to the k nearest training rows."""
-    return nearest(query, train, k, by, False, blocks).groupBy(*by, "q").agg(F.avg(F.sqrt("d2")).alias("score"))
+    return nearest(query, train, k, by).groupBy(*by, "q").agg(F.avg(F.sqrt("d2")).alias("score"))
 
 
 def knn_repr_score(train: DataFrame, query: DataFrame, k: int = 5, by: list[str] = BY) -> DataFrame:
@@ -77,16 +157,28 @@ def lof(train: DataFrame, query: DataFrame, k: int, by: list[str] = BY) -> DataF
 
 
 def pair_density(rows: DataFrame, gamma: float, reduction: str = "sum", by: list[str] = BY) -> DataFrame:
-    """d2 * exp(-gamma * d2) over all ordered pairs of different rows, summed or averaged."""
-    pairs = pairwise(rows, rows.select(*by, F.col("q").alias("m"), F.col("v").alias("u")), by).where("q <> m")
-    value = F.col("d2") * F.exp(-gamma * F.col("d2"))
-    return pairs.groupBy(*by).agg((F.sum if reduction == "sum" else F.avg)(value).alias("density"))
+    """d2 * exp(-gamma * d2) over all ordered pairs of different rows, summed or
+    averaged; a sum leaves each pair of blocks."""
+    dealt = _dealt(rows, rows.select(*by, F.col("q").alias("m"), F.col("v").alias("u")), by)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, n, ids, x in _groups(batches):
+            total, pairs = 0.0, 0
+            for lo, d in _blocks(n, x, False):
+                other = ids[n + lo : n + lo + len(d)][:, None] != ids[:n]
+                total += float((d * np.exp(-gamma * d))[other].sum())
+                pairs += int(other.sum())
+            cols = [held.column(c).slice(0, 1).combine_chunks() for c in by]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([total]), pa.array([pairs])], names=[*by, "s", "n"])
+
+    sums = dealt.mapInArrow(emit, f"{_schema(rows, by)}, s double, n bigint").groupBy(*by).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
+    return sums.select(*by, (F.col("s") if reduction == "sum" else F.col("s") / F.col("n")).alias("density"))
 
 
 def memory_gated_score(query: DataFrame, memory: DataFrame, errors: DataFrame, temperature: float, by: list[str] = BY) -> DataFrame:
     """Softmax over a series of the least distances / temperature, times the
     reconstruction error (by, q, error)."""
-    least = pairwise(query, memory, by).groupBy(*by, "q").agg(F.min("d2").alias("least"))
+    least = nearest(query, memory, 1, by).select(*by, "q", F.col("d2").alias("least"))
     gated = softmax(least, "least", by, 1 / temperature, "gate")
     return gated.join(errors, [*by, "q"]).select(*by, "q", (F.col("gate") * F.col("error")).alias("score"))
 

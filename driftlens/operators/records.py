@@ -46,9 +46,10 @@ def audit(units: DataFrame, expected: DataFrame, seed: int = 2026) -> DataFrame:
 
 
 def audit_roots(**roots: DataFrame) -> DataFrame:
-    """(method, roots, units): a method must live in exactly one root."""
+    """(method, roots, units, single): a method must live in exactly one root."""
     every = reduce(DataFrame.unionByName, [df.select("method").withColumn("root", F.lit(name)) for name, df in roots.items()])
-    return every.groupBy("method").agg(F.count_distinct("root").alias("roots"), F.count(F.lit(1)).alias("units"))
+    out = every.groupBy("method").agg(F.count_distinct("root").alias("roots"), F.count(F.lit(1)).alias("units"))
+    return out.withColumn("single", F.col("roots") == 1)
 
 
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
@@ -68,8 +69,10 @@ def files_per_track(units: DataFrame) -> DataFrame:
 
 
 def forbidden_keys(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
-    """(row columns, key) for each forbidden key at any depth of a JSON text."""
-    found = F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(r'"([^"\\]+)"\s*:'), F.lit(1)))
+    """(row columns, key) for each forbidden key at any depth of a JSON text; letters of
+    a key may be escaped."""
+    raw = F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(r'"((?:[^"\\]|\\.)+)"\s*:'), F.lit(1)))
+    found = F.transform(raw, lambda k: F.coalesce(F.get(F.from_json(F.concat(F.lit('["'), k, F.lit('"]')), "array<string>"), F.lit(0)), k))
     return df.withColumn("key", F.explode(F.array_intersect(found, F.array(*[F.lit(k) for k in keys]))))
 
 
@@ -79,19 +82,26 @@ def summarize(units: DataFrame, by: list[str]) -> DataFrame:
 
 
 def method_means(units: DataFrame) -> DataFrame:
-    """A10."""
-    return units.groupBy("method").agg(*[F.avg(m).alias(m) for m in METRICS], F.count_distinct("track", "dataset", "file").alias("series"))
+    """A10: by method the means of the metrics and, where records have them, of the rows and
+    share of the memory and of the cost of a query; and the number of series."""
+    extra = [c for c in ("memory_rows", "memory_ratio", "query_ms_per_patch") if c in units.columns]
+    return units.groupBy("method").agg(*[F.avg(m).alias(m) for m in [*METRICS, *extra]], F.count_distinct("track", "dataset", "file").alias("series"))
 
 
-def render(summary: DataFrame, by: list[str], shown: list[str]) -> DataFrame:
-    """(by, row): a line of a Markdown table with three decimals."""
-    cells = [F.format_string("%.3f", F.col(m)) for m in shown]
-    return summary.select(*by, F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(b) for b in by], *cells), F.lit(" |")).alias("row"))
+def render(summary: DataFrame, by: list[str], aliases: dict[str, str]) -> DataFrame:
+    """(by, a column of text for each alias, row): the metrics with three decimals under
+    their aliases, and all of it as a line of a Markdown table."""
+    cells = {alias: F.format_string("%.3f", F.col(m)) for alias, m in aliases.items()}
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(b) for b in by], *cells.values()), F.lit(" |"))
+    return summary.select(*by, *[c.alias(alias) for alias, c in cells.items()], row.alias("row"))
 
 
-def markdown(rows: DataFrame, by: str) -> DataFrame:
-    """(by, body): the lines of a table in order; one table has a line a method."""
-    return rows.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list("row")), "\n").alias("body"))
+def markdown(rows: DataFrame, by: str, headers: list[str]) -> DataFrame:
+    """(by, body): the lines of a table in order below its head; one table has a line a
+    method."""
+    line = lambda cells: "| " + " | ".join(cells) + " |\n"
+    head = F.lit(line(headers) + line(["---"] * len(headers)))
+    return rows.groupBy(by).agg(F.concat(head, F.array_join(F.array_sort(F.collect_list("row")), "\n")).alias("body"))
 
 
 def status(units: DataFrame, expected: int | None = None, seed: int = 2026) -> DataFrame:
@@ -100,9 +110,9 @@ def status(units: DataFrame, expected: int | None = None, seed: int = 2026) -> D
     return s.withColumn("complete", F.col("valid") == (F.lit(expected) if expected is not None else F.col("records")))
 
 
-def candidate_grid(spark: SparkSession, axes: dict[str, list], fixed: dict | None = None) -> DataFrame:
-    """The product of the axes with the fixed parameters; a plan, so small by nature."""
-    grid = spark.range(1).select()
+def candidate_grid(grid: DataFrame, axes: dict[str, list], fixed: dict | None = None) -> DataFrame:
+    """The product of rows (one axis, say, or none) with further axes and the fixed
+    parameters; a plan, so small by nature."""
     for name, values in axes.items():
         grid = grid.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
     return grid.select("*", *[F.lit(v).alias(k) for k, v in (fixed or {}).items()])
@@ -167,9 +177,15 @@ def gate(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("grain").isin("all", "track")).groupBy("grain").agg(F.count_if("win").alias("wins"), F.count(F.lit(1)).alias("cells"), F.bool_and("win").alias("passed"))
 
 
-def continuation(report: DataFrame, locks: DataFrame) -> DataFrame:
-    """The report with ``may_continue``: it passed, on the lock that is in force."""
-    return report.join(locks.select(F.col("fingerprint").alias("_f")), F.lit(True), "left").withColumn("may_continue", F.col("passed") & F.col("fingerprint").eqNullSafe(F.col("_f"))).drop("_f")
+def continuation(report: DataFrame, locks: DataFrame, wins: tuple[int, int] = (6, 12), seed: int = 2026) -> DataFrame:
+    """The report (seed, passed, global_wins, global_cells, track_wins, track_cells,
+    fingerprint, ...) with ``may_continue``: it has the seed and passed, won all of the
+    ``wins`` cells at either grain, and names a lock that is in force."""
+    held = report.join(locks.select(F.col("fingerprint").alias("_f")).distinct(), F.col("fingerprint") == F.col("_f"), "left")
+    ok = F.col("passed") & (F.col("seed") == seed) & F.col("_f").isNotNull()
+    for grain, n in zip(("global", "track"), wins):
+        ok = ok & (F.col(f"{grain}_wins") == n) & (F.col(f"{grain}_cells") == n)
+    return held.withColumn("may_continue", F.coalesce(ok, F.lit(False))).drop("_f")
 
 
 def phase_barrier(evaluation: DataFrame, tuning_audit: DataFrame) -> DataFrame:
@@ -227,10 +243,10 @@ def pending_units(expected: DataFrame, done: DataFrame, seed: int = 2026) -> Dat
 # ---- records and reports on disk ----
 
 
-def scan_units(spark: SparkSession, path: str) -> DataFrame:
+def scan_units(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """JSON records of a directory tree; unreadable ones have only ``corrupt``."""
     schema = "method string, track string, dataset string, file string, seed int, split string, error string, metrics map<string,double>, hyperparameters string, runtime_s double, corrupt string"
-    raw = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).option("columnNameOfCorruptRecord", "corrupt").json(path)
+    raw = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", multi_line).option("columnNameOfCorruptRecord", "corrupt").json(path)
     return raw.select("*", *[F.element_at("metrics", F.lit(m)).alias(m) for m in METRICS]).drop("metrics")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,14 +84,20 @@ def pad_to_points(scores: DataFrame, length: int, points: DataFrame) -> DataFram
 
 def acf(df: DataFrame, nlags: int = 400, head: int = 20000) -> DataFrame:
     """(series_id, lag, r) of the first ``head`` points, biased, one mean."""
-    w = Window.partitionBy("series_id")
-    part = df.where(F.col("t") < head).select("series_id", "t", (F.col("x") - F.avg("x").over(w)).alias("d"))
-    arrays = part.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "d"))), lambda s: s["d"]).alias("a"))  # at most ``head`` numbers
-    lags = arrays.select("series_id", "a", F.explode(F.sequence(F.lit(0), F.least(F.lit(nlags), F.size("a") - 1))).alias("lag"))
-    pairs = F.zip_with(F.slice("a", F.lit(1), F.size("a") - F.col("lag")), F.slice("a", F.col("lag") + 1, F.size("a") - F.col("lag")), lambda p, q: p * q)
-    top = F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)
-    below = F.aggregate("a", F.lit(0.0), lambda s, v: s + v * v)
-    return lags.select("series_id", "lag", F.when(below > 0, top / below).alias("r"))
+
+    @F.pandas_udf("array<double>")
+    def correlated(x: pd.Series) -> pd.Series:
+        out = []
+        for a in x:
+            d = np.asarray(a, float)
+            d = d - d.mean()
+            top = np.array([d[: len(d) - k] @ d[k:] for k in range(min(nlags + 1, len(d)))])
+            out.append(top / top[0] if top[0] > 0 else [None] * len(top))
+        return pd.Series(out)
+
+    part = df.where(F.col("t") < head).groupBy("series_id")
+    arrays = part.agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("a"))  # at most ``head`` numbers
+    return arrays.select("series_id", F.posexplode(correlated("a")).alias("lag", "r"))
 
 
 def local_maxima(curve: DataFrame, first: int = 3) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.metrics import curve_metrics, score_curve
+from ..operators.metrics import evaluate
 from ..operators.normalize import apply_scaler, fit_scaler
 from ..operators.prefix import prefix
 from ..operators.window import to_points, windows
+from ..sources.scratch import written
 from ..sources.series import meta_of
 from .registry import detector
 
@@ -31,8 +32,9 @@ def point_scores(series: DataFrame, method: str = "knn", length: int = 4) -> Dat
     return to_points(scored, length, series)
 
 
-def detect_and_evaluate(series: DataFrame, method: str = "knn", length: int = 4) -> DataFrame:
-    """(series_id, auc_roc, auc_pr, best_f1): labels join the finished scores."""
-    scored = point_scores(series, method, length)
+def detect_and_evaluate(series: DataFrame, method: str = "knn", length: int = 4, buffer: int = 10, count: int = 250) -> DataFrame:
+    """(series_id, the six metrics, finite): labels join the finished scores, which are
+    written first, as each metric reads them."""
+    scored = written(point_scores(series, method, length), "scores")
     held = scored.join(series.select("series_id", "t", "label"), ["series_id", "t"]).withColumn("score", F.round("score", 9))
-    return curve_metrics(score_curve(held))
+    return evaluate(held, buffer, count)

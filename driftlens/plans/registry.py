@@ -30,9 +30,22 @@ def _memory(train: DataFrame) -> DataFrame:
     return train.select("series_id", F.col("q").alias("m"), F.col("v").alias("u"))
 
 
-register_detector("knn", lambda train, query: neighbors.knn_score(_memory(train), query, 5))
-register_detector("lof", lambda train, query: neighbors.lof(_memory(train), query, 5))
-register_detector("kmeans", lambda train, query: cluster.kmeans_score(train, query))
-register_detector("pca", lambda train, query: cluster.pca_score(train, query))
-register_detector("iforest", lambda train, query: cluster.iforest(train, query, trees=50))
-register_detector("exemplar", cluster.exemplar_detector)
+#: Neighbours by track: one channel (U) or many (M).
+NEIGHBORS = {"U": 50, "M": 50}
+LOF_NEIGHBORS = {"U": 30, "M": 50}
+FOREST = {"U": (150, 1.0), "M": (25, 0.8)}
+VARIANCE = {"U": None, "M": 0.25}
+
+
+def _add(track: str, suffix: str) -> None:
+    trees, share = FOREST[track]
+    register_detector("knn" + suffix, lambda train, query: neighbors.knn_score(_memory(train), query, NEIGHBORS[track]))
+    register_detector("lof" + suffix, lambda train, query: neighbors.lof(_memory(train), query, LOF_NEIGHBORS[track]))
+    register_detector("kmeans" + suffix, lambda train, query: cluster.kmeans_score(train, query))
+    register_detector("pca" + suffix, lambda train, query: cluster.pca_score(train, query, VARIANCE[track]))
+    register_detector("iforest" + suffix, lambda train, query: cluster.iforest(train, query, trees, share))
+    register_detector("exemplar" + suffix, cluster.exemplar_detector)
+
+
+_add("U", "")
+_add("M", "_many")

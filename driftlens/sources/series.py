@@ -14,25 +14,32 @@ def _label_of(columns: list[str], label: str | None) -> str:
     return named[-1] if named else columns[-1]
 
 
-def _read_wide(spark: SparkSession, path: str) -> DataFrame:
-    """All lines with file and place in the file.  A CSV has no time column: lines of a
-    file are numbered in the order of its partitions (S01, one pass over line offsets)."""
+def _read_wide(spark: SparkSession, path: str, folder: bool = False) -> DataFrame:
+    """All lines with file and place in the file.  A CSV has no time column: lines are
+    numbered inside each block of a file that one task reads in order, and go on from the
+    lines of the blocks before it, so no task sorts a whole file (S01)."""
     rows = spark.read.option("header", True).csv(path, enforceSchema=False)
-    rows = rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn("_at", F.monotonically_increasing_id())
-    return rows.withColumn("t", (F.row_number().over(Window.partitionBy("file").orderBy("_at")) - 1).cast("bigint")).drop("_at")
-
-
-def scan_series(spark: SparkSession, path: str, label_col: str | None = None) -> DataFrame:
-    """(series_id, t, x) of wide CSVs; the label column is never selected."""
-    rows = _read_wide(spark, path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    sizes = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_path", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_path", "_block").orderBy("_at")) - 1
+    rows = rows.withColumn("_own", own).join(sizes, ["_path", "_block"])
+    return rows.withColumn("file", F.element_at(F.split("_path", "/"), -2 if folder else -1)).withColumn("t", (F.col("_base") + F.col("_own")).cast("bigint")).drop("_path", "_block", "_at", "_own", "_base")
+
+
+def scan_series(spark: SparkSession, path: str, label_col: str | None = None, folder: bool = False) -> DataFrame:
+    """(series_id, t, x) of wide CSVs; the label column is never selected.  A series is
+    named after its file, or after the folder that its only file is in."""
+    rows = _read_wide(spark, path, folder)
     names = [c for c in rows.columns if c not in ("file", "t")]
     label = _label_of(names, label_col)
     return rows.select(F.col("file").alias("series_id"), "t", F.array(*[F.col(f"`{c}`").cast("double") for c in names if c != label]).alias("x"))
 
 
-def scan_labels(spark: SparkSession, path: str, label_col: str | None = None) -> DataFrame:
+def scan_labels(spark: SparkSession, path: str, label_col: str | None = None, folder: bool = False) -> DataFrame:
     """(series_id, t, label); a label other than 0 or 1 fails the job."""
-    rows = _read_wide(spark, path)
+    rows = _read_wide(spark, path, folder)
     label = F.col(f"`{_label_of([c for c in rows.columns if c not in ('file', 't')], label_col)}`").cast("double")
     ok = label.isin(0.0, 1.0)
     return rows.select(F.col("file").alias("series_id"), "t", F.when(ok, label.cast("int")).otherwise(F.raise_error(F.lit("labels must be 0 or 1")).cast("int")).alias("label"))
@@ -64,10 +71,10 @@ def empty_subsets(manifest: DataFrame, targets: list[str]) -> DataFrame:
     return want.join(manifest, "dataset", "left_anti")
 
 
-def scan_json_manifest(spark: SparkSession, path: str, key: str = "files") -> DataFrame:
+def scan_json_manifest(spark: SparkSession, path: str, key: str = "files", multi_line: bool = True) -> DataFrame:
     """The distinct file names listed under ``key`` in JSON documents."""
     schema = T.StructType([T.StructField(key, T.ArrayType(T.StringType()))])
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.explode(key).alias("file_name")).distinct()
+    return spark.read.schema(schema).json(path, multiLine=multi_line).select(F.explode(key).alias("file_name")).distinct()
 
 
 # ---- the series and records that the queries are run on ----

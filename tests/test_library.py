@@ -8,23 +8,111 @@ import numpy as np
 import pytest
 
 from driftlens import queries
-from driftlens.operators import cluster, metrics, prefix, records, window
+from driftlens.operators import cluster, metrics, neighbors, prefix, records, window
 from driftlens.plans import detect, registry
 from driftlens.sources import series
 
-SAMPLE = ["s04_parse_series_name", "f07_even_sample_floor", "n04_position_scaler", "w05_to_points", "j03_topk_mean", "m06_vus", "a03_audit", "a19_best_baseline", "flagship_detect_and_evaluate"]
+@pytest.fixture(scope="module")
+def con(sf_tables):
+    con = duckdb.connect()
+    for t, path in sf_tables.items():
+        con.sql(f"create view {t} as select * from '{path}'")
+    return con
 
 
-@pytest.mark.parametrize("name", SAMPLE)
-def test_sql(spark, sf_dir, name):
-    con = duckdb.connect()
-    for t in ("events", "documents", "embeddings", "labels", "orders", "customer", "nation", "part"):
-        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+@pytest.fixture(scope="module")
+def sf_tables():
+    return {t: f"/root/testdata/sf0.001/{t}.parquet" for t in ("events", "documents", "embeddings", "labels", "orders", "customer", "nation", "part")}
+
+
+def plain(v):
+    if isinstance(v, float):
+        return round(v, 9)
+    return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, sf_dir, con, name):
     want = con.sql(queries.ORACLES[name])
     rows, names = want.fetchall(), want.columns
     got = queries.QUERIES[name](spark, sf_dir)
     assert sorted(got.columns) == sorted(names)
-    assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, rows))
+    assert sorted(repr(plain(tuple(r))) for r in got.select(*names).collect()) == sorted(repr(plain(r)) for r in rows)
+
+
+def test_blocks_give_the_nearest(spark, monkeypatch):
+    """Neighbours found block by block are those of brute force, ties by number."""
+    monkeypatch.setattr(neighbors, "BLOCK", 7)
+    monkeypatch.setattr(neighbors, "PAIRS", 20)
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 3, (30, 2)).astype(float), rng.integers(0, 3, (25, 2)).astype(float)
+    q = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)] + [("b", 1, [0.0, 0.0])], "series_id string, q bigint, v array<double>")
+    m = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(y)], "series_id string, m bigint, u array<double>")
+    got: dict = {}
+    for r in neighbors.nearest(q, m, 4).orderBy("q", "place").collect():
+        got.setdefault(r.q, []).append((r.d2, r.m))
+    assert got == {i: sorted((float(((v - u) ** 2).sum()), j) for j, u in enumerate(y))[:4] for i, v in enumerate(x)}
+    density = neighbors.pair_density(q.where("series_id = 'a'"), 0.5).collect()[0].density
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert density == pytest.approx((d * np.exp(-0.5 * d)).sum())
+
+
+def test_forest_finds_the_outlier(spark):
+    rng = np.random.default_rng(1)
+    rows = [("a", i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (300, 3)))] + [("a", 999, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "series_id string, q bigint, v array<double>")
+    scores = {r.q: r.score for r in cluster.iforest(df.where("q < 300"), df, 50).collect()}
+    assert len(scores) == 301 and max(scores, key=scores.get) == 999
+
+
+def test_components_and_projection(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (80, 4)) @ rng.normal(0, 1, (4, 4))
+    df = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "series_id string, q bigint, v array<double>").repartition(3)
+    z = (x - x.mean(0)) / x.std(0)
+    values = np.sort(np.linalg.eigvalsh(z.T @ z / len(z)))[::-1]
+    comps = cluster.principal_components(df).orderBy("c").collect()
+    assert [r.share for r in comps] == pytest.approx((values / values.sum()).tolist())
+    got = {r.q: r.v for r in cluster.pca_project(df, df, 0.999999).collect()}
+    want = z @ np.array([r.comp for r in comps]).T
+    assert all(got[i] == pytest.approx(want[i].tolist()) for i in range(80))
+
+
+def test_split_in_two_follows_the_matrix_form(spark):
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(0, 1, (20, 3)), rng.normal(3, 1, (15, 3))]
+    df = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "series_id string, q bigint, v array<double>")
+    assert [r.side for r in cluster.two_means_split(df).orderBy("q").collect()] == cluster.two_means(x).tolist()
+
+
+def test_infinite_metrics_are_not_finite(spark):
+    df = spark.createDataFrame([(float("inf"),) * 6, (0.5,) * 6, (float("nan"),) * 6], records.METRICS)
+    assert [r[0] for r in df.select(records.finite(*records.METRICS)).collect()] == [False, True, False]
+
+
+def test_lines_of_a_large_csv_keep_their_order(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        (tmp_path / "a.csv").write_text("x,label\n" + "".join(f"{i},0\n" for i in range(3000)))
+        rows = series.scan_series(spark, str(tmp_path / "a.csv"))
+        assert rows.count() == 3000 and all(r.x == [float(r.t)] for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_locks_and_what_is_left(spark):
+    lock = records.freeze(spark.createDataFrame([("a", 1)], "dataset string, trial int"))
+    other = records.freeze(spark.createDataFrame([("a", 2)], "dataset string, trial int"))
+    assert records.check_lock(lock, lock).count() == 1 and records.check_lock(lock, lock.limit(0)).count() == 1
+    with pytest.raises(Exception, match="lock has changed"):
+        records.check_lock(lock, other).collect()
+    files = spark.createDataFrame([("f", "U", "a"), ("g", "U", "b")], "file string, track string, dataset string")
+    bound = spark.createDataFrame([("U", "a", 1)], "track string, dataset string, config int")
+    assert [r.file for r in records.unbound(files, bound).collect()] == ["g"]
+    assert [r.dataset for r in series.empty_subsets(files, ["a", "z"]).collect()] == ["z"]
+    points = spark.createDataFrame([("s", i) for i in range(3)], "series_id string, t bigint")
+    assert [r.t for r in window.uncovered(points, points.where("t < 2")).collect()] == [2]
 
 
 def test_constant_scores_stay_constant(spark):
