@@ -42,10 +42,10 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = M
     return each.join(often, ["a", "b"]).groupBy("doc_id", "twin").agg(F.collect_set("place").alias("places"))
 
 
-def drop_repeated_lines(df: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The rows of df with ``text`` without its repeated lines, then n_lines and n_dropped
-    (columns of these names in df give way to them)."""
-    rest = [c for c in df.columns if c.lower() not in ("n_lines", "n_dropped")]
+def drop_repeated_lines(df: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, counts: bool = True) -> DataFrame:
+    """The rows of df with ``text`` without its repeated lines; with ``counts``, n_lines and
+    n_dropped behind them (columns of these names in df give way to them)."""
+    rest = [c for c in df.columns if not counts or c.lower() not in ("n_lines", "n_dropped")]
     twin = F.xxhash64(df["text"])
     inner = df.select(df["doc_id"].alias("id"), twin.alias("own"), df["text"].alias("body"), F.struct(*[df[c] for c in rest]).alias("row"))
     marks = repeated_lines(df.select(df["doc_id"].alias("doc_id"), twin.alias("twin"), df["text"].alias("text")), min_docs, min_chars)
@@ -58,4 +58,4 @@ def drop_repeated_lines(df: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     n_kept = F.coalesce(F.size(F.col("stays")), F.lit(-1))
     held = held.select("row", F.col("n").cast("bigint").alias("n_lines"), F.when(F.col("stays").isNull(), 0).otherwise(F.col("n") - n_kept).cast("bigint").alias("n_dropped"), kept.alias("kept"))
     cols = [F.array_join("kept", "\n").alias(c) if c.lower() == "text" else F.col("row")[c].alias(c) for c in rest]
-    return held.select(*cols, "n_lines", "n_dropped")
+    return held.select(*cols, "n_lines", "n_dropped") if counts else held.select(*cols)

@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch holds at most; with it a batch of long texts stays small.
-BATCH_ROWS = 1000
+from ..sources.scratch import shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` as the cluster names it.
-    Only a local session may do without; a temporary folder is taken there."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+#: Rows and bytes an Arrow batch holds at most (one longer text makes a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 26
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -51,10 +36,14 @@ def forget(*tables: DataFrame | None) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows, so that long texts do not add up."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, so that long texts do
+    not add up.  A plan reads these settings when it runs, so they stay set; smaller ones of
+    the session are left as they are."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
