@@ -4,6 +4,10 @@ Language ID drops documents it rejects; line dedup takes repeated lines out of t
 (``n_chars`` follows the text); near-dedup keeps the least document of each class;
 decontamination drops documents with a benchmark passage; mixing repeats or leaves out
 documents until sources have their target sizes, and adds each copy's number.
+
+Nulls and further columns go through; rows without a text, or with one without a letter,
+are rejected by language ID; rows without an id are never near copies; of rows that repeat an
+id all stay that the operators keep.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.drop_repeated_lines(docs).drop("n_lines", "n_dropped")
+    out = lines.drop_repeated_lines(docs, counts=False)
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
@@ -44,7 +48,8 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Language models cannot be written in SQL; tests/llm holds each stage against brute force.
+#: Language models cannot be written in SQL; tests/llm/test_edges.py holds the stages against
+#: brute force.
 ORACLE_SQL = None
 
 
