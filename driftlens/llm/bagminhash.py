@@ -255,7 +255,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lone = member.where("doc_id = first").select("doc_id", "same")
     signed = rows.join(lone, ["doc_id", "same"], "left_semi").select("doc_id", "text").mapInArrow(_sign, "doc_id bigint, bands array<bigint>, sig binary").where(F.size("bands") > 0)
     signed = cut(signed.dropDuplicates(["doc_id"]), "signed")
-    shared = cut(_numbered(signed.select("doc_id", F.explode("bands").alias("band"))).where("size > 1").drop("size"), "shared")
+    parts = [k / DEALS for k in range(1, DEALS)]
+    bounds = signed.agg(F.percentile_approx("doc_id", parts, 1000)).first()[0] or []  # DEALS - 1 numbers
+    shared = cut(_numbered(signed.select("doc_id", F.explode("bands").alias("band")), bounds).where("size > 1").drop("size"), "shared")
     buckets = cut(shared.join(signed.select("doc_id", "sig"), "doc_id"), "buckets")
     met = shared.select("doc_id").distinct().join(lone, "doc_id")
     packed = rows.join(met, ["doc_id", "same"], "left_semi").select("doc_id", "text").mapInArrow(packed_texts, "doc_id bigint, packed binary").dropDuplicates(["doc_id"])
@@ -279,7 +281,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         marks = doubtful if marks is None else marks.union(doubtful)
         at, span = at + span, min(MOST, span * FASTER)
     if marks is not None:
-        found = cut(_settled(marks.distinct(), signed, bags, similarity, classes), "links")
+        found = cut(_settled(marks.distinct(), bounds, signed, bags, similarity, classes), "links")
         if found.head(1):
             links = found if links is None else links.union(found)
             classes = components(links)
@@ -291,11 +293,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", F.coalesce("class", "first").alias("class_id"), "copies")
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Rows (band, doc_id, ...) with the number ``place`` of each in its band, from 1, and
-    the band's ``size``.  A band's rows are numbered in ``DEALS`` parts, so no task has to
-    sort all of a large one."""
-    dealt = df.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(DEALS)))
+def _numbered(df: DataFrame, bounds: list[int]) -> DataFrame:
+    """Rows (band, doc_id, ...) with the number ``place`` of each in its band, from 1 in the
+    order of ids, and the band's ``size``.  A band's rows are numbered in parts, between
+    ``bounds`` of the ids, so no task has to sort all of a large one."""
+    deal = sum((F.when(F.col("doc_id") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    dealt = df.withColumn("deal", deal)
     sizes = dealt.groupBy("band", "deal").agg(F.count(F.lit(1)).alias("n"))
     every = Window.partitionBy("band")
     before = every.orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
@@ -316,9 +319,9 @@ def _grouped(df: DataFrame, met: Callable[[pa.Table], pa.RecordBatch], schema: s
     return df.repartition("band", "chunk").sortWithinPartitions("band", "chunk", F.desc("lead")).mapInArrow(lambda batches: _by_group(batches, met), schema)
 
 
-def _settled(marks: DataFrame, signed: DataFrame, bags: DataFrame, similarity: float, classes: DataFrame | None) -> DataFrame:
+def _settled(marks: DataFrame, bounds: list[int], signed: DataFrame, bags: DataFrame, similarity: float, classes: DataFrame | None) -> DataFrame:
     """Links (a, b) between marked texts (band, doc_id) of one bucket and two classes."""
-    open_ = _several(_numbered(_labelled(marks, classes)).withColumn("place", F.col("place") - 1).drop("size"))
+    open_ = _several(_numbered(_labelled(marks, classes), bounds).withColumn("place", F.col("place") - 1).drop("size"))
     block = F.floor(F.col("place") / BLOCK)
     full = open_.join(signed.select("doc_id", "sig"), "doc_id").join(bags, "doc_id").withColumn("block", block)
     lead = full.withColumn("other", F.explode(F.sequence("block", F.floor(F.col("size") / BLOCK)))).withColumn("chunk", F.struct("block", "other")).withColumn("lead", F.lit(True))
