@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, forget
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,14 +14,16 @@ def components(links: DataFrame) -> DataFrame:
     Each round a node takes the least class among its own and its neighbours', then the
     class of that class (paths halve); both steps are aggregates, so the many links of a
     hot node are added up before they are shuffled.  Every round's table is written to
-    the shared folder."""
+    the shared folder, and the one before it deleted."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    now = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("class")), "classes")
+    now = last = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("class")), "classes")
     while True:
         near = edges.join(now.toDF("b", "class"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class").alias("near"))
         step = now.join(near, "id").select("id", F.least("class", "near").alias("class"), F.col("class").alias("was"))
         jump = step.select(F.col("id").alias("class"), F.col("class").alias("further"))
         step = cut(step.join(jump, "class", "left").select("id", F.least("class", "further").alias("class"), "was"), "classes")
-        now = step.select("id", "class")
+        forget(last)
+        now, last = step.select("id", "class"), step
         if not step.where("class <> was").head(1):
+            forget(edges)
             return now

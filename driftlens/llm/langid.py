@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, cut, fold
+from .shared import bounded_batches, cut, fold, forget
 from .symbols import BLANK, symbols
 from .textkit import column, mix, pieces
 
@@ -241,6 +241,7 @@ def fit(train: DataFrame) -> dict | None:
         below = pairs.where(F.shiftrightunsigned("gram", 16).between(low >> 16, (high - 1) >> 16))
         part = build(langs, discounts, _by_lang(own, langs), _by_lang(below, langs), unigrams)
         parts.append(spark.sparkContext.broadcast(part | {"range": (low, high)}))
+    forget(all_, pairs)
     model = {"langs": langs, "parts": parts}
     # a row for each language; each text weighs as much as it has letters
     n, h = F.col("n_letters"), F.col("cross_entropy")
