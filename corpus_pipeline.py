@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.llm import bagminhash, decontam, langid, lines, mixing
-from driftlens.llm.shared import cut, table
+from driftlens.llm.shared import cut, forget, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
+    """All stages over ``documents``; each stage's rows are written and read again, and
+    deleted when the next stage's are there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs, before = cut(stage(spark, docs, sf_dir), name), docs
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
