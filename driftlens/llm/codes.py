@@ -66,12 +66,13 @@ def compress(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     books = np.array([padded(x, parts * wide, scale) for x in first], dtype=object).reshape(len(first), parts, wide).transpose(1, 0, 2)
     out = base.where(F.size("v") == d).select("row", "v").mapInArrow(_first(books, d, scale), _STATE).repartition("position", "entry", "salt").persist(StorageLevel.DISK_ONLY)
     state, held, moves = out, [out], []
+    owners = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(rounds):
         books, moved = _next(books, state)
         moves.append(moved)
         out = state.mapInArrow(_again(books), _STATE).persist(StorageLevel.DISK_ONLY)
         held.append(out)
-        state = out.where(~F.col("moved")).union(out.where("moved").repartition("position", "entry", "salt"))
+        state = out.where(~F.col("moved")).union(out.where("moved").repartition("position", "entry", "salt")).coalesce(owners)
     codes = [F.max(F.when(F.col("position") == p, F.col("entry"))) for p in range(parts)]
     error = F.least(F.sum("error"), F.lit(Decimal(_LONG))).cast("bigint")
     coded = cut(out.mapInArrow(_members, "row bigint, position int, entry int, error decimal(20,0)").groupBy("row").agg(F.array(*codes).alias("codes"), error.alias("error")), "codes")
