@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,8 @@ class Forest:
     the leaves and their other columns, the last one node a tree."""
 
     levels: list[DataFrame]
-    extra: list[str] = field(default_factory=list)
+    extra: list[str]
+    span: int
 
 
 @dataclass
@@ -57,17 +58,18 @@ def leaf(df: DataFrame, fields=FIELDS, changed: dict[str, Column] | None = None)
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
-def build(docs: DataFrame, tree: str = "lang", order: str = "doc_id", fields=FIELDS, **extra: Column) -> Manifest:
+def build(docs: DataFrame, tree: str = "lang", order: str = "doc_id", fields=FIELDS, span: int | None = None, **extra: Column) -> Manifest:
     """Hash every row, order and number each tree's leaves, write the levels.  ``extra`` are
     further digests (hex) to keep beside the leaves, say of tampered rows."""
     bounded_batches(docs.sparkSession)
+    span = span or SPAN
     name = F.when(docs[tree].isNull(), "").otherwise(F.concat(F.lit("+"), docs[tree].cast("string")))
     hashed = docs.select(name.alias("tree"), docs[order].alias("id"), F.unhex(leaf(docs, fields)).alias("digest"), *[F.unhex(c).alias(n) for n, c in extra.items()])
     rows = cut(hashed, "leaves")
-    forest = _climbed(_numbered(rows, ["id", "digest"]), ["id", *extra])
+    forest = _climbed(_numbered(rows, ["id", "digest"]), ["id", *extra], span)
     forget(rows)
     roots = forest.levels[-1].select(F.lit("").alias("tree"), F.col("tree").alias("id"), "digest")
-    top = _climbed(_numbered(roots, ["id"]), ["id"])
+    top = _climbed(_numbered(roots, ["id"]), ["id"], span)
     root = top.levels[-1].select(F.lower(F.hex("digest")).alias("h")).head(1)  # one tree, one node
     return Manifest(forest, top, root[0].h if root else None)
 
@@ -87,34 +89,37 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return level
 
 
-def _subtrees(level: DataFrame, extra: list[str]) -> DataFrame:
+def _subtrees(level: DataFrame, extra: list[str], span: int) -> DataFrame:
     """(tree, g, nodes): the stored nodes of each aligned subtree, in order."""
-    g = F.shiftright("pos", SPAN).alias("g")
+    g = F.shiftright("pos", span).alias("g")
     return level.groupBy("tree", g).agg(F.sort_array(F.collect_list(F.struct("pos", "digest", *extra))).alias("nodes"))
 
 
-def _climbed(leaves: DataFrame, extra: list[str]) -> Forest:
+def _climbed(leaves: DataFrame, extra: list[str], span: int) -> Forest:
     levels = [leaves]
     while levels[-1].where("pos > 0").head(1):
-        nodes = _subtrees(levels[-1], []).select("tree", F.col("g").alias("pos"), F.col("nodes.digest").alias("digests"))
-        levels.append(cut(nodes.mapInArrow(_tops, "tree string, pos bigint, digest binary"), "level"))
-    return Forest(levels, extra)
+        nodes = _subtrees(levels[-1], [], span).select("tree", F.col("g").alias("pos"), F.col("nodes.digest").alias("digests"))
+        levels.append(cut(nodes.mapInArrow(_tops(span), "tree string, pos bigint, digest binary"), "level"))
+    return Forest(levels, extra, span)
 
 
-def climb(digests: list[str], g: int) -> list[list[str]]:
+def climb(digests: list[str], g: int, span: int = SPAN) -> list[list[str]]:
     """All levels of an aligned subtree, its stored nodes first.  The tree's only subtree ends
-    where one node is left; others end SPAN levels up."""
+    where one node is left; others end ``span`` levels up."""
     levels = [digests]
-    while len(levels) <= SPAN and (g or len(levels[-1]) > 1):
+    while len(levels) <= span and (g or len(levels[-1]) > 1):
         low = levels[-1]
         levels.append([hashlib.sha256("".join(low[i : i + 2]).encode()).hexdigest() for i in range(0, len(low), 2)])
     return levels
 
 
-def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        tops = [bytes.fromhex(climb([x.hex() for x in d], g)[-1][0]) for g, d in zip(b.column("pos").to_pylist(), b.column("digests").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("tree"), b.column("pos"), pa.array(tops, pa.binary())], ["tree", "pos", "digest"])
+def _tops(span: int):
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [bytes.fromhex(climb([x.hex() for x in d], g, span)[-1][0]) for g, d in zip(b.column("pos").to_pylist(), b.column("digests").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("tree"), b.column("pos"), pa.array(found, pa.binary())], ["tree", "pos", "digest"])
+
+    return tops
 
 
 def prove(manifest: Manifest) -> DataFrame:
@@ -135,13 +140,13 @@ def _proofs(forest: Forest, paths: DataFrame) -> DataFrame:
     for k in range(len(forest.levels) - 2, -1, -1):
         level, extra = forest.levels[k], forest.extra if k == 0 else []
         kept = [c for c in ("pos", "digest", *extra)]
-        joined = _subtrees(level, extra).join(paths.select("tree", F.col("pos").alias("g"), "path", "subroot"), ["tree", "g"])
+        joined = _subtrees(level, extra, forest.span).join(paths.select("tree", F.col("pos").alias("g"), "path", "subroot"), ["tree", "g"])
         fields = ", ".join(f"{c} {level.schema[c].dataType.simpleString()}" for c in kept)
-        paths = joined.mapInArrow(_siblings(kept), f"tree string, subroot binary, {fields}, path {_PATH}")
+        paths = joined.mapInArrow(_siblings(kept, forest.span), f"tree string, subroot binary, {fields}, path {_PATH}")
     return paths
 
 
-def _siblings(kept: list[str]):
+def _siblings(kept: list[str], span: int):
     """Each stored node of a subtree with its siblings, level by level, then its root's."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +154,7 @@ def _siblings(kept: list[str]):
             for r in range(len(b)):
                 nodes = b.column("nodes")[r].values
                 n, g = len(nodes), b.column("g")[r].as_py()
-                levels = climb([x.hex() for x in nodes.field("digest").to_pylist()], g)
+                levels = climb([x.hex() for x in nodes.field("digest").to_pylist()], g, span)
                 sides, found = [], []
                 for up, level in enumerate(levels[:-1]):
                     at = np.arange(n) >> up

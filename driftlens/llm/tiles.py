@@ -192,20 +192,20 @@ class Block:
         self.head = np.ascontiguousarray(np.c_[self.x[:, : stops[0]], self.tails[0]])
 
 
-def tile_links(a: Block, b: Block, stops: list[int], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tile_links(a: Block, b: Block, stops: list[int], threshold: float, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (in a, in b) of the vectors at the threshold or above, tile by tile; each pair
     once if both are one block."""
     least = threshold - SLACK
-    for p in range(0, len(a.x), TILE):
-        for q in range(p if a is b else 0, len(b.x), TILE):
-            near = a.head[p : p + TILE] @ b.head[q : q + TILE].T >= least
+    for p in range(0, len(a.x), tile):
+        for q in range(p if a is b else 0, len(b.x), tile):
+            near = a.head[p : p + tile] @ b.head[q : q + tile].T >= least
             if a is b and p == q:
                 near = np.triu(near, 1)
             many = np.count_nonzero(near)
             if not many:
                 continue
             if many > near.size // 16:
-                full = a.x[p : p + TILE] @ b.x[q : q + TILE].T
+                full = a.x[p : p + tile] @ b.x[q : q + tile].T
                 i, j = np.nonzero(near & (full >= least))
                 s = full[i, j]
                 i, j = i + p, j + q
@@ -239,7 +239,7 @@ def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def _comparer(basis: np.ndarray, head: int, threshold: float):
-    d = len(basis)
+    d, tile = len(basis), TILE
     stops = sorted({head, *(min(d, head * m) for m in (2, 4)), d})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +254,7 @@ def _comparer(basis: np.ndarray, head: int, threshold: float):
                 shift = 0 if a is b else len(a.x)
                 total = shift + len(b.x)
                 root, links = np.arange(total), np.zeros(total)
-                for i, j in tile_links(a, b, stops, threshold):
+                for i, j in tile_links(a, b, stops, threshold, tile):
                     links[: len(a.x)] += np.bincount(i, b.n[j], len(a.x))
                     links[shift:] += np.bincount(j, a.n[i], len(b.x))
                     unite(root, i, j + shift)
