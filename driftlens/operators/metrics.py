@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import sanitize
+from ..sources.scratch import written
+from .ranges import haloed, numbered_runs, running
 from .records import METRICS, finite
 
 BY = ["series_id"]
@@ -13,51 +15,56 @@ BY = ["series_id"]
 
 def score_curve(df: DataFrame, by: list[str] = BY) -> DataFrame:
     """(by, score, tp, fp, pos, neg): predictions of at least each distinct score.
-    Equal scores are added up before anything is sorted."""
-    g = df.groupBy(*by, "score").agg(F.sum("label").alias("_p"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by)
-    up = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select(*by, "score", F.sum("_p").over(up).alias("tp"), F.sum(F.col("_n") - F.col("_p")).over(up).alias("fp"), F.sum("_p").over(w).alias("pos"), F.sum(F.col("_n") - F.col("_p")).over(w).alias("neg"))
+    Equal scores are added up before anything is sorted; many distinct scores are sorted
+    and summed up by ranges."""
+    return ranked(df, by).drop("p", "m")
+
+
+def ranked(df: DataFrame, by: list[str] = BY) -> DataFrame:
+    """M01 with the points ``p`` (label 1) and ``m`` (label 0) of each score itself: the one
+    ranking that all metrics of a series share."""
+    g = df.groupBy(*by, "score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("_n")).select(*by, "score", "p", (F.col("_n") - F.col("p")).alias("m"))
+    out = running(g, by, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("m")})
+    return out.select(*by, "score", "tp", "fp", F.col("tp_all").alias("pos"), F.col("fp_all").alias("neg"), "p", "m")
 
 
 def curve_metrics(curve: DataFrame, by: list[str] = BY) -> DataFrame:
     """(by, auc_roc, auc_pr, best_f1); null without both kinds of labels."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    c = curve.withColumn("_tp", F.coalesce(F.lag("tp").over(w), F.lit(0))).withColumn("_fp", F.coalesce(F.lag("fp").over(w), F.lit(0)))
+    c = curve
+    if "p" not in curve.columns:
+        w = Window.partitionBy(*by).orderBy(F.desc("score"))
+        own = lambda n: F.col(n) - F.coalesce(F.lag(n).over(w), F.lit(0))
+        c = curve.withColumn("p", own("tp")).withColumn("m", own("fp"))
     precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide("tp", "pos")
     both = F.max(F.col("pos") * F.col("neg")) > 0
-    roc = F.sum((F.col("fp") - F.col("_fp")) * (F.col("tp") + F.col("_tp")) / 2.0)
-    roc = F.try_divide(roc, F.max(F.col("pos") * F.col("neg")))
-    pr = F.sum(F.try_divide(F.col("tp") - F.col("_tp"), F.col("pos")) * precision)
+    roc = F.try_divide(F.sum(F.col("m") * (2 * F.col("tp") - F.col("p")) / 2.0), F.max(F.col("pos") * F.col("neg")))
+    pr = F.sum(F.try_divide("p", "pos") * precision)
     f1 = F.max(2 * precision * recall / (precision + recall + 1e-5))
     return c.groupBy(*by).agg(F.when(both, roc).alias("auc_roc"), F.when(both, pr).alias("auc_pr"), F.when(both, f1).alias("best_f1"))
 
 
 def segments(df: DataFrame, by: list[str] = BY, col: str = "label") -> DataFrame:
     """(by, segment, s, e): maximal runs of 1, numbered from 1 in order of time."""
-    w = Window.partitionBy(*by).orderBy("t")
-    one = df.where(F.col(col) == 1).select(*by, "t").withColumn("_g", F.col("t") - F.row_number().over(w))
-    runs = one.groupBy(*by, "_g").agg(F.min("t").alias("s"), F.max("t").alias("e")).drop("_g")
-    return runs.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy("s")).alias("segment"), "s", "e")
+    return numbered_runs(df.where(F.col(col) == 1), by)
 
 
-def thresholds(df: DataFrame, count: int, by: list[str] = BY) -> DataFrame:
-    """(by, k, thr): ``count`` evenly spaced ranks of the scores, from the highest."""
-    w = Window.partitionBy(*by)
-    ranked = df.select(*by, "score", (F.row_number().over(w.orderBy(F.desc("score"), "t")) - 1).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
-    ks = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    want = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*by, "_n", ks.alias("k"))
-    want = want.withColumn("_r", F.floor(F.col("k") * (F.col("_n") - 1) / (count - 1)).cast("int"))
-    return want.join(ranked.drop("_n"), [*by, "_r"]).select(*by, "k", F.col("score").alias("thr"))
+def thresholds(curve: DataFrame, count: int, by: list[str] = BY) -> DataFrame:
+    """(by, thr, k): the distinct scores at ``count`` evenly spaced ranks, numbered from the
+    highest.  A score of the curve holds the ranks from those above it up to its own last;
+    rank floor(k (n - 1) / (count - 1)) is among them for some k or not."""
+    above, last, n1 = F.col("tp") + F.col("fp") - F.col("p") - F.col("m"), F.col("tp") + F.col("fp"), F.greatest(F.col("pos") + F.col("neg") - 1, F.lit(1))
+    least = F.ceil(above * (count - 1) / n1)  # the first k whose rank is not above
+    hit = curve.where((least <= count - 1) & (F.floor(least * n1 / (count - 1)) < last)).select(*by, F.col("score").alias("thr"))
+    return hit.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("thr"))))
 
 
-def range_f1(df: DataFrame, count: int = 20, alpha: float = 0.2, by: list[str] = BY) -> DataFrame:
+def range_f1(df: DataFrame, count: int = 20, alpha: float = 0.2, by: list[str] = BY, curve: DataFrame | None = None) -> DataFrame:
     """(by, range_f1): range precision and recall with flat bias and reciprocal
     cardinality, the best over ``count`` score quantiles.
 
     Segments never meet: a point knows its real and its predicted segment, so what two
     segments have in common, and how many a segment meets, are sums over points."""
-    thr = thresholds(df, count, by).select(*by, "thr").distinct()
+    thr = thresholds(ranked(df, by) if curve is None else curve, count, by).select(*by, "thr")
     w = Window.partitionBy(*by).orderBy("t")
     before = F.coalesce(F.lag("label").over(w), F.lit(0))
     real = df.withColumn("_r0", (F.col("label") == 1) & (before != 1)).withColumn("i", F.sum(F.col("_r0").cast("int")).over(w))
@@ -76,37 +83,43 @@ def range_f1(df: DataFrame, count: int = 20, alpha: float = 0.2, by: list[str] =
     return f.groupBy(*by).agg(F.max(F.when(total > 0, 2 * F.col("recall") * F.col("precision") / total).otherwise(0.0)).alias("range_f1"))
 
 
-def soft_labels(df: DataFrame, length: int, by: list[str] = BY) -> DataFrame:
-    """The columns of df with ``buffer`` 0..length and ``soft``: 1 in a segment,
-    sqrt(1 - d / buffer) at a distance d of at most buffer / 2 from the nearest one."""
-    w = Window.partitionBy(*by).orderBy("t")
+def near_segments(df: DataFrame, reach: int, by: list[str] = BY) -> DataFrame:
+    """The points of df outside segments, at most ``reach`` from one: ``d``, the distance from
+    the nearest segment, and ``edge``, its nearest point (the earlier one on ties).  Chunks
+    borrow ``reach`` points at either end; ``by`` is the series."""
+    held = haloed(df, reach, reach)
+    w = Window.partitionBy(*by, "_c").orderBy("t")
     hit = F.when(F.col("label") == 1, F.col("t"))
     back, ahead = F.last(hit, ignorenulls=True).over(w), F.first(hit, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    d = df.withColumn("_d", F.least(F.col("t") - back, ahead - F.col("t")))
-    d = d.withColumn("buffer", F.explode(F.sequence(F.lit(0), F.lit(length))))
-    soft = F.when(F.col("label") == 1, 1.0).when(F.col("_d") <= F.col("buffer") / 2, F.sqrt(1 - F.col("_d") / F.col("buffer"))).otherwise(0.0)
-    return d.withColumn("soft", soft).drop("_d")
+    d = held.withColumn("_b", back).withColumn("_a", ahead).where(F.col("_own") & (F.col("label") != 1))
+    d = d.withColumn("d", F.least(F.col("t") - F.col("_b"), F.col("_a") - F.col("t"))).where(F.col("d") <= reach)
+    return d.withColumn("edge", F.when(F.col("t") - F.col("_b") == F.col("d"), F.col("_b")).otherwise(F.col("_a"))).drop("_b", "_a", "_c", "_own")
 
 
-def vus(df: DataFrame, length: int, count: int = 250, by: list[str] = BY) -> DataFrame:
+def vus(df: DataFrame, length: int, count: int = 250, by: list[str] = BY, curve: DataFrame | None = None) -> DataFrame:
     """(by, vus_roc, vus_pr): range areas averaged over buffers 0..length.
 
-    Every point falls between two thresholds, so counts at thresholds are running sums
-    over at most ``count`` steps; points are never crossed with thresholds."""
-    thr = thresholds(df, count, by).select(*by, "thr").distinct()
-    step = thr.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("thr"))))
-    steps = step.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "thr"))), lambda s: s["thr"]).alias("_t"))
-    # the first threshold that a point's score reaches; none if it is below all
-    placed = df.join(steps, by).withColumns({"k": F.size(F.filter("_t", lambda t: t > F.col("score"))) + 1, "_last": F.size("_t")})
-    soft = soft_labels(placed.select(*by, "t", "label", "k", "_last"), length, by)
-    sums = soft.where(F.col("k") <= F.col("_last")).groupBy(*by, "buffer", "k").agg(F.sum("soft").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    grid = step.join(soft.groupBy(*by, "buffer").agg(((F.sum("label") + F.sum("soft")) / 2).alias("p"), F.count(F.lit(1)).alias("n")), by)
-    up = Window.partitionBy(*by, "buffer").orderBy("k")
-    g = grid.join(sums, [*by, "buffer", "k"], "left").withColumn("tp", F.sum(F.coalesce("_s", F.lit(0.0))).over(up)).withColumn("pred", F.sum(F.coalesce("_n", F.lit(0))).over(up))
-    # extended segments: points with a soft label join into runs; the share with a prediction
-    runs = soft.where("soft > 0").withColumn("_g", F.col("t") - F.row_number().over(Window.partitionBy(*by, "buffer").orderBy("t"))).groupBy(*by, "buffer", "_g").agg(F.min("k").alias("k"))
-    first = runs.groupBy(*by, "buffer", "k").agg(F.count(F.lit(1)).alias("_e"))
-    g = g.join(first, [*by, "buffer", "k"], "left").join(runs.groupBy(*by, "buffer").agg(F.count(F.lit(1)).alias("_runs")), [*by, "buffer"], "left")
+    A sweep: every point falls between two thresholds once, and only those within length / 2
+    of a segment vary with the buffer.  These are counted by (threshold, distance) before
+    they meet buffers, so what is multiplied by buffers does not grow with the points.  Of a
+    segment and the points near its edges only the first threshold that reaches them counts;
+    buffers widen it by one distance at a time and join segments whose gap they close."""
+    step = thresholds(ranked(df, by) if curve is None else curve, count, by)
+    steps = step.groupBy(*by).agg(F.reverse(F.array_sort(F.collect_list("thr"))).alias("_t"))  # at most ``count``
+    # the first threshold that a point's score reaches
+    placed = df.select(*by, "t", "label", "score").join(steps, by).select(*by, "t", "label", (F.size(F.filter("_t", lambda t: t > F.col("score"))) + 1).alias("k"))
+    near = near_segments(placed, length // 2, by)
+    per = placed.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("_n"), F.sum("label").cast("double").alias("_l"))
+    far = near.groupBy(*by, "k", "d").agg(F.count(F.lit(1)).alias("_n"))  # thresholds x distances
+    far = far.select(*by, "k", "d", "_n", F.explode(F.sequence((2 * F.col("d")).cast("int"), F.lit(length))).alias("buffer"))
+    soft = far.groupBy(*by, "buffer", "k").agg(F.sum(F.col("_n") * F.sqrt(1 - F.col("d") / F.col("buffer"))).alias("_s"))
+    grid = step.select(*by, "k", F.explode(F.sequence(F.lit(0), F.lit(length))).alias("buffer")).join(per, [*by, "k"], "left").join(soft, [*by, "buffer", "k"], "left")
+    w = Window.partitionBy(*by, "buffer")
+    up, zero = w.orderBy("k"), lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    g = grid.select(*by, "k", "buffer", F.sum(zero("_l") + zero("_s")).over(up).alias("tp"), F.sum(F.coalesce("_n", F.lit(0))).over(up).alias("pred"), F.sum(zero("_l") + zero("_s") / 2).over(w).alias("p"), F.sum(F.coalesce("_n", F.lit(0))).over(w).alias("n"))
+    first = reached(placed, near, length // 2, by).groupBy(*by, "half", "k").agg(F.count(F.lit(1)).alias("_e"))
+    runs = first.groupBy(*by, "half").agg(F.sum("_e").alias("_runs"))
+    g = g.withColumn("half", F.floor(F.col("buffer") / 2).cast("int")).join(first, [*by, "half", "k"], "left").join(runs, [*by, "half"], "left")
     g = g.withColumn("exist", F.sum(F.coalesce("_e", F.lit(0))).over(up) / F.col("_runs"))
     g = g.select(*by, "buffer", "k", (F.least(F.try_divide("tp", "p"), F.lit(1.0)) * F.col("exist")).alias("tpr"), F.try_divide(F.col("pred") - F.col("tp"), F.col("n") - F.col("p")).alias("fpr"), F.try_divide("tp", "pred").alias("prec"))
     g = g.withColumn("_t", F.coalesce(F.lag("tpr").over(up), F.lit(0.0))).withColumn("_f", F.coalesce(F.lag("fpr").over(up), F.lit(0.0)))
@@ -114,11 +127,31 @@ def vus(df: DataFrame, length: int, count: int = 250, by: list[str] = BY) -> Dat
     return area.groupBy(*by).agg(F.avg("roc").alias("vus_roc"), F.avg("pr").alias("vus_pr"))
 
 
+def reached(placed: DataFrame, near: DataFrame, reach: int, by: list[str] = BY) -> DataFrame:
+    """(by, half, k): for each widening 0..reach the extended segments, with the first
+    threshold that reaches a point of theirs."""
+    runs = numbered_runs(placed.where("label = 1"), by, {"_best": F.col("k")})
+    side = near.groupBy(*by, "edge", "d").agg(F.min("k").alias("k")).groupBy(*by, "edge").agg(F.collect_list(F.struct("d", "k")).alias("_m"))
+    w = Window.partitionBy(*by).orderBy("s")
+    gap = F.col("s") - F.lag("e").over(w) - 1
+    held = runs.withColumn("_close", F.ceil(gap / 2)).join(side.withColumnRenamed("edge", "s").withColumnRenamed("_m", "_m0"), [*by, "s"], "left")
+    # a segment of one point has both its sides under one edge
+    held = held.join(side.withColumnRenamed("edge", "e").withColumnRenamed("_m", "_m1"), [*by, "e"], "left")
+    held = held.withColumn("_m", F.concat(F.coalesce("_m0", F.array().cast("array<struct<d:bigint,k:int>>")), F.coalesce("_m1", F.array().cast("array<struct<d:bigint,k:int>>"))))
+    held = held.select(*by, "s", "_close", "_best", "_m", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("half"))
+    k = F.least("_best", F.array_min(F.transform(F.filter("_m", lambda m: m["d"] <= F.col("half")), lambda m: m["k"])))
+    w = Window.partitionBy(*by, "half").orderBy("s")
+    held = held.select(*by, "half", "s", k.alias("k"), F.coalesce(F.col("_close") > F.col("half"), F.lit(True)).alias("_new"))
+    held = held.withColumn("_g", F.sum(F.col("_new").cast("int")).over(w))
+    return held.groupBy(*by, "half", "_g").agg(F.min("k").alias("k")).drop("_g")
+
+
 def evaluate(df: DataFrame, length: int = 10, count: int = 250, by: list[str] = BY) -> DataFrame:
     """All six metrics of each series, and whether all are finite numbers.  Scores that
-    are not finite are replaced first (F06)."""
+    are not finite are replaced first (F06); one ranking serves all metrics."""
     df = df.withColumn("score", sanitize(F.col("score")))
-    out = curve_metrics(score_curve(df, by), by).join(range_f1(df, by=by), by, "left").join(vus(df, length, count, by), by, "left")
+    curve = written(ranked(df, by), "ranking")
+    out = curve_metrics(curve, by).join(range_f1(df, by=by, curve=curve), by, "left").join(vus(df, length, count, by, curve), by, "left")
     return out.select(*by, *METRICS, finite(*METRICS).alias("finite"))
 
 

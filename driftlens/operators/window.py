@@ -7,16 +7,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import haloed
+
 
 def _ordered(by=("series_id",)):
     return Window.partitionBy(*by).orderBy("t")
 
 
 def windows(df: DataFrame, length: int) -> DataFrame:
-    """(series_id, start, w): every window of min(length, n) points, channel-major."""
-    n = F.least(F.lit(max(1, length)), F.count(F.lit(1)).over(Window.partitionBy("series_id"))).cast("int")
-    held = F.collect_list("x").over(_ordered().rowsBetween(0, max(1, length) - 1))
-    out = df.select("series_id", F.col("t").alias("start"), held.alias("w"), n.alias("_n")).where(F.size("w") >= F.col("_n")).drop("_n")
+    """(series_id, start, w): every window of min(length, n) points, channel-major.
+    ``t`` counts without gaps.  Chunks of a series borrow the points that their last windows
+    reach, so a long series is many tasks' work."""
+    length = max(1, length)
+    chunks = haloed(df, 1, length - 1)
+    w = _ordered(("series_id", "_c"))
+    held = F.collect_list("x").over(w.rowsBetween(0, length - 1))
+    out = chunks.select("series_id", F.col("t").alias("start"), held.alias("w"), F.lag("t").over(w).isNull().alias("_first"), "_own")
+    out = out.where(F.col("_own") & ((F.size("w") == length) | F.col("_first"))).drop("_first", "_own")
     if df.schema["x"].dataType.typeName() == "array":
         channel = F.transform(F.sequence(F.lit(0), F.size(F.get("w", F.lit(0))) - 1), lambda c: F.transform("w", lambda v: F.get(v, c)))
         out = out.withColumn("w", F.flatten(channel))
@@ -57,9 +64,11 @@ def overlap_pairs(df: DataFrame, length: int, deltas: list[int], trim: int = 0)
 
 def to_points(scores: DataFrame, length: int, points: DataFrame) -> DataFrame:
     """The mean score of the windows over each point; null where there is none.
-    ``scores`` has (series_id, start, score), ``points`` (series_id, t)."""
+    ``scores`` has (series_id, start, score), ``points`` (series_id, t).  Chunks borrow the
+    windows that start before them."""
     held = points.select("series_id", "t").join(scores.withColumnRenamed("start", "t"), ["series_id", "t"], "left")
-    return held.withColumn("score", F.avg("score").over(_ordered().rangeBetween(-(length - 1), 0)))
+    mean = F.avg("score").over(_ordered(("series_id", "_c")).rangeBetween(-(length - 1), 0))
+    return haloed(held, length - 1, 0).select("series_id", "t", mean.alias("score"), "_own").where("_own").drop("_own")
 
 
 def tokens_to_points(tokens: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranges import running
+
 
 def _label_of(columns: list[str], label: str | None) -> str:
     if label:
@@ -46,9 +48,11 @@ def scan_labels(spark: SparkSession, path: str, label_col: str | None = None, fo
 
 
 def series_from_table(df: DataFrame, key: str, order: list[str], values: dict[str, Column]) -> DataFrame:
-    """Rows of any table as series, t counting from 0 in the given order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.select(F.col(key).alias("series_id"), (F.row_number().over(w) - 1).cast("bigint").alias("t"), *[c.alias(n) for n, c in values.items()])
+    """Rows of any table as series, t counting from 0 in the given order.  A long series
+    is put in order by many tasks."""
+    by = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(F.col(key).alias("series_id"), *[F.col(c).alias(o) for c, o in zip(order, by)], *[c.alias(n) for n, c in values.items()])
+    return running(rows, ["series_id"], by, {}).select("series_id", F.col("_r").alias("t"), *values)
 
 
 def parse_series_name(name: Column) -> dict[str, Column]:
