@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,9 +103,51 @@ def slice_list(df: DataFrame, order: list[str], offset: int, limit: int | None)
 
 
 def assert_label_blind(df: DataFrame, label: str = "label") -> None:
-    """fail if the plan of a scoring result reads the label column."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    if f"{label}#" in plan:
-        optimized = df._jdf.queryExecution().optimizedPlan().toString()
-        if f"{label}#" in optimized:
+    """fail if a scoring result depends on the label column.
+
+    The analysed plan's attributes are followed by identity, not by the plan's text.  Those
+    with exactly the label's name carry it, and so does what is computed from them.  The
+    check fails if one reaches the result, or if a condition, a grouping, an order or a key
+    anywhere below uses one; a label that is only carried along and dropped does no harm.
+    A label that was written to a table under another name cannot be told."""
+    sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    same = (lambda n: n == label) if sensitive else (lambda n: n.lower() == label.lower())
+    nodes = iter(json.loads(df._jdf.queryExecution().analyzed().toJSON()))
+    tainted: set[int] = set()
+
+    def used(expression: list[dict]) -> bool:
+        return any(e["exprId"]["id"] in tainted for e in expression if e["class"].endswith(".AttributeReference"))
+
+    def named(expressions: list[list[dict]]) -> list[int]:
+        """Ids of the columns that these make; what carries the label is marked."""
+        for e in expressions:
+            if same(e[0]["name"]) or used(e):
+                tainted.add(e[0]["exprId"]["id"])
+        return [e[0]["exprId"]["id"] for e in expressions]
+
+    def walk() -> list[int]:
+        """Ids of the next node's columns; its inputs are walked first."""
+        node = next(nodes)
+        below = [walk() for _ in range(node["num-children"])]
+        kind = node["class"].rpartition(".")[2]
+        passed = [i for b in below for i in b]
+        found = {k: [v] if isinstance(v[0], dict) else v for k, v in node.items() if isinstance(v, list) and v and (isinstance(v[0], dict) and "class" in v[0] or isinstance(v[0], list) and v[0] and isinstance(v[0][0], dict) and "class" in v[0][0])}
+        made = [c for k in ("projectList", "aggregateExpressions", "windowExpressions", "generatorOutput", "output", "outputAttrs") for c in found.pop(k, [])]
+        if kind == "Generate":
+            out = named(made)
+            if any(used(g) for g in found.pop("generator", [])):
+                tainted.update(out)
+        else:
+            out = named(made)
+        opaque = below and "output" in node and kind not in ("Union", "Generate")  # a Python function sees whole rows
+        if opaque and not tainted.isdisjoint(passed):
+            tainted.update(out)
+        if not opaque and any(used(e) for k, es in found.items() for e in es):
             raise ValueError(f"the plan reads {label}")
+        if kind == "Union":
+            tainted.update(i for b in below for i, other in zip(below[0], b) if other in tainted)
+            return below[0]
+        return out if made and kind not in ("Window", "Generate") else [*passed, *out]
+
+    if not tainted.isdisjoint(walk()):
+        raise ValueError(f"the plan reads {label}")

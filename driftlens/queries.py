@@ -1159,9 +1159,18 @@ def _s12(s, d):
     return R.audit_artifacts(s, written_texts(s, d), [".txt"], ["_SUCCESS.old"]).select(F.regexp_extract("path", "dataset=([^/]+)/", 1).alias("dataset"))
 
 
-@query("f14_label_blind", f"WITH {U} SELECT series_id, count(*) AS points FROM u GROUP BY 1")
+@query("f14_label_blind", f"WITH {U} SELECT series_id, count(*) AS points, sum(label) > 0 AS caught FROM u GROUP BY 1")
 def _f14(s, d):
-    """Scores whose plan is checked before they are counted."""
-    scores = detect.point_scores(S.u_small(s, d))
+    """Scores whose plan is checked before they are counted, beside a wide plan that the check
+    must refuse: scores that leave out what is labelled."""
+    u = S.u_small(s, d)
+    scores = detect.point_scores(u)
     P.assert_label_blind(scores)
-    return scores.groupBy("series_id").agg(F.count(F.lit(1)).alias("points"))
+    wide = u.select("*", *[(F.col("x") + i).alias(f"c{i}") for i in range(40)]).where("label = 1")
+    try:
+        P.assert_label_blind(wide)
+        refused = F.lit(False)
+    except ValueError:
+        refused = F.coalesce(F.col("n") > 0, F.lit(False))
+    labelled = wide.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    return scores.groupBy("series_id").agg(F.count(F.lit(1)).alias("points")).join(labelled, "series_id", "left").select("series_id", "points", refused.alias("caught"))

@@ -6,6 +6,8 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from driftlens import queries
 from driftlens.operators import cluster, metrics, neighbors, prefix, records, window
@@ -155,6 +157,26 @@ def test_label_blind_check_fails(spark, sf_dir):
         prefix.assert_label_blind(series.u_small(spark, sf_dir).where("label = 1"))
 
 
+def test_labels_do_not_hide(spark, tmp_path):
+    """Wide plans, new names, conditions, joins, unions and Python functions."""
+    wide = ", ".join(f"id + {i} AS c{i}" for i in range(40))
+    spark.range(20).selectExpr("id", *wide.split(", "), "id % 2 AS label", "id AS my_label", "array(id) AS xs").write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    blind = df.drop("label")
+    same = lambda batches: batches
+    reading = [
+        df, df.select(*[f"c{i}" for i in range(40)], "label"), df.selectExpr("label AS y"), df.selectExpr("Label + 1 AS y").where("y > 1"), df.where("label = 1").select("id"), df.orderBy("label").select("id"),
+        df.groupBy("label").agg(F.sum("id").alias("s")).select("s"), df.groupBy("id").agg(F.max("label").alias("s")), df.join(df.select("id", F.col("label").alias("y")), "id").select("y"), blind.join(df.where("label = 1").select("id"), "id"),
+        blind.select("id").union(df.select("label")), df.select("id", "label").mapInArrow(same, "id bigint, y bigint").select("y"), df.select(F.row_number().over(Window.partitionBy("label").orderBy("id"))), df.select(F.explode(F.array("label"))), df.dropDuplicates(["label"]).select("id"),
+    ]
+    for i, d in enumerate(reading):
+        with pytest.raises(ValueError):
+            prefix.assert_label_blind(d)
+            print("not caught", i)
+    for d in (blind, df.select("my_label"), df.withColumn("y", F.col("label") + 1).select("id", "c39"), df.withColumn("r", F.row_number().over(Window.orderBy("id"))).drop("label"), df.select("label", F.explode("xs").alias("x")).select("x"), blind.mapInArrow(same, blind.schema), df.where("my_label = 1").select("id"), df.select("id", "label").groupBy("id").count()):
+        prefix.assert_label_blind(d)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "csv").mkdir()
     name = "001_DEMO_id_1_Sensor_tr_2_1st_3.csv"
