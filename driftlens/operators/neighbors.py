@@ -3,6 +3,10 @@
 Queries meet the memory of their own series only.  Both are dealt into blocks of about
 ``BLOCK`` rows: a task holds one block of either at a time, multiplies them as matrices and
 keeps the ``k`` best of each query, so pairs never become rows; the blocks' best are merged.
+
+A memory of several blocks is indexed: rows are dealt into blocks by their distances from a
+few pivots, the triangle inequality bounds from below how near two blocks, or a query and a
+block, can be, and only what can hold one of the k nearest meets.
 """
 
 from __future__ import annotations
@@ -15,12 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import discrepancy, dot, squared_distance
+from ..sources.scratch import written
 from .normalize import softmax
+from .ranges import running
 
 BY = ["series_id"]
 #: Rows of a series that meet in one task, of the queries and of the memory, and how many
 #: pairs of them are held at once.
 BLOCK, PAIRS = 1 << 12, 1 << 20
+#: Rows of the memory that distances are taken from.
+PIVOTS = 6
 
 
 def pairwise(query: DataFrame, memory: DataFrame, by: list[str] = BY, unit: bool = False) -> DataFrame:
@@ -87,10 +95,9 @@ def _schema(df: DataFrame, cols: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema.fields)
 
 
-def nearest(query: DataFrame, memory: DataFrame, k: int, by: list[str] = BY, unit: bool = False, skip_self: bool = False) -> DataFrame:
-    """The k nearest of each query, (by, q, m, d2, place), ties by m.  Products find which
-    pairs can be among them; the distances of these are computed directly."""
-    dealt = _dealt(query, memory, by)
+def _best(dealt: DataFrame, k: int, by: list[str], unit: bool, skip_self: bool) -> DataFrame:
+    """(by, q, m, d2): the k nearest of each query in every group of dealt rows.  Products
+    find which pairs can be among them; the distances of these are computed directly."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, n, ids, x in _groups(batches):
@@ -113,12 +120,78 @@ def nearest(query: DataFrame, memory: DataFrame, k: int, by: list[str] = BY, uni
                 cols = [rows.column(c).take(at).combine_chunks() for c in by]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(ids[some[i[best]]]), pa.array(ids[j[best]]), pa.array(exact[best])], names=[*by, "q", "m", "d2"])
 
-    ids = dealt.schema["_id"].dataType.simpleString()
-    pairs = dealt.mapInArrow(emit, f"{_schema(query, by)}, q {ids}, m {ids}, d2 double")
+    ids, kept = dealt.schema["_id"].dataType.simpleString(), _schema(dealt, by)
+    return dealt.mapInArrow(emit, f"{kept}, q {ids}, m {ids}, d2 double")
+
+
+def nearest(query: DataFrame, memory: DataFrame, k: int, by: list[str] = BY, unit: bool = False, skip_self: bool = False) -> DataFrame:
+    """The k nearest of each query, (by, q, m, d2, place), ties by m.  A memory of more than
+    one block is searched by way of its index."""
+    off = F.abs(dot(F.col("u"), F.col("u")) - 1) if unit else F.lit(0.0)
+    size = memory.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(off).alias("off")).agg(F.max("n").alias("n"), F.max("off").alias("off")).first()
+    if (size.n or 0) > BLOCK and size.off < 1e-3:
+        pairs = Index(query, memory, k, by, unit, skip_self).pairs
+    else:
+        pairs = _best(_dealt(query, memory, by), k, by, unit, skip_self)
     w = Window.partitionBy(*by, "q").orderBy("d2", "m")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+class Index:
+    """Queries and memory in blocks by their distances from the memory's pivots.
+
+    A query first meets the block that its own block may be nearest to; the k-th distance
+    found there is its limit.  It then meets every other block whose least possible distance
+    does not exceed the limit, and no other.  ``pairs`` holds candidates (by, q, m, d2),
+    ``report`` counts (by, pairs, compared)."""
+
+    def __init__(self, query: DataFrame, memory: DataFrame, k: int, by: list[str] = BY, unit: bool = False, skip_self: bool = False):
+        self.by, i, j = by, [*by, "_i"], [*by, "_j"]
+        pivots = memory.groupBy(*by).agg(F.array(*[F.max_by("u", F.xxhash64(F.lit(p), "m")) for p in range(PIVOTS)]).alias("_p"))
+        q = self._placed(query.select(*by, F.col("q").alias("_id"), F.col("v").alias("_v")), pivots, "_i")
+        m = self._placed(memory.select(*by, F.col("m").alias("_id"), F.col("u").alias("_v")), pivots, "_j")
+        mb = self._boxes(m, j)
+        met = self._boxes(q, i).join(mb.withColumnsRenamed({"_lo": "_lo2", "_hi": "_hi2", "_n": "_n2"}), by)
+        gap = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+        least = F.array_max(F.zip_with(gap("_lo", "_hi2"), gap("_lo2", "_hi"), lambda x, y: F.greatest(x, y, F.lit(0.0))))
+        most = F.array_min(F.zip_with("_hi", "_hi2", lambda x, y: x + y))
+        met = written(met.select(*by, "_i", "_j", "_n", "_n2", least.alias("_least"), most.alias("_most")), "blocks")
+        home = met.groupBy(*i).agg(F.min_by(F.struct("_j", "_n", "_n2"), F.struct("_least", "_most", "_j")).alias("_h")).select(*i, "_h.*")
+        pair = lambda rows, pairs, keys, side: rows.join(pairs, keys).select(*by, "_i", "_j", F.lit(side).alias("_side"), "_id", "_v")
+        first = written(_best(self._dealt(pair(q, home.select(*i, "_j"), i, 1), pair(m, home.select(*i, "_j"), j, 0)), k, by, unit, skip_self), "nearest")
+        limit = first.groupBy(*by, F.col("q").alias("_id")).agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).otherwise(float("inf")).alias("_limit"))
+        limited = q.join(limit, [*by, "_id"], "left").withColumn("_limit", F.coalesce("_limit", F.lit(float("inf"))))
+        limited = written(limited, "limits")
+        # a hair more for rounding, and for unit vectors that are not quite so
+        reach = lambda near, limit: F.pow(near * (1 - 1e-9), F.lit(2.0)) <= limit * (1 + 1e-9) + (4e-3 if unit else 1e-12)
+        block = limited.groupBy(*i).agg(F.max("_limit").alias("_limit"))
+        kept = met.join(home.select(*i, F.col("_j").alias("_h")), i).where(F.col("_j") != F.col("_h")).join(block, i).where(reach(F.col("_least"), F.col("_limit"))).select(*i, "_j")
+        kept = written(kept.join(mb, j), "pairs")
+        own = F.array_max(F.zip_with("_d", F.arrays_zip("_lo", "_hi"), lambda d, b: F.greatest(b["_lo"] - d, d - b["_hi"], F.lit(0.0))))
+        further = written(limited.join(kept, i).where(reach(own, F.col("_limit"))).select(*by, "_i", "_j", F.lit(1).alias("_side"), "_id", "_v", "_n"), "further")
+        wanted = further.select(*i, "_j").distinct()
+        self.pairs = first.unionByName(_best(self._dealt(further.drop("_n"), pair(m, wanted, j, 0)), k, by, unit, skip_self))
+        total = met.groupBy(*by).agg(F.sum(F.col("_n") * F.col("_n2")).alias("pairs"))
+        done = home.select(*by, (F.col("_n") * F.col("_n2")).alias("compared")).unionByName(further.select(*by, F.col("_n").alias("compared"))).groupBy(*by).agg(F.sum("compared").alias("compared"))
+        self.report = total.join(done, by)
+
+    def _placed(self, rows: DataFrame, pivots: DataFrame, name: str) -> DataFrame:
+        """The rows with ``_d``, their distances from the pivots, and the block ``name``: rows
+        beside the same pivot, at like distances from it, are together."""
+        d = rows.join(pivots, self.by).withColumn("_d", F.transform("_p", lambda p: F.sqrt(squared_distance(F.col("_v"), p)))).drop("_p")
+        d = d.withColumn("_least", F.array_min("_d")).withColumn("_near", F.array_position("_d", F.col("_least")))
+        return written(running(d, self.by, ["_near", "_least", "_id"], {}).withColumn(name, F.floor(F.col("_r") / BLOCK).cast("int")).drop("_r", "_near", "_least"), "placed")
+
+    def _boxes(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """The least and the greatest distance of each block from every pivot."""
+        ends = [F.array(*[f(F.get("_d", F.lit(p))) for p in range(PIVOTS)]).alias(n) for n, f in (("_lo", F.min), ("_hi", F.max))]
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *ends)
+
+    def _dealt(self, queries: DataFrame, memory: DataFrame) -> DataFrame:
+        keys = [*self.by, "_i", "_j"]
+        return queries.unionByName(memory).withColumn("_g", F.xxhash64(*keys)).repartition(*keys).sortWithinPartitions(*keys, "_side", "_id").drop("_i", "_j")
+
+
 def topk_mean(query: DataFrame, memory: DataFrame, k: int, by: list[str] = BY, unit: bool = True) -> DataFrame:
     """The mean of the min(k, |memory|) smallest squared distances."""
     return nearest(query, memory, k, by, unit).groupBy(*by, "q").agg(F.avg("d2").alias("score"))
@@ -137,13 +210,12 @@ def knn_repr_score(train: DataFrame, query: DataFrame, k: int = 5, by: list[str]
 
 def min_center_distance(query: DataFrame, centers: DataFrame, by: list[str] = BY) -> DataFrame:
     """J06."""
-    return pairwise(query, centers, by).groupBy(*by, "q").agg(F.sqrt(F.greatest(F.lit(0.0), F.min("d2"))).alias("score"))
+    return assign(query, centers, by).select(*by, "q", F.sqrt(F.greatest(F.lit(0.0), "d2")).alias("score"))
 
 
 def assign(query: DataFrame, centers: DataFrame, by: list[str] = BY) -> DataFrame:
     """(by, q, m, d2): the nearest centre, the lowest number on ties."""
-    best = F.min(F.struct("d2", "m"))
-    return pairwise(query, centers, by).groupBy(*by, "q").agg(best.alias("_s")).select(*by, "q", F.col("_s.m").alias("m"), F.col("_s.d2").alias("d2"))
+    return nearest(query, centers, 1, by).select(*by, "q", "m", "d2")
 
 
 def lof(train: DataFrame, query: DataFrame, k: int, by: list[str] = BY) -> DataFrame:
