@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, l2_normalize, revin, squared_distance
+from ..sources.scratch import written
 from .neighbors import BY, assign, topk_mean
 from .window import to_points, windows
 
@@ -44,14 +46,22 @@ def even_seeds(rows: DataFrame, k: int | None, by: list[str] = BY) -> DataFrame:
     return ranked.where(first).select(*by, m.alias("m"), F.col("v").alias("u"))
 
 
-def coarse_cover(rows: DataFrame, k: int | None = None, rounds: int = 3, by: list[str] = BY) -> DataFrame:
-    """(by, q, v, m) after ``rounds`` of Lloyd's steps from evenly spaced seeds;
-    centres that lose all rows go (C10)."""
-    centers = even_seeds(rows, k, by)
-    for _ in range(rounds):
-        held = rows.join(assign(rows, centers, by).select(*by, "q", "m"), [*by, "q"])
-        centers = vector_mean(held, [*by, "m"]).withColumnRenamed("center", "u")
-    return rows.join(assign(rows, centers, by).select(*by, "q", "m"), [*by, "q"])
+#: Lloyd's steps at most where they go on until no centre moves.
+MOST_STEPS = 200
+
+
+def coarse_cover(rows: DataFrame, k: int | None = None, rounds: int | None = 3, by: list[str] = BY) -> DataFrame:
+    """(by, q, v, m) after ``rounds`` of Lloyd's steps from evenly spaced seeds, or, with
+    None, as many as move a centre (MOST_STEPS at most); centres that lose all rows go (C10).
+    The rows and each round's centres are written, so no round repeats what led to them."""
+    rows = written(rows, "rows")
+    centers = written(even_seeds(rows, k, by), "centers")
+    own = lambda c: rows.join(assign(rows, c, by).select(*by, "q", "m"), [*by, "q"])
+    for _ in range(MOST_STEPS if rounds is None else rounds):
+        before, centers = centers, written(vector_mean(own(centers), [*by, "m"]).withColumnRenamed("center", "u"), "centers")
+        if rounds is None and not before.join(centers.withColumnRenamed("u", "_u"), [*by, "m"], "left").where(~F.col("u").eqNullSafe(F.col("_u"))).head(1):
+            break
+    return own(centers)
 
 
 def kmeans_score(train: DataFrame, query: DataFrame, k: int = 10, rounds: int = 10, by: list[str] = BY) -> DataFrame:
@@ -124,41 +134,76 @@ def _np_bic(n: int, dim: int, sse: float, balls: int) -> float:
     return n * dim * np.log(max(sse, 1e-12) / (n * dim)) + p * np.log(max(2, n))
 
 
-def refine(rows: np.ndarray, min_ball: int = 4, rounds: int = 64) -> list[np.ndarray]:
-    """C07 on the rows of one coarse cell: split while the criterion improves; members are
-    never dropped; balls in the order of their least member."""
+def refine(rows: np.ndarray, min_ball: int = 4, rounds: int = 64, depth: int = 0) -> list[np.ndarray]:
+    """C07 on the rows of one ball that ``depth`` splits have made: split while the criterion
+    improves; members are never dropped; balls in the order of their least member.  A split
+    in the last round means that splitting does not end, and fails."""
     sse = lambda x: float(((x - x.mean(0)) ** 2).sum())
-    done, todo = [], [(np.arange(len(rows)), 0)]
+    done, todo = [], [(np.arange(len(rows)), depth)]
     while todo:
-        at, depth = todo.pop()
+        at, deep = todo.pop()
         x = rows[at]
-        if len(at) >= min_ball and depth < rounds:
+        if len(at) >= min_ball:
             side = two_means(x)
             parts = [at[side == 0], at[side == 1]]
             if min(map(len, parts)) >= max(2, min_ball // 4):
                 child = sum(sse(rows[p]) for p in parts)
                 if _np_bic(len(at), x.shape[1], child, 2) + 1e-9 < _np_bic(len(at), x.shape[1], sse(x), 1):
-                    todo += [(p, depth + 1) for p in parts]
+                    if deep + 1 >= rounds:
+                        raise ValueError(DIVERGES)
+                    todo += [(p, deep + 1) for p in parts]
                     continue
         done.append(at)
     return sorted(done, key=lambda p: p.min())
 
 
-def granular_partition(rows: DataFrame, k: int | None = None, rounds: int = 3, by: list[str] = BY) -> DataFrame:
-    """(by, q, v, m): balls of a coarse cover, refined.  A cell refines by itself, so
-    cells (about sqrt(n) rows each) are the groups; ball numbers carry their cell's."""
-    covered = coarse_cover(rows, k, rounds, by)
-    cols = [*by, "q", "v", "m"]
+DIVERGES = "granular splitting did not converge"
+#: Rows of the largest ball that one task splits to the end.
+SMALL = 1 << 14
 
-    def split(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("q", ignore_index=True)
-        ball = np.zeros(len(cell), np.int64)
-        for i, at in enumerate(refine(np.stack(cell["v"].to_numpy()))):
-            ball[at] = i
-        return cell.assign(m=cell["m"].astype(np.int64) * 1_000_000 + ball)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in covered.select(*by, "q", "v").schema.fields)
-    return covered.select(*cols).groupBy(*by, "m").applyInPandas(lambda cell: split(cell)[cols], f"{schema}, m bigint")
+def granular_partition(rows: DataFrame, k: int | None = None, rounds: int | None = 3, by: list[str] = BY, min_ball: int = 4, most: int = 64) -> DataFrame:
+    """(by, q, v, m): the balls of a coarse cover, split while the criterion improves and
+    numbered from 0 in the order of their least members.
+
+    Balls of more than SMALL rows are a frontier, one table of all of them: a round splits
+    every ball in two by aggregates and joins (C04), weighs the sums of either side (C05,
+    C06) and writes what has been split for the next round.  Smaller balls are split to the
+    end by one task each.  Fails if the ``most``-th round still splits."""
+    covered = coarse_cover(rows, k, rounds, by)
+    cell = [*by, "_ball"]
+    open_ = written(covered.select(*by, "q", "v", F.concat(F.col("m").cast("string"), F.lit(":")).alias("_ball")), "balls")
+    small, done = [], []
+    for depth in range(most + 1):
+        size = open_.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+        large = written(size.where(F.col("_n") > SMALL).select(*cell), "large")
+        small.append(open_.join(large, cell, "left_anti").withColumn("_depth", F.lit(depth)))
+        if not large.head(1):
+            break
+        big = written(open_.join(large, cell), "frontier")
+        sides = written(two_means_split(big, cell), "sides")
+        one, two = ball_sse(sides.select(*cell, "q", "v").withColumn("m", F.lit(0)), cell), ball_sse(sides.withColumnRenamed("side", "m"), cell)
+        enough = two.groupBy(*cell).agg(((F.count(F.lit(1)) == 2) & (F.min("n") >= max(2, min_ball // 4))).alias("_enough"))
+        better = written(bic_improves(one, two, cell).join(enough, cell).where(F.col("improves") & F.col("_enough")).select(*cell), "better")
+        if better.head(1) and depth + 1 >= most:
+            raise ValueError(DIVERGES)
+        done.append(sides.join(better, cell, "left_anti").select(*by, "q", "v", "_ball"))
+        open_ = written(sides.join(better, cell).select(*by, "q", "v", F.concat("_ball", F.col("side").cast("string")).alias("_ball")), "balls")
+    cols = [*by, "q", "v", "_ball"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in open_.select(*cols).schema.fields)
+
+    def split(ball: pd.DataFrame) -> pd.DataFrame:
+        ball = ball.sort_values("q", ignore_index=True)
+        name = np.zeros(len(ball), np.int64)
+        for i, at in enumerate(refine(np.stack(ball["v"].to_numpy()), min_ball, most, int(ball["_depth"].iloc[0]))):
+            name[at] = i
+        return ball.assign(_ball=ball["_ball"] + "." + name.astype(str))[cols]
+
+    frames = [functools.reduce(DataFrame.unionByName, small).groupBy(*cell).applyInPandas(split, schema), *done]
+    named = written(functools.reduce(DataFrame.unionByName, frames), "balls")
+    first = named.groupBy(*cell).agg(F.min("q").alias("_first"))
+    order = first.withColumn("m", F.row_number().over(Window.partitionBy(*by).orderBy("_first", "_ball")).cast("bigint") - 1)
+    return named.join(order.select(*cell, "m"), cell).select(*by, "q", "v", "m")
 
 
 def exemplar_memory(members: DataFrame, by: list[str] = BY) -> DataFrame:
@@ -252,9 +297,9 @@ def pca_score(train: DataFrame, query: DataFrame, variance: float | None = None,
     return query.join(principal_components(train, variance, by), by).groupBy(*by, "q").agg(F.sum(d).alias("score"))
 
 
-def pca_project(train: DataFrame, rows: DataFrame, variance: float, by: list[str] = BY) -> DataFrame:
-    """(by, q, v): rows as their coordinates along the components of the training rows."""
-    on = rows.join(principal_components(train, variance, by), by).select(*by, "q", "c", dot(_standardised(), F.col("comp")).alias("x"))
+def pca_project(components: DataFrame, rows: DataFrame, by: list[str] = BY) -> DataFrame:
+    """(by, q, v): rows as their coordinates along ``principal_components``."""
+    on = rows.join(components, by).select(*by, "q", "c", dot(_standardised(), F.col("comp")).alias("x"))
     return on.groupBy(*by, "q").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda s: s["x"]).alias("v"))
 
 
@@ -331,9 +376,10 @@ def exemplar_detector(train: DataFrame, query: DataFrame, k: int = 3, variance:
     flat = lambda df: df.select(*by, "q", revin(F.col("v"), channels).alias("v"))
     learnt, asked = flat(train), flat(query)
     if variance is not None:
-        learnt, asked = pca_project(learnt, learnt, variance, by), pca_project(learnt, asked, variance, by)
+        axes = written(principal_components(learnt, variance, by), "axes")
+        learnt, asked = pca_project(axes, learnt, by), pca_project(axes, asked, by)
     unit = lambda df: df.select(*by, "q", l2_normalize(F.col("v")).alias("v"))
-    memory = exemplar_memory(granular_partition(unit(learnt), by=by), by).select(*by, "m", "u")
+    memory = written(exemplar_memory(granular_partition(unit(learnt), by=by), by).select(*by, "m", "u"), "memory")
     return topk_mean(unit(asked), memory, k, by)
 
 

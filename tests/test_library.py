@@ -75,7 +75,7 @@ def test_components_and_projection(spark):
     values = np.sort(np.linalg.eigvalsh(z.T @ z / len(z)))[::-1]
     comps = cluster.principal_components(df).orderBy("c").collect()
     assert [r.share for r in comps] == pytest.approx((values / values.sum()).tolist())
-    got = {r.q: r.v for r in cluster.pca_project(df, df, 0.999999).collect()}
+    got = {r.q: r.v for r in cluster.pca_project(cluster.principal_components(df, 0.999999), df).collect()}
     want = z @ np.array([r.comp for r in comps]).T
     assert all(got[i] == pytest.approx(want[i].tolist()) for i in range(80))
 
