@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, l2_normalize, revin, squared_distance
 from ..sources.scratch import written
-from .neighbors import BY, assign, topk_mean
+from .neighbors import BY, _groups, assign, topk_mean
 from .window import to_points, windows
 
 
@@ -190,16 +192,20 @@ def granular_partition(rows: DataFrame, k: int | None = None, rounds: int | None
         done.append(sides.join(better, cell, "left_anti").select(*by, "q", "v", "_ball"))
         open_ = written(sides.join(better, cell).select(*by, "q", "v", F.concat("_ball", F.col("side").cast("string")).alias("_ball")), "balls")
     cols = [*by, "q", "v", "_ball"]
+    rest = functools.reduce(DataFrame.unionByName, small).withColumn("_g", F.xxhash64(*cell))
+    rest = rest.select(*by, "_ball", "_depth", "_g", F.lit(1).alias("_side"), F.col("q").alias("_id"), F.col("v").alias("_v")).repartition(*cell).sortWithinPartitions(*cell, "_id")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in open_.select(*cols).schema.fields)
 
-    def split(ball: pd.DataFrame) -> pd.DataFrame:
-        ball = ball.sort_values("q", ignore_index=True)
-        name = np.zeros(len(ball), np.int64)
-        for i, at in enumerate(refine(np.stack(ball["v"].to_numpy()), min_ball, most, int(ball["_depth"].iloc[0]))):
-            name[at] = i
-        return ball.assign(_ball=ball["_ball"] + "." + name.astype(str))[cols]
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, _, x in _groups(batches):
+            names = np.zeros(len(x), np.int64)
+            for i, at in enumerate(refine(x, min_ball, most, rows.column("_depth")[0].as_py())):
+                names[at] = i
+            ball = rows.column("_ball")[0].as_py()
+            kept = [rows.column(c).combine_chunks() for c in (*by, "_id", "_v")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([f"{ball}.{i}" for i in names.tolist()])], names=cols)
 
-    frames = [functools.reduce(DataFrame.unionByName, small).groupBy(*cell).applyInPandas(split, schema), *done]
+    frames = [rest.mapInArrow(split, schema), *done]
     named = written(functools.reduce(DataFrame.unionByName, frames), "balls")
     first = named.groupBy(*cell).agg(F.min("q").alias("_first"))
     order = first.withColumn("m", F.row_number().over(Window.partitionBy(*by).orderBy("_first", "_ball")).cast("bigint") - 1)
@@ -252,6 +258,10 @@ def cross_correlation(left: DataFrame, right: DataFrame, by: list[str] = BY) ->
     return c.groupBy(*by).agg(F.avg(on).alias("on_diagonal"), F.avg(off).alias("off_diagonal"))
 
 
+#: Numbers of sums or components that leave a Python worker at once.
+HELD = 1 << 21
+
+
 def principal_components(train: DataFrame, variance: float | None = None, by: list[str] = BY) -> DataFrame:
     """(by, c, share, mean, std, comp): components of the standardised training rows, as
     many as hold ``variance`` (all if not given), their greatest loading positive.  Each
@@ -259,15 +269,22 @@ def principal_components(train: DataFrame, variance: float | None = None, by: li
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for _, part in b.groupby(by, sort=False):
-                x = np.stack(part["v"].to_numpy())
-                yield part[by].head(1).assign(s=[np.r_[len(x), x.sum(0), (x.T @ x).ravel()].tolist()])
+            x, heads, sums = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, 0)), [], []
+            for at in b.groupby(by, sort=False, dropna=False).indices.values():
+                y = x[at]
+                heads.append(at[0])
+                sums.append(np.r_[len(y), y.sum(0), (y.T @ y).ravel()].tolist())
+                if len(sums) * (x.shape[1] + 1) ** 2 > HELD:
+                    yield b[by].iloc[heads].assign(s=sums)
+                    heads, sums = [], []
+            yield b[by].iloc[heads].assign(s=sums)
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in train.select(*by).schema.fields)
     sums = train.select(*by, "v").mapInPandas(added, f"{keys}, s array<double>").groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            held, n = [], 0
             for i in range(len(b)):
                 s = np.asarray(b["s"].iloc[i])
                 d = int(round((-1 + np.sqrt(1 + 4 * (len(s) - 1))) / 2))
@@ -281,8 +298,12 @@ def principal_components(train: DataFrame, variance: float | None = None, by: li
                 sign = np.sign(comp[np.arange(d), np.abs(comp).argmax(1)])
                 comp = comp * np.where(sign == 0, 1, sign)[:, None]
                 k = d if variance is None else min(d, int(np.searchsorted(np.cumsum(share), variance) + 1))
-                head = b[by].iloc[[i] * k].reset_index(drop=True)
-                yield head.assign(c=range(k), share=share[:k], mean=[mean.tolist()] * k, std=[std.tolist()] * k, comp=[x.tolist() for x in comp[:k]])
+                held.append((np.full(k, i), np.arange(k), share[:k], [mean.tolist()] * k, [std.tolist()] * k, comp[:k].tolist()))
+                n += k * d
+                if n > HELD or i + 1 == len(b):
+                    at, c, share, mean, std, comp = (list(itertools.chain.from_iterable(x)) for x in zip(*held, strict=True))
+                    yield b[by].iloc[at].reset_index(drop=True).assign(c=np.array(c, np.int32), share=share, mean=mean, std=std, comp=comp)
+                    held, n = [], 0
 
     return sums.mapInPandas(fit, f"{keys}, c int, share double, mean array<double>, std array<double>, comp array<double>")
 
