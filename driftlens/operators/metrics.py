@@ -88,9 +88,9 @@ def near_segments(df: DataFrame, reach: int, by: list[str] = BY) -> DataFrame:
     the nearest segment, and ``edge``, its nearest point (the earlier one on ties).  Chunks
     borrow ``reach`` points at either end; ``by`` is the series."""
     held = haloed(df, reach, reach)
-    w = Window.partitionBy(*by, "_c").orderBy("t")
+    w = Window.partitionBy(*by, "_c")
     hit = F.when(F.col("label") == 1, F.col("t"))
-    back, ahead = F.last(hit, ignorenulls=True).over(w), F.first(hit, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back, ahead = F.last(hit, ignorenulls=True).over(w.orderBy("t")), F.last(hit, ignorenulls=True).over(w.orderBy(F.desc("t")))
     d = held.withColumn("_b", back).withColumn("_a", ahead).where(F.col("_own") & (F.col("label") != 1))
     d = d.withColumn("d", F.least(F.col("t") - F.col("_b"), F.col("_a") - F.col("t"))).where(F.col("d") <= reach)
     return d.withColumn("edge", F.when(F.col("t") - F.col("_b") == F.col("d"), F.col("_b")).otherwise(F.col("_a"))).drop("_b", "_a", "_c", "_own")

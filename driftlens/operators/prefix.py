@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,11 +72,15 @@ def tempered_sample(members: DataFrame, power: float, size: int, seed: str, by:
     w = Window.partitionBy(*by)
     weight = F.pow("n", F.lit(power))
     up = F.sum(weight).over(w.orderBy("ball").rowsBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(w)
-    balls = balls.withColumn("_hi", up).withColumn("_lo", F.coalesce(F.lag("_hi").over(w.orderBy("ball")), F.lit(0.0)))
+    balls = balls.withColumn("_hi", up)
     keys = [F.col(b) for b in by]
     draws = members.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(1), F.lit(size))).alias("draw"))
     draws = draws.withColumn("_u", uniform(seed + "ball", *keys, F.col("draw"))).withColumn("_v", uniform(seed + "row", *keys, F.col("draw")))
-    hit = draws.join(balls, by).where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
+    # draws and the balls' upper ends in one order: a draw's ball is the next end above it
+    ends = balls.select(*by, F.col("_hi").alias("_u"), F.lit(0).alias("_kind"), F.lit(None).cast("int").alias("draw"), F.lit(None).cast("double").alias("_v"), "ball", "n")
+    both = ends.unionByName(draws.select(*by, "_u", F.lit(1).alias("_kind"), "draw", "_v", F.lit(None).cast(balls.schema["ball"].dataType).alias("ball"), F.lit(None).cast("bigint").alias("n")))
+    down = w.orderBy(F.desc("_u"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.withColumn("ball", F.last("ball", ignorenulls=True).over(down)).withColumn("n", F.last("n", ignorenulls=True).over(down)).where("_kind = 1 AND ball IS NOT NULL")
     hit = hit.withColumn("_p", (F.floor(F.col("_v") * F.col("n")) + 1).cast("int"))
     placed = members.withColumn("_p", F.row_number().over(Window.partitionBy(*by, "ball").orderBy("row")))
     return hit.join(placed, [*by, "ball", "_p"]).select(*by, "draw", "ball", "row")
@@ -112,42 +116,42 @@ def assert_label_blind(df: DataFrame, label: str = "label") -> None:
     A label that was written to a table under another name cannot be told."""
     sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
     same = (lambda n: n == label) if sensitive else (lambda n: n.lower() == label.lower())
-    nodes = iter(json.loads(df._jdf.queryExecution().analyzed().toJSON()))
     tainted: set[int] = set()
 
-    def used(expression: list[dict]) -> bool:
-        return any(e["exprId"]["id"] in tainted for e in expression if e["class"].endswith(".AttributeReference"))
-
-    def named(expressions: list[list[dict]]) -> list[int]:
-        """Ids of the columns that these make; what carries the label is marked."""
-        for e in expressions:
-            if same(e[0]["name"]) or used(e):
-                tainted.add(e[0]["exprId"]["id"])
-        return [e[0]["exprId"]["id"] for e in expressions]
-
-    def walk() -> list[int]:
-        """Ids of the next node's columns; its inputs are walked first."""
-        node = next(nodes)
-        below = [walk() for _ in range(node["num-children"])]
-        kind = node["class"].rpartition(".")[2]
-        passed = [i for b in below for i in b]
-        found = {k: [v] if isinstance(v[0], dict) else v for k, v in node.items() if isinstance(v, list) and v and (isinstance(v[0], dict) and "class" in v[0] or isinstance(v[0], list) and v[0] and isinstance(v[0][0], dict) and "class" in v[0][0])}
-        made = [c for k in ("projectList", "aggregateExpressions", "windowExpressions", "generatorOutput", "output", "outputAttrs") for c in found.pop(k, [])]
-        if kind == "Generate":
-            out = named(made)
-            if any(used(g) for g in found.pop("generator", [])):
-                tainted.update(out)
-        else:
-            out = named(made)
-        opaque = below and "output" in node and kind not in ("Union", "Generate")  # a Python function sees whole rows
-        if opaque and not tainted.isdisjoint(passed):
-            tainted.update(out)
-        if not opaque and any(used(e) for k, es in found.items() for e in es):
+    def columns(seq) -> list[tuple[str, int]]:
+        """(name, id) of attributes, which write themselves as name#id."""
+        parts = seq.mkString("\x01").split("\x01") if seq.size() else []
+        found = [re.fullmatch(r"(.*)#(\d+)\D*.*?", p, re.DOTALL) for p in parts]
+        return [(m[1], int(m[2])) for m in found]
+
+    def used(expression) -> bool:
+        return any(i in tainted for _, i in columns(expression.references().toSeq()))
+
+    def walk(plan) -> list[int]:
+        """Ids of the plan's columns; its inputs are walked first."""
+        each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+        below = [walk(p) for p in each(plan.children())]
+        kind, output = plan.getClass().getSimpleName(), columns(plan.output())
+        out, passed = [i for _, i in output], {i for b in below for i in b}
+        tainted.update(i for n, i in output if same(n))
+        opaque = bool(re.search("Arrow|Pandas|Python|MapPartitions|MapElements|MapGroups|CoGroup", kind))  # a function sees whole rows
+        made: set[int] = set()
+        conditions = [plan.groupingExpressions()] if kind == "Aggregate" else []
+        for e in each(plan.expressions()):
+            if e.getClass().getSimpleName() == "Alias":
+                own = columns(e.toAttribute().references().toSeq())[0][1]
+                made.add(own)
+                if used(e):
+                    tainted.add(own)
+            elif below and kind not in ("Project", "Aggregate", "Generate") and not opaque and used(e):
+                raise ValueError(f"the plan reads {label}")
+        if any(used(g) for c in conditions for g in each(c)):
             raise ValueError(f"the plan reads {label}")
         if kind == "Union":
-            tainted.update(i for b in below for i, other in zip(below[0], b) if other in tainted)
-            return below[0]
-        return out if made and kind not in ("Window", "Generate") else [*passed, *out]
+            tainted.update(i for b in below for i, other in zip(out, b) if other in tainted)
+        elif (opaque and not tainted.isdisjoint(passed)) or (kind == "Generate" and used(plan.generator())):
+            tainted.update(i for i in out if i not in passed | made)
+        return out
 
-    if not tainted.isdisjoint(walk()):
+    if not tainted.isdisjoint(walk(df._jdf.queryExecution().analyzed())):
         raise ValueError(f"the plan reads {label}")

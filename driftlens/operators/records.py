@@ -276,8 +276,9 @@ def write_units(units: DataFrame, path: str) -> None:
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
-    """Point scores, a folder for each series."""
-    scores.write.mode("overwrite").partitionBy("series_id").parquet(path)
+    """Point scores, a folder for each series; a series' rows meet first, so its folder
+    has a file for each share of them and not for each task."""
+    scores.hint("rebalance", "series_id").write.mode("overwrite").partitionBy("series_id").parquet(path)
 
 
 def hash_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -122,3 +122,25 @@ def test_thresholds_are_evenly_spaced_ranks(spark, sizes, count):
         order = sorted((r[2] for r in rows if r[0] == s), reverse=True)
         want = sorted({order[math.floor(k * (len(order) - 1) / (count - 1))] for k in range(count)}, reverse=True)
         assert [r.thr for r in sorted((r for r in got if r.series_id == s), key=lambda r: r.k)] == want
+
+
+def test_draws_find_their_balls(spark):
+    """Each draw takes the ball whose share of the weights it falls in."""
+    from driftlens.functions.sampling import uniform
+    from driftlens.operators import prefix
+
+    members = spark.createDataFrame([("a", b, 10 * b + i) for b in range(5) for i in range(b * b + 1)], "series_id string, ball bigint, row bigint")
+    got = {r.draw: (r.ball, r.row) for r in prefix.tempered_sample(members, 0.5, 400, "t", ["series_id"]).collect()}
+    size = [b * b + 1 for b in range(5)]
+    ends = np.cumsum(np.sqrt(size)) / np.sqrt(size).sum()
+    for r in spark.range(1, 401).select(F.col("id").cast("int").alias("i"), uniform("tball", F.lit("a"), F.col("id")).alias("u"), uniform("trow", F.lit("a"), F.col("id")).alias("v")).collect():
+        b = int(np.searchsorted(ends, r.u, "right"))
+        assert got[r.i] == (b, 10 * b + int(r.v * size[b]))
+
+
+def test_scores_are_written_once_a_series(spark, tmp_path):
+    from driftlens.operators import records
+
+    df = spark.range(900).selectExpr("id % 3 AS series_id", "id AS t", "1.0D AS score").repartition(8)
+    records.write_scores(df, str(tmp_path / "s"))
+    assert len(list((tmp_path / "s").glob("series_id=*/*.parquet"))) == 3
