@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 METRICS = ["vus_pr", "vus_roc", "range_f1", "auc_pr", "auc_roc", "best_f1"]
 KEY = ["method", "track", "dataset", "file"]
 
@@ -76,6 +78,30 @@ def forbidden_keys(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     return df.withColumn("key", F.explode(F.array_intersect(found, F.array(*[F.lit(k) for k in keys]))))
 
 
+def key_paths(df: DataFrame, id: list[str], col: str, keys: list[str]) -> DataFrame:
+    """A08 by structure: (id, key, path) for each forbidden key at any depth of a JSON text,
+    with the path to it.  Texts are parsed once and opened level by level; only values that
+    hold further keys go on, in a table a level, so the work ends with the deepest one.
+
+    What stands in a string is no key.  Null texts have none.  A text that is no JSON, or names
+    a key twice in one object, is searched by ``forbidden_keys`` and has a null path."""
+    spark, names = df.sparkSession, [f"_id{i}" for i in range(len(id))]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(id, names)], F.col(col).alias("_text"), F.try_parse_json(F.col(col)).alias("_v"))
+    broken = forbidden_keys(rows.where("_v IS NULL AND _text IS NOT NULL").drop("_v"), "_text", keys)
+    found = [broken.select(*names, "key", F.lit(None).cast("string").alias("path"))]
+    level = rows.where("_v IS NOT NULL").select(*names, "_v", F.lit("$").alias("_path"))
+    wanted, nested = F.col("key").isin(keys), F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)<")
+    while True:
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+        path = F.concat("_path", F.coalesce(F.concat(F.lit("."), "key"), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))))
+        step = written(opened.select(*names, "key", "value", path.alias("path"), nested.alias("_nested")).where(F.col("_nested") | wanted), "keys")
+        found.append(step.where(wanted).select(*names, "key", "path"))
+        level = step.where("_nested").select(*names, F.col("value").alias("_v"), F.col("path").alias("_path"))
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found).select(*[F.col(n).alias(c) for c, n in zip(id, names)], "key", "path")
+
+
 def summarize(units: DataFrame, by: list[str]) -> DataFrame:
     """Means of the six metrics and the number of records."""
     return units.groupBy(*by).agg(*[F.avg(m).alias(m) for m in METRICS], F.count(F.lit(1)).alias("n"))
@@ -146,9 +172,35 @@ def freeze(selection: DataFrame) -> DataFrame:
     return selection.select(row.alias("_j")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_j")), "\n"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
 
 
+def freeze_ranges(rows: DataFrame, key: list[str], parts: int = 256) -> DataFrame:
+    """A17 for tables of any size: (part, n, fingerprint) of the rows whose key falls into each
+    of ``parts`` parts.  Rows are hashed (sha256 of their JSON with sorted names) and the eight
+    words of their hashes added up, so a part is a partial sum that any order and any number of
+    tasks give alike, and no rows are gathered; a repeated row counts each time."""
+    text = lambda cols: F.to_json(F.struct(*[F.col(c) for c in sorted(cols)]))
+    word = lambda h, i: F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("decimal(10,0)")
+    part = (word(F.sha2(text(key), 256), 0).cast("bigint") % parts).alias("part")
+    sums = rows.select(part, F.sha2(text(rows.columns), 256).alias("_h")).groupBy("part").agg(F.count(F.lit(1)).alias("n"), *[F.sum(word(F.col("_h"), i)).alias(f"_w{i}") for i in range(8)])
+    return sums.select("part", "n", F.sha2(F.concat_ws(",", "n", *[F.col(f"_w{i}").cast("string") for i in range(8)]), 256).alias("fingerprint"))
+
+
+def freeze_root(ranges: DataFrame) -> DataFrame:
+    """(fingerprint, n) of all parts, one row for each part being all it gathers."""
+    listed = F.array_sort(F.collect_list(F.struct("part", "fingerprint")))
+    return ranges.agg(F.sha2(F.array_join(F.transform(listed, lambda p: F.concat_ws(":", p["part"].cast("string"), p["fingerprint"])), "\n"), 256).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def changed_ranges(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(part, n, n_old) of the parts that differ from a lock's; a side without the part
+    counts 0 rows."""
+    o = old.select("part", F.col("n").alias("n_old"), F.col("fingerprint").alias("_f"))
+    j = new.join(o, "part", "full_outer").where(~F.col("fingerprint").eqNullSafe(F.col("_f")))
+    return j.select("part", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("n", "n_old")])
+
+
 def check_lock(new: DataFrame, old: DataFrame) -> DataFrame:
-    """The new fingerprint, or a failure if a lock exists and differs."""
-    other = old.select(F.col("fingerprint").alias("_old")).limit(1)
+    """The new fingerprint, or a failure if a lock exists and differs, or several do."""
+    other = old.select("fingerprint").distinct().agg(F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("there are several locks")).cast("string")).otherwise(F.max("fingerprint")).alias("_old"))
     j = new.join(other, F.lit(True), "left")
     differs = F.col("_old").isNotNull() & (F.col("_old") != F.col("fingerprint"))
     return j.withColumn("fingerprint", F.when(differs, F.raise_error(F.lit("the lock has changed")).cast("string")).otherwise(F.col("fingerprint"))).drop("_old")

@@ -92,7 +92,8 @@ def pad_to_points(scores: DataFrame, length: int, points: DataFrame) -> DataFram
 
 
 def acf(df: DataFrame, nlags: int = 400, head: int = 20000) -> DataFrame:
-    """(series_id, lag, r) of the first ``head`` points, biased, one mean."""
+    """(series_id, lag, r) of the first ``head`` points, biased, one mean.
+    By the Fourier transform, so the time hardly depends on ``nlags``."""
 
     @F.pandas_udf("array<double>")
     def correlated(x: pd.Series) -> pd.Series:
@@ -100,7 +101,8 @@ def acf(df: DataFrame, nlags: int = 400, head: int = 20000) -> DataFrame:
         for a in x:
             d = np.asarray(a, float)
             d = d - d.mean()
-            top = np.array([d[: len(d) - k] @ d[k:] for k in range(min(nlags + 1, len(d)))])
+            f = np.fft.rfft(d, 1 << (len(d) + nlags).bit_length())  # padded: no lag wraps around
+            top = np.fft.irfft(f.real**2 + f.imag**2)[: min(nlags + 1, len(d))]
             out.append(top / top[0] if top[0] > 0 else [None] * len(top))
         return pd.Series(out)
 

@@ -12,6 +12,7 @@ from .operators import neighbors as J
 from .operators import normalize as N
 from .operators import prefix as P
 from .operators import records as R
+from .operators import sweep
 from .operators import window as W
 from .plans import detect
 from .sources import scratch
@@ -789,6 +790,18 @@ def _m05(s, d):
     return M.range_f1(u).withColumn("range_f1", rnd(F.col("range_f1"), 6))
 
 
+RANGE_ALL = RANGE[RANGE.index("\nre AS") + 1 :]
+
+
+@query(
+    "m05_range_f1_every_score",
+    f"WITH {U}, ux AS (SELECT series_id, t, abs(x - 50) AS score, label FROM u), tq AS (SELECT DISTINCT series_id, score AS thr FROM ux), {RANGE_ALL.format(src='ux')} SELECT series_id, round(range_f1, 6) AS range_f1 FROM rf",
+)
+def _m05_every(s, d):
+    u = S.u_small(s, d).withColumn("score", F.abs(F.col("x") - 50))
+    return sweep.every_range_f1(u).select("series_id", rnd(F.col("range_f1"), 6).alias("range_f1"))
+
+
 def scored_u(s, d) -> DataFrame:
     return S.u_small(s, d).select("series_id", "t", (F.col("x") + F.col("t") / 100000).alias("score"), "label")
 
@@ -896,6 +909,13 @@ def _a08(s, d):
     return R.forbidden_keys(S.table(s, d, "events"), "props", ["k", "scores"]).select("event_id", "key")
 
 
+@query("a08_key_paths", """SELECT event_id, 'k' AS key, path FROM events, (SELECT unnest(['$.props.k', '$.all[0].k', '$.all[1][0].k']) AS path) WHERE props LIKE '%"k"%'""")
+def _a08_paths(s, d):
+    # the events' own JSON as a value, in arrays, and as the text of a string (no key there)
+    text = F.concat(F.lit('{"props":'), "props", F.lit(',"all":['), "props", F.lit(",["), "props", F.lit("]],"), F.expr("substr(to_json(struct(props AS note)), 2)"))
+    return R.key_paths(S.table(s, d, "events").select("event_id", text.alias("text")), ["event_id"], "text", ["k", "scores"])
+
+
 RM = ", ".join(f"round({m}, 12) AS {m}" for m in R.METRICS)
 
 
@@ -986,6 +1006,20 @@ def _a17(s, d):
     return R.freeze(R.select_trial(trials(s, d), ["track", "dataset"]).select("track", "dataset", "trial"))
 
 
+WORDS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR) AS w{i}" for i in range(8))
+
+
+@query(
+    "a17_freeze_ranges",
+    f"""WITH r AS (SELECT CAST('0x' || substr(sha256('{{"o_orderkey":' || o_orderkey || '}}'), 1, 8) AS BIGINT) % 256 AS part,
+  sha256('{{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}}') AS h FROM orders),
+s AS (SELECT part, count(*) AS n, {WORDS} FROM r GROUP BY 1)
+SELECT part, n, sha256(concat_ws(',', CAST(n AS VARCHAR), {', '.join(f'w{i}' for i in range(8))})) AS fingerprint FROM s""",
+)
+def _a17_ranges(s, d):
+    return R.freeze_ranges(S.table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"])
+
+
 MACRO = f"mm AS (SELECT CASE WHEN grouping(track) = 1 THEN 'all' WHEN grouping(dataset) = 1 THEN 'track' ELSE 'subset' END AS grain, method, track, dataset, {MEANS} FROM units GROUP BY GROUPING SETS ((method), (method, track), (method, track, dataset)))"
 
 
