@@ -22,8 +22,16 @@ from .window import to_points, windows
 
 
 def vector_mean(rows: DataFrame, keys: list[str], col: str = "v") -> DataFrame:
-    """(keys, center) by place; one shuffle of partial sums."""
-    return rows.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(col)))).alias("center"))
+    """(keys, center) by place, to 12 decimals; one shuffle of partial sums.  Partial sums meet
+    in any order, which changes last digits; left in, they would decide near ties and make
+    two runs over the same rows differ."""
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(col))))
+    return rows.groupBy(*keys).agg(mean.alias("center")).withColumn("center", steady("center"))
+
+
+def steady(col: str):
+    """An array to 12 decimals."""
+    return F.transform(col, lambda x: F.round(x, 12))
 
 
 def clean_clusters(members: DataFrame, parents: DataFrame, by: list[str] = BY) -> DataFrame:
@@ -66,11 +74,19 @@ def coarse_cover(rows: DataFrame, k: int | None = None, rounds: int | None = 3,
     return own(centers)
 
 
+def kmeans_centers(train: DataFrame, k: int = 10, rounds: int | None = 10, by: list[str] = BY) -> DataFrame:
+    """C01, learnt part: (by, m, u), min(k, n) centres after ``rounds`` of Lloyd's steps."""
+    return vector_mean(coarse_cover(train, k, rounds, by), [*by, "m"]).withColumnRenamed("center", "u")
+
+
+def kmeans_distance(centers: DataFrame, query: DataFrame, by: list[str] = BY) -> DataFrame:
+    return assign(query, centers, by).select(*by, "q", F.sqrt("d2").alias("score"))
+
+
 def kmeans_score(train: DataFrame, query: DataFrame, k: int = 10, rounds: int = 10, by: list[str] = BY) -> DataFrame:
     """Distance to the assigned centre, min(k, n) centres fitted on the training rows
     by ``rounds`` of Lloyd's steps."""
-    centers = vector_mean(coarse_cover(train, k, rounds, by), [*by, "m"]).withColumnRenamed("center", "u")
-    return assign(query, centers, by).select(*by, "q", F.sqrt("d2").alias("score"))
+    return kmeans_distance(kmeans_centers(train, k, rounds, by), query, by)
 
 
 def two_means(rows: np.ndarray, steps: int = 12) -> np.ndarray:
@@ -314,8 +330,12 @@ def _standardised():
 
 def pca_score(train: DataFrame, query: DataFrame, variance: float | None = None, by: list[str] = BY) -> DataFrame:
     """Sum over components of the distance to them over their shares (1e-12 at least)."""
+    return pca_distance(principal_components(train, variance, by), query, by)
+
+
+def pca_distance(components: DataFrame, query: DataFrame, by: list[str] = BY) -> DataFrame:
     d = F.sqrt(squared_distance(_standardised(), F.col("comp"))) / F.greatest("share", F.lit(1e-12))
-    return query.join(principal_components(train, variance, by), by).groupBy(*by, "q").agg(F.sum(d).alias("score"))
+    return query.join(components, by).groupBy(*by, "q").agg(F.sum(d).alias("score"))
 
 
 def pca_project(components: DataFrame, rows: DataFrame, by: list[str] = BY) -> DataFrame:
@@ -353,9 +373,13 @@ SCORED = 1 << 16
 
 
 def iforest(train: DataFrame, query: DataFrame, trees: int = 150, share: float = 1.0, psi: int = 256, seed: int = 2026, by: list[str] = BY) -> DataFrame:
-    """2 ** (-mean path / c(psi)) - 0.5.  A group is one tree's hashed sample of at
-    most ``psi`` rows.  Queries of a series are dealt into parts of about ``SCORED`` rows;
-    the forest goes to each part once, not to each row."""
+    """2 ** (-mean path / c(psi)) - 0.5."""
+    return forest_score(grow_forest(train, trees, share, psi, seed, by), query, by)
+
+
+def grow_forest(train: DataFrame, trees: int = 150, share: float = 1.0, psi: int = 256, seed: int = 2026, by: list[str] = BY) -> DataFrame:
+    """C12, learnt part: (by, grown, psi), a row a tree.  A group is one tree's hashed sample
+    of at most ``psi`` rows."""
     w = Window.partitionBy(*by)
     ranked = train.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     ranked = ranked.withColumn("_h", F.xxhash64("q", "tree", F.lit(seed))).where((F.pmod("_h", F.lit(1 << 30)) / (1 << 30)) < 4.0 * psi / F.col("_n"))
@@ -369,7 +393,12 @@ def iforest(train: DataFrame, query: DataFrame, trees: int = 150, share: float =
         tree = _tree(x, rng, features, int(np.ceil(np.log2(max(2, min(psi, len(x)))))))
         return part[by].head(1).assign(grown=json.dumps(tree), psi=len(x))
 
-    forest = ranked.select(*by, "tree", "_r", "v").groupBy(*by, "tree").applyInPandas(grow, f"{schema}, grown string, psi int")
+    return ranked.select(*by, "tree", "_r", "v").groupBy(*by, "tree").applyInPandas(grow, f"{schema}, grown string, psi int")
+
+
+def forest_score(forest: DataFrame, query: DataFrame, by: list[str] = BY) -> DataFrame:
+    """C12 of queries under ``grow_forest``'s trees.  Queries of a series are dealt into parts
+    of about ``SCORED`` rows; the forest goes to each part once, not to each row."""
     parts = query.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / SCORED).cast("int").alias("_parts"))
     dealt = query.join(parts, by).select(*by, "q", "v", F.pmod(F.xxhash64("q"), F.col("_parts")).cast("int").alias("_part"))
     sent = forest.join(parts, by).select(*by, "grown", "psi", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
@@ -394,14 +423,25 @@ def exemplar_detector(train: DataFrame, query: DataFrame, k: int = 3, variance:
     and, if ``variance`` is given, projected on the training patches' components; unit
     vectors, granular balls of the training ones, exemplars, and the mean of the k least unit
     distances."""
-    flat = lambda df: df.select(*by, "q", revin(F.col("v"), channels).alias("v"))
-    learnt, asked = flat(train), flat(query)
+    return exemplar_score(exemplar_fit(train, variance, channels, by), query, k, channels, by)
+
+
+def exemplar_fit(train: DataFrame, variance: float | None = None, channels: int = 1, by: list[str] = BY) -> dict[str, DataFrame]:
+    """C15, learnt part: ``memory`` (by, m, u) and, where patches are projected, ``axes``."""
+    learnt, fitted = train.select(*by, "q", revin(F.col("v"), channels).alias("v")), {}
     if variance is not None:
-        axes = written(principal_components(learnt, variance, by), "axes")
-        learnt, asked = pca_project(axes, learnt, by), pca_project(axes, asked, by)
-    unit = lambda df: df.select(*by, "q", l2_normalize(F.col("v")).alias("v"))
-    memory = written(exemplar_memory(granular_partition(unit(learnt), by=by), by).select(*by, "m", "u"), "memory")
-    return topk_mean(unit(asked), memory, k, by)
+        fitted["axes"] = written(principal_components(learnt, variance, by), "axes")
+        learnt = pca_project(fitted["axes"], learnt, by)
+    unit = learnt.select(*by, "q", l2_normalize(F.col("v")).alias("v")).withColumn("v", steady("v"))
+    return fitted | {"memory": written(exemplar_memory(granular_partition(unit, by=by), by).select(*by, "m", "u"), "memory")}
+
+
+def exemplar_score(fitted: dict[str, DataFrame], query: DataFrame, k: int = 3, channels: int = 1, by: list[str] = BY) -> DataFrame:
+    """C15 of patches against ``exemplar_fit``'s tables."""
+    asked = query.select(*by, "q", revin(F.col("v"), channels).alias("v"))
+    if "axes" in fitted:
+        asked = pca_project(fitted["axes"], asked, by)
+    return topk_mean(asked.select(*by, "q", l2_normalize(F.col("v")).alias("v")), fitted["memory"], k, by)
 
 
 def exemplar_points(series: DataFrame, meta: DataFrame, length: int, k: int = 3, variance: float | None = None) -> DataFrame:

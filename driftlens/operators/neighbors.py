@@ -218,14 +218,29 @@ def assign(query: DataFrame, centers: DataFrame, by: list[str] = BY) -> DataFram
     return nearest(query, centers, 1, by).select(*by, "q", "m", "d2")
 
 
-def lof(train: DataFrame, query: DataFrame, k: int, by: list[str] = BY) -> DataFrame:
-    """Local outlier factor of queries against training rows (by, m, u)."""
+def lof_fit(train: DataFrame, k: int, by: list[str] = BY) -> DataFrame:
+    """J08, learnt part: training rows (by, m, u) with ``kdist``, the distance of their k-th
+    neighbour, and ``lrd``, their local density."""
     own = nearest(train.select(*by, F.col("m").alias("q"), F.col("u").alias("v")), train, k, by, skip_self=True).withColumn("d", F.sqrt("d2"))
     kdist = own.groupBy(*by, F.col("q").alias("m")).agg(F.max("d").alias("kdist"))
-    density = 1 / (F.avg(F.greatest("kdist", "d")) + 1e-10)
-    lrd = own.join(kdist, [*by, "m"]).groupBy(*by, F.col("q").alias("m")).agg(density.alias("lrd"))
-    near = nearest(query, train, k, by).withColumn("d", F.sqrt("d2")).join(kdist, [*by, "m"]).join(lrd, [*by, "m"])
-    return near.groupBy(*by, "q").agg((F.avg("lrd") / density).alias("score"))
+    lrd = own.join(kdist, [*by, "m"]).groupBy(*by, F.col("q").alias("m")).agg(_density().alias("lrd"))
+    return train.join(kdist, [*by, "m"], "left").join(lrd, [*by, "m"], "left")
+
+
+def lof_score(fitted: DataFrame, query: DataFrame, k: int, by: list[str] = BY) -> DataFrame:
+    """J08 of queries against ``lof_fit``'s rows."""
+    known = fitted.where("kdist IS NOT NULL AND lrd IS NOT NULL").select(*by, "m", "kdist", "lrd")
+    near = nearest(query, fitted.select(*by, "m", "u"), k, by).withColumn("d", F.sqrt("d2")).join(known, [*by, "m"])
+    return near.groupBy(*by, "q").agg((F.avg("lrd") / _density()).alias("score"))
+
+
+def _density():
+    return 1 / (F.avg(F.greatest("kdist", "d")) + 1e-10)
+
+
+def lof(train: DataFrame, query: DataFrame, k: int, by: list[str] = BY) -> DataFrame:
+    """Local outlier factor of queries against training rows (by, m, u)."""
+    return lof_score(lof_fit(train, k, by), query, k, by)
 
 
 def pair_density(rows: DataFrame, gamma: float, reduction: str = "sum", by: list[str] = BY) -> DataFrame:

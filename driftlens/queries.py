@@ -489,6 +489,20 @@ def _j04(s, d):
     return J.knn_score(train, q, 50).withColumn("score", rnd(F.col("score")))
 
 
+FIT_SCORE = f"""WITH {U}, sd AS (SELECT u.series_id, avg(x) AS mu, stddev_pop(x) AS sd FROM u JOIN meta USING (series_id) WHERE t < train_index GROUP BY 1),
+u2 AS (SELECT u.series_id, t, (x - mu) / CASE WHEN sd < 1e-8 THEN 1 ELSE sd END AS x FROM u JOIN sd USING (series_id)),
+{WIN.replace('FROM u)', 'FROM u2)')}, {SPLIT}, {PAIRS}, {RANK}, ks AS ({KNN.format(k=50).replace('round(', '(').replace(', 5)', ')')})
+SELECT u.series_id, u.t, round(avg(ks.score), 5) AS score FROM u JOIN ks ON ks.series_id = u.series_id AND ks.q BETWEEN u.t - 3 AND u.t GROUP BY 1, 2"""
+
+
+@query("j04_knn_fit_then_score", FIT_SCORE)
+def _j04_fitted(s, d):
+    # learnt and written first; points are scored from the tables in the shared folder
+    u, folder = S.u_small(s, d), scratch.new_folder(s, "fitted")
+    detect.fit_detector(u, folder, "knn", 4)
+    return detect.score_fitted(u, folder).withColumn("score", rnd(F.col("score"))).where("score IS NOT NULL")
+
+
 @query("j05_knn_repr_score", f"WITH {U}, {WIN}, {SPLIT}, {PAIRS}, {RANK} " + KNN.format(k=5))
 def _j05(s, d):
     train, q = u_train_query(s, d)
