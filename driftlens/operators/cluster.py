@@ -15,8 +15,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot, l2_normalize, revin, squared_distance
+from ..functions.arrays import l2_normalize, revin, squared_distance
 from ..sources.scratch import written
+from . import axes
 from .neighbors import BY, _groups, assign, topk_mean
 from .window import to_points, windows
 
@@ -274,14 +275,26 @@ def cross_correlation(left: DataFrame, right: DataFrame, by: list[str] = BY) ->
     return c.groupBy(*by).agg(F.avg(on).alias("on_diagonal"), F.avg(off).alias("off_diagonal"))
 
 
-#: Numbers of sums or components that leave a Python worker at once.
-HELD = 1 << 21
+#: Numbers of sums or components that leave a Python worker at once, and columns of the
+#: widest rows whose matrix of products one task holds.
+HELD, WIDE = 1 << 21, 1 << 10
 
 
 def principal_components(train: DataFrame, variance: float | None = None, by: list[str] = BY) -> DataFrame:
     """(by, c, share, mean, std, comp): components of the standardised training rows, as
-    many as hold ``variance`` (all if not given), their greatest loading positive.  Each
-    batch adds up its products of vectors; a d x d matrix leaves it, whatever its rows."""
+    many as hold ``variance`` (all if not given), their greatest loading positive.  Series of
+    more than WIDE columns go through ``axes`` in panels (mean and std in the row of c = 0
+    alone); of others one matrix is one task's."""
+    most = train.select(F.max(F.size("v"))).first()[0] or 0
+    if most <= WIDE:
+        return _small_components(train, variance, by)
+    wide = axes.wide_components(train.where(F.size("v") > WIDE), variance, by)
+    return wide.unionByName(_small_components(train.where(F.size("v") <= WIDE), variance, by))
+
+
+def _small_components(train: DataFrame, variance: float | None, by: list[str]) -> DataFrame:
+    """Each batch adds up its products of vectors; a d x d matrix leaves it, whatever its
+    rows."""
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -324,24 +337,18 @@ def principal_components(train: DataFrame, variance: float | None = None, by: li
     return sums.mapInPandas(fit, f"{keys}, c int, share double, mean array<double>, std array<double>, comp array<double>")
 
 
-def _standardised():
-    return F.zip_with(F.zip_with("v", "mean", lambda x, m: x - m), "std", lambda x, s: x / s)
-
-
 def pca_score(train: DataFrame, query: DataFrame, variance: float | None = None, by: list[str] = BY) -> DataFrame:
     """Sum over components of the distance to them over their shares (1e-12 at least)."""
     return pca_distance(principal_components(train, variance, by), query, by)
 
 
 def pca_distance(components: DataFrame, query: DataFrame, by: list[str] = BY) -> DataFrame:
-    d = F.sqrt(squared_distance(_standardised(), F.col("comp"))) / F.greatest("share", F.lit(1e-12))
-    return query.join(components, by).groupBy(*by, "q").agg(F.sum(d).alias("score"))
+    return axes.distance_sums(components, query, by)
 
 
 def pca_project(components: DataFrame, rows: DataFrame, by: list[str] = BY) -> DataFrame:
     """(by, q, v): rows as their coordinates along ``principal_components``."""
-    on = rows.join(components, by).select(*by, "q", "c", dot(_standardised(), F.col("comp")).alias("x"))
-    return on.groupBy(*by, "q").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda s: s["x"]).alias("v"))
+    return axes.coordinates(components, rows, by)
 
 
 def _path(n: float) -> float:

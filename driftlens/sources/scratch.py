@@ -33,4 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     once, and a lost executor costs a read of files."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
