@@ -284,12 +284,12 @@ def principal_components(train: DataFrame, variance: float | None = None, by: li
     """(by, c, share, mean, std, comp): components of the standardised training rows, as
     many as hold ``variance`` (all if not given), their greatest loading positive.  Series of
     more than WIDE columns go through ``axes`` in panels (mean and std in the row of c = 0
-    alone); of others one matrix is one task's."""
+    alone); of others one matrix is one task's.  Written, since scores read it several times."""
     most = train.select(F.max(F.size("v"))).first()[0] or 0
     if most <= WIDE:
-        return _small_components(train, variance, by)
+        return written(_small_components(train, variance, by), "axes")
     wide = axes.wide_components(train.where(F.size("v") > WIDE), variance, by)
-    return wide.unionByName(_small_components(train.where(F.size("v") <= WIDE), variance, by))
+    return written(wide.unionByName(_small_components(train.where(F.size("v") <= WIDE), variance, by)), "axes")
 
 
 def _small_components(train: DataFrame, variance: float | None, by: list[str]) -> DataFrame:
@@ -437,7 +437,7 @@ def exemplar_fit(train: DataFrame, variance: float | None = None, channels: int
     """C15, learnt part: ``memory`` (by, m, u) and, where patches are projected, ``axes``."""
     learnt, fitted = train.select(*by, "q", revin(F.col("v"), channels).alias("v")), {}
     if variance is not None:
-        fitted["axes"] = written(principal_components(learnt, variance, by), "axes")
+        fitted["axes"] = principal_components(learnt, variance, by)
         learnt = pca_project(fitted["axes"], learnt, by)
     unit = learnt.select(*by, "q", l2_normalize(F.col("v")).alias("v")).withColumn("v", steady("v"))
     return fitted | {"memory": written(exemplar_memory(granular_partition(unit, by=by), by).select(*by, "m", "u"), "memory")}

@@ -33,15 +33,15 @@ def plain_score(query, mean, std, share, comp):
 @pytest.fixture
 def narrow(monkeypatch):
     monkeypatch.setattr(cluster, "WIDE", 8)
-    monkeypatch.setattr(axes, "PANEL", 200)
-    monkeypatch.setattr(axes, "PIECE", 90)
+    monkeypatch.setattr(axes, "PANEL", 72)
+    monkeypatch.setattr(axes, "PIECE", 40)
     monkeypatch.setattr(axes, "ASKED", 600)
 
 
 def test_wide_rows_in_panels_equal_one_matrix(spark, narrow):
     rng = np.random.default_rng(5)
-    a = rng.normal(0, 1, (300, 37)) @ rng.normal(0, 1, (37, 37))
-    b = rng.normal(0, 1, (150, 20)) * np.arange(1, 21)
+    a = rng.normal(0, 1, (300, 18)) @ rng.normal(0, 1, (18, 18))
+    b = rng.normal(0, 1, (150, 12)) * np.arange(1, 13)
     c = rng.normal(0, 1, (60, 5))
     df = frame(spark, a=a, b=b, c=c)
     got = cluster.principal_components(df).collect()
@@ -52,12 +52,12 @@ def test_wide_rows_in_panels_equal_one_matrix(spark, narrow):
         assert np.allclose([r.share for r in rows], share, rtol=1e-9, atol=1e-13)
         assert np.allclose([r.comp for r in rows], comp, atol=1e-7)
         assert np.allclose(rows[0].mean, mean) and np.allclose(rows[0].std, std)
-    assert axes.PANEL // 37 < 37 / 6  # more than six blocks, so several rounds a sweep
+    assert axes.PANEL // 18 < 18 / 4  # six blocks, so five rounds a sweep
 
 
 def test_wide_scores_and_coordinates_equal_plain_ones(spark, narrow):
     rng = np.random.default_rng(6)
-    a, c = rng.normal(0, 1, (200, 30)) @ rng.normal(0, 1, (30, 30)), rng.normal(0, 1, (60, 5))
+    a, c = rng.normal(0, 1, (200, 12)) @ rng.normal(0, 1, (12, 12)), rng.normal(0, 1, (60, 5))
     df = frame(spark, a=a, c=c)
     for variance in (None, 0.6):
         comps = cluster.principal_components(df, variance)
@@ -73,7 +73,7 @@ def test_wide_scores_and_coordinates_equal_plain_ones(spark, narrow):
 
 def test_fewer_rows_than_columns_and_constant_columns(spark, narrow):
     rng = np.random.default_rng(7)
-    x = rng.normal(0, 1, (12, 26))
+    x = rng.normal(0, 1, (10, 16))
     x[:, 3] = 2.5
     df = frame(spark, a=np.r_[x, x])
     rows = cluster.principal_components(df).orderBy("c").collect()
@@ -81,8 +81,8 @@ def test_fewer_rows_than_columns_and_constant_columns(spark, narrow):
     comp = np.array([r.comp for r in rows])
     z = (np.r_[x, x] - mean) / std
     assert np.allclose([r.share for r in rows], share, atol=1e-12)
-    assert np.allclose(comp @ comp.T, np.eye(26), atol=1e-10)
-    assert np.allclose(comp @ (z.T @ z / 24) @ comp.T, np.diag(share * 25), atol=1e-9)
+    assert np.allclose(comp @ comp.T, np.eye(16), atol=1e-10)
+    assert np.allclose(comp @ (z.T @ z / 20) @ comp.T, np.diag(share * 15), atol=1e-9)
 
 
 def test_a_query_that_is_a_component_is_at_distance_zero(spark):
