@@ -9,9 +9,9 @@ dictionaries have not seen.
 
 Fitted on a bounded sample: about ``PER_CLASS`` texts of each label (``fitting``: at most
 ``LONGEST`` bytes each), half for the dictionaries and half for the scale, weighted back to
-the labels' true shares.  Null and empty texts are one empty block.  With labels of one kind
-only (or none), or with fewer than ``FEW`` texts of a kind in the sample, every score is the
-share of label 1 (or 0.5).  Rows with null ids get a score too and are not held out; repeated
+the labels' true shares.  Null and empty texts are one empty block.  A kind with
+a single text gives it to both halves.  With labels or sampled texts of one kind only (or
+none), every score is the share of label 1 (or 0.5).  Rows with null ids get a score too and are not held out; repeated
 rows repeat; other columns, whatever their names, are ignored.  An empty table gives an empty
 result.
 """
@@ -30,7 +30,7 @@ from .fitting import labelled_sample, logistic, sigmoid
 from .shared import fold, texts
 from .textkit import column, pieces
 
-BLOCK, DICTIONARY, LEVEL, PER_CLASS, FEW = 256, 32768, 3, 3000, 8
+BLOCK, DICTIONARY, LEVEL, PER_CLASS = 256, 32768, 3, 3000
 
 
 def _blocks(text: bytes) -> list[bytes]:
@@ -71,13 +71,14 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality"
     order = np.argsort(np.asarray(sample.column("doc_id")), kind="stable")
     y = np.asarray(sample.column("y"))[order]
     raw = [sample.column("text")[int(i)].as_py().encode() for i in order]
-    if min((y == 1).sum(), (y == 0).sum()) < FEW:
+    if not (y == 1).any() or not (y == 0).any():
         return {"share": n[1] / (n[0] + n[1])}
-    half = np.empty(len(raw), bool)  # of either kind
+    half, rest = np.empty(len(raw), bool), np.ones(len(raw), bool)  # of either kind
     for k in (0, 1):
         half[y == k] = np.arange((y == k).sum()) % 2 == 0
+        rest[y == k] = ~half[y == k] | ((y == k).sum() == 1)
     parts = [_dictionary([raw[i] for i in np.flatnonzero(half & (y == k))]) for k in (1, 0)]
-    c, rest = Compressors(*parts), np.flatnonzero(~half)
+    c, rest = Compressors(*parts), np.flatnonzero(rest)
     x = np.array([c.features(raw[i]) for i in rest]).reshape(len(rest), 3)
     weight = np.where(y[rest] == 1, n[1] / max(1, (y[rest] == 1).sum()), n[0] / max(1, (y[rest] == 0).sum()))
     return {"good": parts[0], "bad": parts[1], "weights": logistic(x, y[rest], weight * len(rest) / weight.sum())}

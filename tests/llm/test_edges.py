@@ -10,6 +10,8 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from driftlens.llm import bagminhash, decontam, langid, lines, mixing, quality, repeats, rules, shared, substring, suffixes, symbols, toxicity
@@ -50,11 +52,60 @@ def test_odd_rows_pass_everywhere(spark, odd):
     assert bagminhash.near_duplicates(odd).count() == 13
 
 
-def test_few_labels_score_their_share(spark, odd):
-    labels = spark.createDataFrame([(3, 0, 1), (4, 1, 0), (7, 1, 0), (8, 1, 0)], "doc_id bigint, quality int, toxic int")
-    kept = [i for i in (3, 4, 7, 8) if __import__("zlib").crc32(str(i).encode()) % 5]
-    share = sum(i != 3 for i in kept) / len(kept)
-    assert {r.score for r in quality.classify(odd, labels).collect()} == {share}
+def test_labels_of_one_kind_score_their_share(spark, odd):
+    labels = spark.createDataFrame([(4, 1, 0), (7, 1, 0), (8, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert {r.score for r in quality.classify(odd, labels).collect()} == {1.0}
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert {r.score for r in quality.classify(odd, none).collect()} == {0.5}
+
+
+def test_few_labels_are_learnt_from(spark):
+    """One bad and three good texts; each text scores on the side of what it resembles."""
+    rng = np.random.default_rng(3)
+    good, bad = ([" ".join(rng.choice(words, 120)) for _ in range(6)] for words in (["river", "mountain", "weather", "garden", "silent", "morning"], ["zx91", "qq!!", "##%%", "vk07", "$$$$", "wj55"]))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id bigint, text string")
+    for n_bad in (1, 3):
+        labels = spark.createDataFrame([(i, 1) for i in range(3)] + [(6 + i, 0) for i in range(n_bad)], "doc_id bigint, quality int")
+        model = quality.fit(docs, labels, F.lit(True))
+        scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+        assert min(scores[i] for i in range(6)) > max(scores[i] for i in range(6, 12))
+
+
+def test_quality_scores_equal_a_plain_recomputation(spark):
+    """Differences of compressed sizes, their worst and worst quarter, and the scale."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    keep = shared.fold("doc_id", 5) != 0
+    model = quality.fit(docs, labels, keep)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.where(keep).collect() if r.quality in (0, 1)}
+
+    def size(data, which):
+        dictionary = zstandard.ZstdCompressionDict(model[which])
+        return len(zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False).compress(data))
+
+    def features(data):
+        n = max(1, round(len(data) / 256 + 1e-9))
+        cuts = [i * 256 for i in range(n)] + [len(data)]
+        pairs = [(size(data[a:b], "good"), size(data[a:b], "bad")) for a, b in zip(cuts[:-1], cuts[1:])]
+        each = sorted((b - g) / (b + g) for g, b in pairs)
+        g, b = (sum(p[i] for p in pairs) for i in (0, 1))
+        quarter = each[: max(1, n // 4)]
+        return [(b - g) / (b + g), each[0], sum(quarter) / len(quarter), 1.0]
+
+    x = {i: features(t) for i, t in text.items()}
+    for i in text:
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(np.dot(x[i], model["weights"]), -40, 40))), abs=1e-12)
+    fitted = [i for k in (0, 1) for i in sorted(i for i, y in known.items() if y == k)[1::2]]
+    y, z = np.array([known[i] for i in fitted]), np.array([x[i] for i in fitted])
+    count = [sum(v == k for v in known.values()) for k in (0, 1)]
+    weight = np.array([count[v] / (y == v).sum() for v in y])
+    weight *= len(y) / weight.sum()
+    scale = np.abs(z).max(0)
+    w = model["weights"] * scale  # where the damped likelihood is greatest its slope is none
+    slope = (z / scale).T @ (weight * (1 / (1 + np.exp(-z / scale @ w)) - y)) + 1e-2 * w
+    assert np.abs(slope).max() < 1e-6
 
 
 def test_nothing_is_removed_without_blocks_or_arrays(odd):
