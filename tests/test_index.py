@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftlens.functions.arrays import dot, squared_distance
 from driftlens.operators import neighbors, ranges
 
 
@@ -65,3 +66,26 @@ def test_pairs_are_no_rows_for_centres(spark, monkeypatch):
     plan = neighbors.assign(q, m)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
     assert neighbors.min_center_distance(q, m).agg(F.max("score")).first()[0] == 15.0
+
+
+def test_pairs_of_odd_vectors_come_in_batches(spark):
+    """J01 and J02 against the sum over a row: the same digits, and null where a vector is
+    null, holds a null or is longer than the other; no batch of a task holds a whole block."""
+    rng = np.random.default_rng(3)
+    vectors = [rng.normal(size=5).tolist() for _ in range(40)] + [None, [1.0, None, 0.0, 0.0, 0.0], [1.0, 2.0], [], [float("nan")] * 5, [float("inf")] * 5]
+    q = spark.createDataFrame([(i % 2, i, v) for i, v in enumerate(vectors)], "series_id int, q bigint, v array<double>")
+    m = q.where("q % 3 < 2").selectExpr("series_id", "q AS m", "v AS u")
+    for unit in (False, True):
+        d2 = F.greatest(F.lit(0.0), 2 - 2 * dot(F.col("v"), F.col("u"))) if unit else squared_distance(F.col("v"), F.col("u"))
+        key = lambda r: (r.series_id, r.q, r.m, repr(r.d2))
+        want = sorted(map(key, q.join(m, "series_id").select("series_id", "q", "m", d2.alias("d2")).collect()))
+        found = neighbors.pairwise(q, m, unit=unit)
+        assert sorted(map(key, found.collect())) == want and len(want) > 600
+        # pairs are made of blocks: no join whose rows are pairs
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounding_is_sparks(spark):
+    d = [0.0, 0.5, 1.00005, 1.00015, 2.5e-5, 0.99995, 4.5e-5, 1.00005 - 2e-16, 3e17, float("inf"), 12.34565, 1e-300]
+    want = [r.x for r in spark.createDataFrame([(x,) for x in d], "x double").select(F.round("x", 4).alias("x")).collect()]
+    assert neighbors._rounded(np.array([d]), 4)[0].tolist() == want
