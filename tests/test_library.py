@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftlens import queries
+from driftlens.operators import normalize
 from driftlens.operators import cluster, metrics, neighbors, prefix, records, window
 from driftlens.plans import detect, registry
 from driftlens.sources import series
@@ -217,3 +218,15 @@ def test_streaming_score(spark, sf_dir):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from scored").collect()[0][0] == events.count()
+
+
+def test_noise_targets_stay_in_their_task(spark):
+    """Rows shuffle their own places; clean places come from one copy, as from all."""
+    rows = spark.createDataFrame([(i, [float(i), 1.0, None, 4.0, 4.0][: i % 6]) for i in range(12)] + [(99, None)], "q int, w array<double>")
+    noisy = normalize.noise_augment(rows, 2.0, 2, [0.25, 0.75], "n", ["q"])
+    lean = normalize.noise_targets(noisy, ["q"], 0.25)
+    key = lambda r: repr(tuple(r))
+    every = normalize.noise_targets(noisy, ["q"])
+    assert sorted(map(key, lean.collect())) == sorted(map(key, every.collect())) and lean.columns == every.columns
+    plan = lean._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
