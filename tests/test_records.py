@@ -76,3 +76,15 @@ def test_correlations(spark, nlags):
             assert r is None
         else:
             assert abs(r - d[: len(d) - k] @ d[k:] / (d @ d)) < 1e-9
+
+
+def test_key_diff_meets_in_parts(spark, monkeypatch):
+    """A06 as EXCEPT both ways: keys twice, nulls, and as many parts as keys ask for."""
+    monkeypatch.setattr(records, "KEYS", 4)
+    e = spark.createDataFrame([("a", 1), ("a", 1), ("b", None), (None, 2), ("c", 3), (None, None)], "m string, f int")
+    s = spark.createDataFrame([("c", 3), ("b", None), ("d", 4), ("d", 4), (None, 9)], "m string, f int")
+    out = records.key_diff(e, s, ["m", "f"])
+    want = {(*k, "missing") for k in set(map(tuple, e.collect())) - set(map(tuple, s.collect()))} | {(*k, "unexpected") for k in set(map(tuple, s.collect())) - set(map(tuple, e.collect()))}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want) == 5
+    assert out.rdd.getNumPartitions() == 3
