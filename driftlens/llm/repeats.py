@@ -116,15 +116,24 @@ def _late(spans: pa.Array, first: np.ndarray, n: int) -> np.ndarray:
 
 def _shared(anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which rows have an anchor that another document has too."""
-    order = np.lexsort((doc, anchor))
+    order = np.argsort(anchor)
     a, d = anchor[order], doc[order]
     edge = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
-    n = np.diff(np.r_[edge, len(a)])
     out = np.zeros(len(a), bool)
-    out[order] = np.repeat(d[edge] < d[edge + n - 1], n)
+    if len(a):
+        out[order] = np.repeat(np.minimum.reduceat(d, edge) < np.maximum.reduceat(d, edge), np.diff(np.r_[edge, len(a)]))
     return out
 
 
+def stretches(r: Runs, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the runs ``own``, those whose anchors two documents have, neighbours put together:
+    first and last window of each stretch, and its text.  No other window can be late."""
+    own = own[_shared(r.anchor[own], ids[r.doc[own]])]
+    first, last, doc = r.first[own], r.last[own], r.doc[own]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1)][: len(own)]
+    return first[new], last[np.r_[new[1:], True][: len(own)]], doc[new]
+
+
 def _two_of_each(body: pa.Array, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which bodies enter a shard, and for each body the place of the one that stands for
     it: of bodies that are the same byte for byte, the first document's stands for that
@@ -198,13 +207,9 @@ def _near(unit: str, window: int, gram: int, resolve: Callable) -> Callable:
             for part, data, off in pieces(opened, size=SHARD_BYTES):
                 u, (ids, has) = Units(unit, data, off), _ids(part)
                 r = Runs(u.values, u.first[:-1], u.first[1:], window, gram, _LONGEST)
-                own = np.flatnonzero(has[r.doc])
-                own = own[_shared(r.anchor[own], ids[r.doc[own]])]
-                first, last, doc = r.first[own], r.last[own], r.doc[own]
+                a, b, d = stretches(r, ids, np.flatnonzero(has[r.doc]))
                 spans, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if len(own):
-                    new = np.r_[True, (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1)]
-                    a, b, d = first[new], last[np.r_[new[1:], True]], doc[new]
+                if len(a):
                     spans, row, _ = _resolved(resolve, ids[d], u.bodies(a, b + window), window)
                     spans, owner = spans + (a[row] - u.first[d[row]] << 20), d[row]
                 twin = Rolling(BYTE_VALUE[data]).spans(off[:-1], off[1:]) >> np.uint64(33)
@@ -268,7 +273,9 @@ def _fetch(unit: str, window: int, gram: int) -> Callable:
                 a, n = p[new], np.diff(np.r_[np.flatnonzero(new), len(p)])
                 k = k[new]
                 key, doc = anchor[run[k]], r.doc[run[k]]
-                key = np.where(hot[k], r.roll.spans(a, a + window), mix(key))
+                key, alone = mix(key), hot[k]
+                if alone.any():
+                    key[alone] = r.roll.spans(a[alone], a[alone] + window)
                 twin = np.asarray(column(part, "twin"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(twin[doc]), pa.array((a - u.first[doc]).astype(np.int32)), u.bodies(a, a + n + window - 1).cast(pa.binary())],

@@ -27,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import late_spans, removed
+from .repeats import late_spans, removed, stretches
 from .shared import texts
-from .textkit import Rolling, column, mix
+from .textkit import BYTE_VALUE, Rolling, Runs, column, mix, ragged
 
 WINDOW, GRAM = 50, 24
+LONG_GRAM = 40  # bytes of the minimisers that are compared before a suffix array is made
 _SEPARATOR = 1  # symbols: 0 the end of all, 1 separators, byte + 2
 LONGEST_RISE = 64  # a longer stretch of rising or falling names is ranked by doubling
 
@@ -52,10 +53,11 @@ def classify(s: np.ndarray) -> np.ndarray:
 def _deal(where: list[list[np.ndarray]], items: np.ndarray, symbols: np.ndarray) -> None:
     """Append the items to the lists of their symbols, keeping their order."""
     order = np.argsort(symbols, kind="stable")
-    symbols = symbols[order]
-    edge = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-    for a, b in zip(edge, np.r_[edge[1:], len(symbols)]):
-        where[symbols[a]].append(items[order[a:b]])
+    symbols, items = symbols[order], items[order]
+    a = 0
+    for b in [*(np.flatnonzero(symbols[1:] != symbols[:-1]) + 1).tolist(), len(symbols)]:
+        where[symbols[a]].append(items[a:b])
+        a = b
 
 
 def _waves(where: list[list[np.ndarray]], c: int, s: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -248,35 +250,38 @@ def common_prefixes(data: np.ndarray, room: np.ndarray, order: np.ndarray) -> np
     shared = np.zeros(n, np.int32)
     at = np.flatnonzero(~easy & (q >= 0))
     limit = np.minimum(room[at], room[q[at]])
-    wide = np.zeros(n + 8, np.uint64)
-    padded = np.r_[data, np.zeros(16, np.uint8)].astype(np.uint64)
-    for k in range(8):
-        wide |= padded[k : k + n + 8] << np.uint64(8 * k)
-    live, k = np.flatnonzero(limit > 0), 0
+    padded = np.zeros(n + 16, np.uint8)
+    padded[:n] = data
+    wide = np.ndarray((n + 8,), "<u8", padded, strides=(1,)).copy()  # eight bytes from each place on
+    live, k, words = np.flatnonzero(limit > 0), 0, 1
     length = np.zeros(len(at), np.int64)
-    while len(live):
-        x = wide[np.minimum(at[live] + k, n)] ^ wide[np.minimum(q[at[live]] + k, n)]
-        same = np.where(x == 0, 8, 0)
+    while len(live):  # the fewer are left, the more words of each at once
+        ahead, p0 = np.arange(k, k + 8 * words, 8), at[live]
+        x = (wide[np.minimum(p0[:, None] + ahead, n)] ^ wide[np.minimum(q[p0][:, None] + ahead, n)]).ravel()
         some = np.flatnonzero(x)
+        row = some // words
+        head = np.r_[True, row[1:] != row[:-1]][: len(row)]
+        some, row = some[head], row[head]
         low = x[some] & (~x[some] + np.uint64(1))
-        same[some] = (np.log2(low.astype(np.float64)) // 8).astype(np.int64)
+        same = np.full(len(live), 8 * words)
+        same[row] = some % words * 8 + (np.log2(low.astype(np.float64)) // 8).astype(np.int64)
         length[live] = k + same
-        k += 8
-        live = live[(x == 0) & (limit[live] > k)]
+        k += 8 * words
+        on = limit[live] > k
+        on[row] = False
+        live = live[on]
+        words = max(1, min(2 * words, 4096 // max(1, len(live))))
     shared[at] = np.minimum(length, limit)
     source = np.maximum.accumulate(np.where(easy, 0, p))
     return np.where(easy, np.maximum(0, shared[source] - (p - source)), shared)
 
 
-def resolve(doc: np.ndarray, bodies: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Late windows among the bodies, by one suffix array over all of them: (body, window in
-    it), and how many windows each body has."""
-    off = np.frombuffer(bodies.buffers()[1], np.int64, len(bodies) + 1, bodies.offset * 8)
-    data = np.frombuffer(bodies.buffers()[2], np.uint8)[off[0] : off[-1]]
-    off = off - off[0]
+def _late_windows(doc: np.ndarray, data: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Late windows among the segments, by one suffix array over all of them: (segment,
+    window in it), ascending."""
     lens = np.diff(off)
-    owner = np.repeat(np.arange(len(lens)), lens)
-    at = np.arange(len(data)) + owner  # a separator behind each segment
+    owner = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+    at = np.arange(len(data), dtype=np.int32) + owner  # a separator behind each segment
     s = np.full(len(data) + len(lens) + 1, _SEPARATOR, np.int16)
     s[at] = data.astype(np.int16) + 2
     s[-1] = 0
@@ -292,8 +297,27 @@ def resolve(doc: np.ndarray, bodies: pa.Array, window: int) -> tuple[np.ndarray,
     new = shared[order] < window
     new[:1] = True
     d = doc[seg[order]]
-    late = np.sort(order[d > np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]]) if len(order) else order
-    return seg[late], lens[seg[late]] - room[late], np.maximum(0, lens - window + 1)
+    late = np.zeros(len(s), bool)
+    late[order] = d > np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1] if len(order) else False
+    late = np.flatnonzero(late)
+    return seg[late], lens[seg[late]] - room[late]
+
+
+def resolve(doc: np.ndarray, bodies: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Late windows among the bodies: (body, window in it), and how many windows each body
+    has.  Bodies meet by short minimisers; only the stretches that also share a long one
+    with another document's, as equal windows do, go into the suffix array."""
+    off = np.frombuffer(bodies.buffers()[1], np.int64, len(bodies) + 1, bodies.offset * 8)
+    data = np.frombuffer(bodies.buffers()[2], np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    windows = np.maximum(0, np.diff(off) - window + 1)
+    r = Runs(BYTE_VALUE[data], off[:-1], off[1:], window, max(1, window * LONG_GRAM // WINDOW))
+    a, b, body = stretches(r, doc, np.arange(len(r.doc)))
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), windows
+    lens = b - a + window
+    seg, at = _late_windows(doc[body], data[ragged(a, lens)[0]], np.r_[0, np.cumsum(lens)], window)
+    return body[seg], at + (a - off[body])[seg], windows
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
+BLOCK = 1 << 18  # units of whole texts whose windows are hashed at once: arrays of 2 MB stay in a cache
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -38,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUE = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=4)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     both = []
     for base in (_BASE, _INVERSE):
@@ -50,7 +51,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i in 0..n at least."""
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(BLOCK.bit_length(), int(n).bit_length())
     return _powers(size)
 
 
@@ -88,19 +89,34 @@ class Runs:
 
     The minimiser of a window is the least hash of the ``gram``-unit stretches in it, so
     equal windows have equal minimisers wherever they stand.  A run is a maximal row of
-    windows of one document with the same minimiser (``longest`` at most); its segment is all
-    they cover.
+    windows of one document with the same minimiser (``longest`` at most).
     """
 
     def __init__(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, gram: int, longest: int = 1 << 40):
-        self.roll = Rolling(values)
-        least = sliding_min(self.roll.every(gram), window - gram + 1)
+        self.values = values
+        found, lo = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))], 0
+        while lo < len(starts):
+            a = starts[lo]
+            hi = max(lo + 1, int(np.searchsorted(starts, a + BLOCK, side="right")) - 1)
+            first, last, anchor = self._of(values[a : ends[hi - 1]], starts[lo:hi] - a, ends[lo:hi] - a, window, gram, longest)
+            found.append((first + a, last + a, anchor))
+            lo = hi
+        self.first, self.last, self.anchor = (np.concatenate(x) for x in zip(*found))  # of the windows of each run
+        self.doc = np.searchsorted(starts, self.first, side="right") - 1
+
+    @functools.cached_property
+    def roll(self) -> Rolling:
+        return Rolling(self.values)
+
+    @staticmethod
+    def _of(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, gram: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        least = sliding_min(Rolling(values).every(gram), window - gram + 1)
         n = len(least)
         inside = np.zeros(n + 1, np.int8)  # +1 where a document's windows begin, -1 behind them
         has = ends - starts >= window
         np.add.at(inside, starts[has], 1)
         np.add.at(inside, ends[has] - window + 1, -1)
-        inside = np.cumsum(inside[:n]).astype(bool)
+        inside = np.cumsum(inside[:n], dtype=np.int8).astype(bool)
         first = inside.copy()
         first[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
         at = np.flatnonzero(first)
@@ -110,10 +126,8 @@ class Runs:
             first[more[inside[more]]] = True
         last = inside.copy()
         last[:-1] &= first[1:] | ~inside[1:]
-        self.first, self.last = np.flatnonzero(first), np.flatnonzero(last)  # of the windows of each run
-        self.anchor = least[self.first]
-        self.seg = self.roll.spans(self.first, self.last + window)
-        self.doc = np.searchsorted(starts, self.first, side="right") - 1
+        at = np.flatnonzero(first)
+        return at, np.flatnonzero(last), least[at]
 
 
 def pieces(batch: pa.RecordBatch, text: str = "text", size: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
