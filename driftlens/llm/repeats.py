@@ -27,6 +27,7 @@ Documents without an id take part in nothing and keep all their units.
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import BYTE_VALUE, Rolling, Runs, column, covered, mix, pieces, ragged, words
+from .textkit import BLOCK, BYTE_VALUE, Rolling, Runs, column, covered, mix, pieces, ragged, words
 
 #: Rows under one anchor from which its windows are dealt one by one.
 HOT = 1 << 14
@@ -174,7 +175,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, packed, sketch): the least hash of 24 bytes in a row of each text."""
     odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
     for batch in batches:
-        for part, data, off in pieces(batch):
+        for part, data, off in pieces(batch, size=BLOCK):
             sketch = np.zeros(len(part), np.int64)
             a, b = off[:-1], off[1:] - 23
             has = np.flatnonzero(b > a)
@@ -212,9 +213,9 @@ def _near(unit: str, window: int, gram: int, resolve: Callable) -> Callable:
                 if len(a):
                     spans, row, _ = _resolved(resolve, ids[d], u.bodies(a, b + window), window)
                     spans, owner = spans + (a[row] - u.first[d[row]] << 20), d[row]
-                twin = Rolling(BYTE_VALUE[data]).spans(off[:-1], off[1:]) >> np.uint64(33)
+                twin = np.array([zlib.crc32(data[a:b]) for a, b in zip(off[:-1], off[1:])], np.uint32).view(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(part) + 1)), pa.int32()), pa.array(spans))
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(twin.astype(np.int32)), packed.slice(done, len(part)), lists], names=["doc_id", "twin", "packed", "spans"])
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(twin), packed.slice(done, len(part)), lists], names=["doc_id", "twin", "packed", "spans"])
                 done += len(part)
 
     return emit
@@ -227,6 +228,11 @@ def _left(part: pa.RecordBatch, u: Units, window: int, gram: int) -> tuple[Runs,
     return r, np.r_[~_late(column(part, "spans"), u.first, n), False]
 
 
+def _names(anchor: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Anchors and their texts' rows as one number: a batch has ``BATCH_ROWS`` rows at most."""
+    return anchor | row.astype(np.uint64) << _ANCHOR_BITS
+
+
 def _runs(unit: str, window: int, gram: int) -> Callable:
     """A row (anchor, document) for each run with a window left."""
 
@@ -235,13 +241,12 @@ def _runs(unit: str, window: int, gram: int) -> Callable:
             for part, data, off in pieces(texts_of(batch)):
                 u, (ids, has) = Units(unit, data, off), _ids(part)
                 r, left = _left(part, u, window, gram)
-                count = np.r_[0, np.cumsum(left)]
+                count = np.r_[np.int32(0), np.cumsum(left, dtype=np.int32)]
                 own = has[r.doc] & (count[r.last + 1] > count[r.first])
-                anchor, doc = r.anchor[own] >> np.uint64(64) - _ANCHOR_BITS, r.doc[own]
-                order = np.lexsort((anchor, doc))
-                anchor, doc = anchor[order], doc[order]
-                new = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])][: len(doc)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[doc[new]])], names=["anchor", "doc_id"])
+                name = np.sort(_names(r.anchor[own] >> np.uint64(64) - _ANCHOR_BITS, r.doc[own]))
+                name = name[np.r_[True, name[1:] != name[:-1]][: len(name)]]
+                anchor, doc = name & (np.uint64(1) << _ANCHOR_BITS) - np.uint64(1), (name >> _ANCHOR_BITS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids[doc])], names=["anchor", "doc_id"])
 
     return emit
 
@@ -258,11 +263,10 @@ def _fetch(unit: str, window: int, gram: int) -> Callable:
                 r, left = _left(part, u, window, gram)
                 flat = np.asarray(asked.flatten())
                 owner = np.repeat(np.arange(len(part)), np.diff(np.asarray(asked.offsets)))
-                name = lambda a, d: mix(a ^ mix(d.astype(np.uint64)))
-                wanted = name(np.where(flat < 0, ~flat, flat).view(np.uint64), owner)
+                wanted = _names(np.where(flat < 0, ~flat, flat).view(np.uint64), owner)
                 order = np.argsort(wanted)
                 anchor = r.anchor >> np.uint64(64) - _ANCHOR_BITS
-                mine = name(anchor, r.doc)
+                mine = _names(anchor, r.doc)
                 at = order[np.minimum(np.searchsorted(wanted[order], mine), len(order) - 1)]
                 run = np.flatnonzero(wanted[at] == mine)
                 hot = flat[at[run]] < 0

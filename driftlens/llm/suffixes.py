@@ -32,7 +32,7 @@ from .shared import texts
 from .textkit import BYTE_VALUE, Rolling, Runs, column, mix, ragged
 
 WINDOW, GRAM = 50, 24
-LONG_GRAM = 40  # bytes of the minimisers that are compared before a suffix array is made
+LONG_GRAM = 44  # bytes of the minimisers that are compared before a suffix array is made
 _SEPARATOR = 1  # symbols: 0 the end of all, 1 separators, byte + 2
 LONGEST_RISE = 64  # a longer stretch of rising or falling names is ranked by doubling
 
@@ -246,7 +246,7 @@ def common_prefixes(data: np.ndarray, room: np.ndarray, order: np.ndarray) -> np
     q = before
     # reducible: the bytes in front are equal too, and both within their segments
     easy = (p > 0) & (q > 0)
-    easy[1:] &= (data[p[1:] - 1] == data[q[1:] - 1]) & (room[p[1:] - 1] > 1) & (room[q[1:] - 1] > 1)
+    easy[1:] &= (data[:-1] == data[q[1:] - 1]) & (room[:-1] > 1) & (room[q[1:] - 1] > 1)
     shared = np.zeros(n, np.int32)
     at = np.flatnonzero(~easy & (q >= 0))
     limit = np.minimum(room[at], room[q[at]])
@@ -254,22 +254,27 @@ def common_prefixes(data: np.ndarray, room: np.ndarray, order: np.ndarray) -> np
     padded[:n] = data
     wide = np.ndarray((n + 8,), "<u8", padded, strides=(1,)).copy()  # eight bytes from each place on
     live, k, words = np.flatnonzero(limit > 0), 0, 1
+    one, two, most = at[live], q[at[live]].astype(np.int64), limit[live]
     length = np.zeros(len(at), np.int64)
     while len(live):  # the fewer are left, the more words of each at once
-        ahead, p0 = np.arange(k, k + 8 * words, 8), at[live]
-        x = (wide[np.minimum(p0[:, None] + ahead, n)] ^ wide[np.minimum(q[p0][:, None] + ahead, n)]).ravel()
-        some = np.flatnonzero(x)
-        row = some // words
-        head = np.r_[True, row[1:] != row[:-1]][: len(row)]
-        some, row = some[head], row[head]
+        ahead = np.arange(k, k + 8 * words, 8)
+        i, j = one[:, None] + ahead, two[:, None] + ahead
+        if words > 1:  # the later words may lie behind the end
+            i, j = np.minimum(i, n), np.minimum(j, n)
+        x = (wide[i] ^ wide[j]).ravel()
+        some = row = np.flatnonzero(x)
+        if words > 1:
+            row = some // words
+            head = np.r_[True, row[1:] != row[:-1]][: len(row)]
+            some, row = some[head], row[head]
         low = x[some] & (~x[some] + np.uint64(1))
         same = np.full(len(live), 8 * words)
-        same[row] = some % words * 8 + (np.log2(low.astype(np.float64)) // 8).astype(np.int64)
+        same[row] = some % words * 8 + ((low.astype(np.float64).view(np.int64) >> 52) - 1023 >> 3)  # by the exponent
         length[live] = k + same
         k += 8 * words
-        on = limit[live] > k
+        on = most > k
         on[row] = False
-        live = live[on]
+        live, one, two, most = live[on], one[on], two[on], most[on]
         words = max(1, min(2 * words, 4096 // max(1, len(live))))
     shared[at] = np.minimum(length, limit)
     source = np.maximum.accumulate(np.where(easy, 0, p))

@@ -171,7 +171,7 @@ def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     d = np.zeros(n + 1, np.int32)
     np.add.at(d, start, 1)
     np.add.at(d, end, -1)
-    return np.cumsum(d[:n]) > 0
+    return np.cumsum(d[:n], dtype=np.int32) > 0
 
 
 def ragged(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
