@@ -1,7 +1,8 @@
 """Operator 3, suffix-array dedup (bytes).
 
 Texts that may share windows are brought together by ``repeats`` in shards of about a
-megabyte.  Each shard's suffix array is made by induced sorting: suffixes are classified as
+megabyte; stretches without a longer minimiser in common with another document's are left
+out, as no window of theirs can be late.  Each shard's suffix array is made by induced sorting: suffixes are classified as
 smaller or larger than the next one, the leftmost-smaller substrings are sorted by one
 induction and named, the sequence of names is sorted by recursion, and a second induction
 fills in all other suffixes.  Inductions over bytes run a bucket of equal first bytes at a
