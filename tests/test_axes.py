@@ -5,6 +5,7 @@ import json
 import numpy as np
 import pytest
 
+from driftlens import queries
 from driftlens.operators import axes, cluster
 
 SCHEMA = "series_id string, q bigint, v array<double>"
@@ -123,3 +124,31 @@ def test_forest_scores_equal_a_walk_down_its_trees(spark):
         for i, v in enumerate(x):
             mean = np.mean([walk(t, v) for t, _ in grown[name]])
             assert got[name, i] == pytest.approx(2 ** (-mean / length(psi)) - 0.5, rel=1e-12)
+
+
+def test_c02_over_the_given_tables(spark, sf_dir):
+    """The query's rows are few, so one task has a series; windows of four events of a user."""
+    value = {}
+    for r in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("user_id", "ts", "event_id").collect():
+        value.setdefault(r.user_id, []).append(r.value)
+    want = {}
+    for s, x in value.items():
+        w = np.array([x[i : i + 4] for i in range(len(x) - 3)])
+        known = w[: max(0, len(x) // 2 - 3)]
+        if len(known):
+            mean, std, share, comp = plain(known)
+            k = int(np.searchsorted(np.cumsum(share), 0.25)) + 1
+            want |= {(s, i): v for i, v in enumerate(plain_score(w, mean, std, share[:k], comp[:k]))}
+    got = {(r.series_id, r.q): r.score for r in queries.QUERIES["c02_pca_score"](spark, sf_dir).collect()}
+    assert want and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(v, rel=1e-6) for k, v in want.items())
+
+
+def test_rows_without_numbers_have_components(spark):
+    """The same ones, whatever partitions they come in."""
+    x = np.random.default_rng(8).normal(0, 1, (40, 5))
+    numbered = frame(spark, a=x, b=2 * x)
+    got = {n: {(r.series_id, r.c): (r.share, r.comp) for r in cluster.principal_components(numbered.drop("q").repartition(n)).collect()} for n in (1, 7)}
+    want = {(r.series_id, r.c): r.comp for r in cluster.principal_components(numbered).collect()}
+    assert got[1] == got[7] and got[1].keys() == want.keys()
+    assert all(np.allclose(got[1][k][1], want[k], atol=1e-9) for k in want)
