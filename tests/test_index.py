@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_buffers import widest_shuffle
 
 from driftlens.functions.arrays import dot, squared_distance
 from driftlens.operators import neighbors, ranges
@@ -85,6 +86,32 @@ def test_pairs_of_odd_vectors_come_in_batches(spark):
         assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_copies_grow_as_rows_where_all_pairs_are_rows(spark, monkeypatch):
+    """Twice the rows are four times the pairs, in as many tasks and twice the copies."""
+    monkeypatch.setattr(neighbors, "BLOCK", 16)
+    monkeypatch.setattr(neighbors, "FEWEST", 1, raising=False)
+    rng = np.random.default_rng(4)
+    for n in (300, 600):
+        x = rng.normal(size=(2 * n, 3)).astype(np.float32)
+        q = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)] + [(None, -1, [0.0] * 3), (2, -2, [0.0] * 3)], "series_id int, q bigint, v array<float>")
+        m = q.where(f"(q < {n} AND series_id = 1) OR series_id IS NULL").selectExpr("series_id", "q AS m", "v AS u")
+        found = {}
+
+        def pairs():
+            found.update({(r.series_id, r.q, r.m): r.d2 for r in neighbors.pairwise(q, m).collect()})  # noqa: B023
+
+        assert widest_shuffle(spark, pairs) <= 6 * 3 * n
+        y = x.astype(float)
+        d = y[:, None] - y[None, :n]
+        want = (d[..., 0] ** 2 + d[..., 1] ** 2) + d[..., 2] ** 2
+        assert found == {(1, i, j): want[i, j] for i in range(2 * n) for j in range(n)}
+        rows = q.where("series_id = 1").withColumn("v", F.col("v").cast("array<double>"))
+        density = []
+        assert widest_shuffle(spark, lambda: density.append(neighbors.pair_density(rows, 0.5).first().density)) <= 10 * 2 * n  # noqa: B023
+        d = ((y[:, None] - y) ** 2).sum(2)
+        assert density[0] == pytest.approx((d * np.exp(-0.5 * d)).sum())
+
+
 def test_rounding_is_sparks(spark):
     d = [0.0, 0.5, 1.00005, 1.00015, 2.5e-5, 0.99995, 4.5e-5, 1.00005 - 2e-16, 3e17, float("inf"), 12.34565, 1e-300]
     want = [r.x for r in spark.createDataFrame([(x,) for x in d], "x double").select(F.round("x", 4).alias("x")).collect()]
