@@ -116,3 +116,30 @@ def test_rounding_is_sparks(spark):
     d = [0.0, 0.5, 1.00005, 1.00015, 2.5e-5, 0.99995, 4.5e-5, 1.00005 - 2e-16, 3e17, float("inf"), 12.34565, 1e-300]
     want = [r.x for r in spark.createDataFrame([(x,) for x in d], "x double").select(F.round("x", 4).alias("x")).collect()]
     assert neighbors._rounded(np.array([d]), 4)[0].tolist() == want
+
+
+def test_products_round_as_sums_in_order(monkeypatch):
+    """Distances near a half of the last place, large vectors and numbers that are none."""
+    rng = np.random.default_rng(6)
+    q, m = rng.normal(size=(50, 12)), rng.normal(size=(12, 70))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    m /= np.linalg.norm(m, axis=0)
+    q[:20] = np.round(q[:20], 3)
+    m[:, :30] = np.round(m[:, :30], 3)
+    q[0], m[:, 0] = 0, 0
+    odd = q.copy()
+    odd[3, 2], odd[4, 1] = np.nan, np.inf
+    near = np.zeros((40, 12))  # 2 - 2 * s is a half of the sixth place, or a digit beside it
+    near[:, :3] = [[0.3, 0.4 + 5e-7 * (i + 0.5), 0.2 + 1e-16 * i] for i in range(40)]
+    ones = np.zeros((12, 40))
+    ones[:3] = 1.0
+    for a, b in ((q, m), (1e3 * q, m), (1e9 * q, 1e3 * m), (1e200 * q, 1e200 * m), (odd, m), (near, ones), (q[:0], m)):
+        for places in (4, 6):
+            with np.errstate(all="ignore"):
+                assert np.array_equal(neighbors._unit_rounded(a, b, places), neighbors._rounded(neighbors._unit(a, b), places), equal_nan=True)
+    exact, summed = neighbors._rounded, []
+    monkeypatch.setattr(neighbors, "_rounded", lambda d, places: summed.append(d.size) or exact(d, places))
+    neighbors._unit_rounded(q[20:], m[:, 30:], 6)
+    assert sum(summed) < 0.01 * q.shape[0] * m.shape[1]
+    neighbors._unit_rounded(near, ones, 6)
+    assert sum(summed) >= 1
